@@ -57,13 +57,3 @@ def fresh(prefix: str = "c") -> str:
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
 
 
-def text_slices(texts, most: int = 1 << 20):
-    """Runs of rows, as (first, last), whose texts hold about ``most`` characters together."""
-    first, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t) if t is not None else 0
-        if held >= most:
-            yield first, i + 1
-            first, held = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
