@@ -10,16 +10,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder all executors share and go on from there.
-
-    The folder is what spark.checkpoint.dir names. Only where that is unset, as in tests, a
-    temporary one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names; only where that is unset, as in tests, a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="provenlace-"))
+    return sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder all executors share and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

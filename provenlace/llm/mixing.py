@@ -131,11 +131,12 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     slim = cut(
         docs.select(
             F.col(id_col).alias("id"),
+            F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("th"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         )
         .withColumn("sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-        .withColumn("h", F.xxhash64(F.lit(mix.seed), "id"))
+        .withColumn("h", F.xxhash64(F.lit(mix.seed), "id", "th"))
     )
     buckets = bucket_count(slim.count())
     rows = slim.withColumn("b", F.pmod("h", F.lit(buckets)))
@@ -146,11 +147,11 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     offsets = offsets.select(
         "sk", "b", F.coalesce(F.sum("n").over(W.partitionBy("sk").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("off")
     )
-    inside = W.partitionBy("sk", "b").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("sk", "b").orderBy("h", "id", "th").rowsBetween(W.unboundedPreceding, -1)
     spans = (
         words.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(offsets, ["sk", "b"])
-        .select("id", "sk", "size", (F.col("off") + F.col("run")).alias("start"))
+        .select("id", "th", "sk", "size", (F.col("off") + F.col("run")).alias("start"))
     )
     size = mix.block_words
     pieces = spans.withColumn(
@@ -158,15 +159,36 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     ).withColumn("n", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * size) - F.greatest("start", F.col("block") * size))
     taken = (
         pieces.join(uses, ["sk", "block"], "left")
-        .groupBy("id", "sk", "start", "size")
+        .groupBy("id", "th", "sk", "start", "size")
         .agg(F.sum(F.col("n") * F.coalesce("uses", F.lit(0))).alias("taken"))
-        .select("id", "sk", "size", "taken")
+        .select("id", "th", "sk", "size", "taken")
     )
-    every = taken.unionByName(rows.filter("size = 0").select("id", "sk", "size", F.lit(0).cast("long").alias("taken")))
+    every = taken.unionByName(rows.filter("size = 0").select("id", "th", "sk", "size", F.lit(0).cast("long").alias("taken")))
     return every.join(targets.select("sk", "source", "source_size", "target"), "sk").select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken"
+        F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("th").alias("text_md5"), "size", "source_size", "target", "taken"
     )
 
 
+def mixed_rows(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with each row as often as the mix takes it: 0 to cap times.
+
+    The words taken of a row are rounded to whole copies by a hash, up as often as their share says,
+    so sources keep their targets on average. Rows without words are not taken. All columns stay.
+    """
+    taken = mix_sources(docs, mix, id_col, text_col, source_col)
+    part = F.col("taken") / F.col("size")
+    up = _uniform(F.lit(mix.seed + 2), id_col, "text_md5") < part - F.floor(part)
+    copies = taken.filter("taken > 0").select(
+        F.col(id_col).alias("__id"), F.col("text_md5").alias("__th"), F.col(source_col).alias("__s"), (F.floor(part) + up.cast("int")).cast("int").alias("__n")
+    )
+    # rows that are repeated in all three share their draws
+    copies = copies.groupBy("__id", "__th", "__s").agg(F.sum("__n").alias("all"), F.count(F.lit(1)).alias("rows"))
+    copies = copies.withColumn("__n", F.round(F.col("all") / F.col("rows")).cast("int")).filter("__n > 0").drop("all", "rows")
+    own = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    cond = docs[id_col].eqNullSafe(F.col("__id")) & (own == F.col("__th")) & docs[source_col].eqNullSafe(F.col("__s"))
+    rows = docs.join(copies, cond).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    return rows.drop("__id", "__th", "__s", "__n", "__i")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from provenlace.llm import chat_format, exact_dedup, line_dedup, mixing
+from provenlace.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    mixing,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
+    "op1_shard_documents": sharding.op1_shard_documents,
+    "op2_simhash": simhash.op2_simhash,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_language_id": language_id.op6_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,

@@ -29,7 +29,8 @@ def covering_masks(radius: int) -> list[int]:
     has none of these bits: two fingerprints that differ there only agree under it.
     """
     n = 1 << (radius + 1)
-    vectors = [i % (n - 1) + 1 for i in range(BITS)]
+    # as even as can be: all vectors in turn, or, when there are more than bits, those with the highest bit
+    vectors = [i % (n - 1) + 1 if n <= BITS else (n >> 1) + i % (n >> 1) for i in range(BITS)]
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, n)]
 
 
@@ -130,3 +131,98 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, id_col:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+#: Near-duplicate search: buckets up to this size give all their pairs, larger ones pairs with their pivots.
+PAIRED = 8
+PIVOTS = 4
+#: Candidates further apart than this are not compared by shingles.
+FAR = 20
+#: Dropped rows up to this number (under 100 bytes each) are broadcast, more are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def _shingles(text: Column, words: int) -> tuple[Column, Column]:
+    """Hashes of the words of a text, and from their column the distinct hashes of its shingles."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hashes = F.transform(F.array_remove(F.split(low, "[\\x20\\x09-\\x0D]+"), ""), lambda w: F.xxhash64(w))
+    h = F.col("__w")
+    windows = F.when(F.size(h) >= words, F.sequence(F.lit(0), F.size(h) - words)).otherwise(F.array().cast("array<int>"))
+    long = F.transform(windows, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)]))
+    return hashes, F.array_distinct(F.when(F.size(h) >= words, long).otherwise(F.array(F.xxhash64(h))))
+
+
+def near_duplicate_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+    """(a, b) of nodes (nid, fp) whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Candidates share a bucket of the covering tables. Buckets of up to PAIRED members give all
+    pairs; in larger ones each member is compared with PIVOTS members that hashes pick, the same
+    in every bucket that holds them, so a large group of copies gives a few pairs per member.
+    texts has nid and t for every node.
+    """
+    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
+    rows = nodes.select("nid", "fp", F.explode(masks).alias("mask")).select(
+        F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp"))).alias("key"), F.struct("nid", "fp").alias("x")
+    )
+    order = lambda i: F.struct(F.xxhash64(F.lit(i), "x.nid"), "x.nid")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("x.nid").alias("lo"), F.max("x.nid").alias("hi"))
+    many = cut(sizes.filter("n > 1"))
+    two = many.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    member = cut(rows.join(many.filter("n > 2").select("key", "n"), "key"))
+    few = member.filter(F.col("n") <= PAIRED).select("key", "x")
+    other = few.select("key", F.col("x").alias("y"))
+    close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= FAR
+    some = few.join(other, "key").filter((F.col("x.nid") < F.col("y.nid")) & close).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
+    crowd = member.filter(F.col("n") > PAIRED)
+    tops = crowd.groupBy("key").agg(F.array(*[F.min_by("x", order(i)) for i in range(PIVOTS)]).alias("ys"))
+    tops = cut(tops.select("key", F.explode(F.array_distinct("ys")).alias("y")))
+    stars = crowd.join(tops, "key").filter((F.col("x.nid") != F.col("y.nid")) & close)
+    stars = stars.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b"))
+    pairs = cut(two.unionByName(some).unionByName(stars).distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+    hashes, shingles = _shingles(F.col("t"), words)
+    sets = texts.join(needed, "nid", "left_semi").select("nid", hashes.alias("__w")).select("nid", shingles.alias("s"))
+    sets = cut(sets)
+    both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one with the smallest id.
+
+    Rows of equal texts are a group, and groups whose texts' sets of ``words``-word shingles (words
+    cut at ASCII blanks, A-Z in lower case) have a Jaccard similarity of ``similarity`` or more are
+    joined. Candidates come from covering hashing, with ``radius``, of SimHash fingerprints of the
+    distinct words: replaced words change few of these, while each changes ``words`` shingles.
+    Null, empty and blank-less texts follow the same rules, null counting as empty. Null ids come
+    last. Of repeated rows one stays. An empty table gives an empty one; all columns are kept.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    th = F.unhex(F.md5(t.cast("binary")))
+    prints = cut(fingerprints(docs, words, [F.col(id_col).alias("id"), th.alias("th")], F.col(text_col), features="words"))
+    least_id = F.min(F.struct(F.col("id").isNull().alias("no"), "id"))
+    nodes = cut(prints.groupBy("th").agg(least_id.alias("low"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
+    nodes = cut(nodes.withColumn("nid", F.monotonically_increasing_id()))
+    base = docs.select(th.alias("th"), F.col(id_col).alias("id"), t.alias("t"))
+    first = nodes.select("th", "nid", F.col("low.id").alias("own"))
+    texts = base.join(first, "th").filter(F.col("id").eqNullSafe(F.col("own"))).select("nid", "t")
+    roots = components(near_duplicate_links(nodes.select("nid", "fp"), texts, words, similarity, radius))
+    named = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("th", "low", "nid", F.coalesce("root", "nid").alias("root"))
+    named = cut(named)
+    best = cut(named.groupBy("root").agg(F.min(F.struct("low", "th")).alias("best")))
+    stays = named.join(best, "root").filter(F.col("best.th") == F.col("th"))
+    stays = cut(stays.select(F.col("th").alias("kept_th"), F.col("low.id").alias("kept_id")))
+    matched = prints.select("th", "id").join(stays, F.col("th") == F.col("kept_th"), "left")
+    same = F.col("kept_th").isNotNull() & F.col("id").eqNullSafe(F.col("kept_id"))
+    gone = cut(matched.filter(~same).select(F.col("th").alias("__th"), F.col("id").alias("__id")).distinct())
+    dropped = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.withColumn("__own", th).join(
+        dropped, (F.col("__own") == F.col("__th")) & docs[id_col].eqNullSafe(F.col("__id")), "left_anti"
+    )
+    again = matched.filter(same).groupBy("th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not again.isEmpty():  # rows repeated with id and text
+        kept = kept.dropDuplicates(["__own"])
+    return kept.drop("__own")

@@ -250,29 +250,38 @@ def train(
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score (0 to 1) of every row's whole text; null and empty texts score as ones without marks.
+def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """docs with a score (0 to 1) of every row's whole text; null and empty texts score as ones without marks.
 
     Null ids, repeated rows and ties are rows like any other; an empty table gives an empty
-    result; further columns are ignored. Disguised tokens (stand-ins, separators, repeated or
-    spaced letters) are decoded first, and both what stands there and what is restored count.
+    result; all columns are kept, one named like ``out`` is replaced. Disguised tokens (stand-ins,
+    separators, repeated or spaced letters) are decoded first, and both what stands there and what
+    is restored count.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.drop(out)
+    names = rows.columns
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         reader = Reader(m)
         for b in batches:
-            x = np.array([reader.evidence(t.as_py()) for t in b.column(1)])
+            x = np.array([reader.evidence(t.as_py()) for t in b.column(at)])
             p = 1 / (1 + np.exp(-np.clip(m.slope * x + m.bias, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*names, out])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return slim.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{kinds}, `{out}` double")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **how) -> DataFrame:
+    """docs without the rows that score ``threshold`` or more under a model learned from docs and labels."""
+    kept = score(docs, train(docs, labels, **how), out="__toxicity").filter(F.col("__toxicity") < threshold)
+    return kept.select(*docs.columns)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    scored = score(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
