@@ -203,15 +203,17 @@ def train(
     other half. The letter model counts the trigrams of all rows' whole texts.
     """
     label = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).filter("y IS NOT NULL").distinct()
-    rows = docs.filter(~held_out(F.col(id_col))).select(F.col(id_col).alias("__d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.join(label, F.col("__d") == F.col("__id")).select("__d", "t", "y")
     counts = {r["y"]: r["n"] for r in label.filter(~held_out(F.col("__id"))).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(1) or not counts.get(0):
         return Model()
-    draw = F.pmod(F.xxhash64(F.lit(5), "__d"), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64(F.lit(5), "__id"), F.lit(1_000_000))
     share = {y: min(1.0, rows_per_class / n) for y, n in counts.items()}
     picked = F.when(F.col("y") == 1, draw < int(1_000_000 * share[1])).otherwise(draw < int(1_000_000 * share[0]))
-    sample = rows.filter(picked).withColumn("half", F.pmod(F.xxhash64(F.lit(55), "__d"), F.lit(2))).select("t", "y", "half")
+    # the drawn labels are bounded, so they go to the texts and no text is shuffled to find them
+    drawn = F.broadcast(label.filter(~held_out(F.col("__id"))).filter(picked))
+    rows = docs.select(F.col(id_col).alias("__d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = rows.join(drawn, F.col("__d") == F.col("__id")).select("__d", "t", "y")
+    sample = rows.withColumn("half", F.pmod(F.xxhash64(F.lit(55), "__d"), F.lit(2))).select("t", "y", "half")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
