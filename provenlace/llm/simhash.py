@@ -135,7 +135,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Near-duplicate search: buckets up to this size give all their pairs, larger ones pairs with their pivots.
 PAIRED = 8
-PIVOTS = 4
+PIVOTS = 2
 #: Candidates further apart than this are not compared by shingles.
 FAR = 20
 #: Dropped rows up to this number (under 100 bytes each) are broadcast, more are shuffled.
@@ -152,13 +152,14 @@ def _shingles(text: Column, words: int) -> tuple[Column, Column]:
     return hashes, F.array_distinct(F.when(F.size(h) >= words, long).otherwise(F.array(F.xxhash64(h))))
 
 
-def near_duplicate_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+def near_duplicate_links(nodes: DataFrame, keys: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
     """(a, b) of nodes (nid, fp) whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     Candidates share a bucket of the covering tables. Buckets of up to PAIRED members give all
     pairs; in larger ones each member is compared with PIVOTS members that hashes pick, the same
     in every bucket that holds them, so a large group of copies gives a few pairs per member.
-    texts has nid and t for every node.
+    keys has nid, key_th and own for every node, texts th, id and t for every row: a node's text is
+    that of the row with its th and own id.
     """
     masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
     rows = nodes.select("nid", "fp", F.explode(masks).alias("mask")).select(
@@ -179,10 +180,13 @@ def near_duplicate_links(nodes: DataFrame, texts: DataFrame, words: int, similar
     stars = crowd.join(tops, "key").filter((F.col("x.nid") != F.col("y.nid")) & close)
     stars = stars.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b"))
     pairs = cut(two.unionByName(some).unionByName(stars).distinct())
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(keys, "nid"))
+    wanted = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
     hashes, shingles = _shingles(F.col("t"), words)
-    sets = texts.join(needed, "nid", "left_semi").select("nid", hashes.alias("__w")).select("nid", shingles.alias("s"))
-    sets = cut(sets)
+    found = texts.join(wanted, (F.col("th") == F.col("key_th")) & F.col("id").eqNullSafe(F.col("own")))
+    sets = found.select("nid", hashes.alias("__w")).select("nid", shingles.alias("s"))
+    # rows repeated with id and text give the same set
+    sets = cut(sets.dropDuplicates(["nid"]))
     both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
@@ -207,9 +211,8 @@ def drop_near_duplicates(
     nodes = cut(prints.groupBy("th").agg(least_id.alias("low"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
     nodes = cut(nodes.withColumn("nid", F.monotonically_increasing_id()))
     base = docs.select(th.alias("th"), F.col(id_col).alias("id"), t.alias("t"))
-    first = nodes.select("th", "nid", F.col("low.id").alias("own"))
-    texts = base.join(first, "th").filter(F.col("id").eqNullSafe(F.col("own"))).select("nid", "t")
-    roots = components(near_duplicate_links(nodes.select("nid", "fp"), texts, words, similarity, radius))
+    keys = nodes.select("nid", F.col("th").alias("key_th"), F.col("low.id").alias("own"))
+    roots = components(near_duplicate_links(nodes.select("nid", "fp"), keys, base, words, similarity, radius))
     named = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("th", "low", "nid", F.coalesce("root", "nid").alias("root"))
     named = cut(named)
     best = cut(named.groupBy("root").agg(F.min(F.struct("low", "th")).alias("best")))
