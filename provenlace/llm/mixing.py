@@ -158,7 +158,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
         "block", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("size") - 1) / size)))
     ).withColumn("n", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * size) - F.greatest("start", F.col("block") * size))
     taken = (
-        pieces.join(uses, ["sk", "block"], "left")
+        # the uses grow with the corpus, so they are never broadcast, however well they compress
+        pieces.join(uses.hint("merge"), ["sk", "block"], "left")
         .groupBy("id", "th", "sk", "start", "size")
         .agg(F.sum(F.col("n") * F.coalesce("uses", F.lit(0))).alias("taken"))
         .select("id", "th", "sk", "size", "taken")
