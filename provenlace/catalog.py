@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from provenlace.operators import queries as grouped
-from provenlace.plans import evaluation, graph, lattice, log, text, validity
+from provenlace.plans import evaluation, graph, lattice, log, partition, text, validity
 from provenlace.plans.dialect import plan
 from provenlace.streaming import liveness
 
@@ -12,5 +12,5 @@ ORACLE: dict = {}
 for _module in (text, log, graph, validity, lattice, evaluation):
     for _name, _body in _module.PLANS.items():
         QUERIES[_name], ORACLE[_name] = plan(_body)
-QUERIES |= grouped.QUERIES | liveness.QUERIES
-ORACLE |= grouped.ORACLE | liveness.ORACLE
+QUERIES |= grouped.QUERIES | liveness.QUERIES | partition.QUERIES
+ORACLE |= grouped.ORACLE | liveness.ORACLE | partition.ORACLE

@@ -51,6 +51,9 @@ WITH rule AS (SELECT 'about_entity' AS etype, 'claim' AS kind UNION ALL SELECT '
 SELECT e.edge_id, a.kind FROM edge e JOIN assertion a ON a.turn_id = e.src LEFT JOIN rule r ON r.etype = e.etype AND r.kind = a.kind WHERE r.etype IS NULL""",
     "commit_v2_ids": "SELECT key, count(DISTINCT payload) AS payloads FROM log WHERE op = 'node.add' GROUP BY key HAVING count(DISTINCT payload) > 1",
     "commit_v3_provenance": "SELECT e.edge_id FROM edge e LEFT JOIN assertion a ON a.turn_id = e.src AND a.ix < 6 WHERE a.span_id IS NULL",
+    "commit_v4_eligibility": """
+SELECT a.assertion_id, a.eligibility, count(*) AS edges FROM edge e JOIN assertion a ON a.turn_id = e.src
+WHERE a.eligibility <> 'eligible' GROUP BY a.assertion_id, a.eligibility""",
     "commit_v5_intervals": "SELECT turn_id, lo, hi FROM validity WHERE hi IS NOT NULL AND hi - lo > 120",
     "commit_v6_duplicates": """
 SELECT key, seq FROM (SELECT key, seq, op, lag(op) OVER (PARTITION BY key ORDER BY seq) AS was FROM log WHERE op IN ('edge.add', 'edge.invalidate')) l

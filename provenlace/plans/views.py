@@ -82,4 +82,5 @@ def with_views(body: str, views: tuple[str, ...]) -> str:
     head = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in order)
     if not order:
         return body
-    return f"WITH {head},\n{body.strip()[5:]}" if body.strip().upper().startswith("WITH ") else f"WITH {head}\n{body}"
+    own = re.match(r"\s*WITH (RECURSIVE )?", body, re.IGNORECASE)
+    return f"WITH {own[1] or ''}{head},\n{body[own.end() :]}" if own else f"WITH {head}\n{body}"
