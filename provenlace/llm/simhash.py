@@ -133,9 +133,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-#: Near-duplicate search: buckets up to this size give all their pairs, larger ones pairs with their pivots.
+#: Near-duplicate search: buckets up to this size give all their pairs, larger ones pairs with their pivots first.
 PAIRED = 8
 PIVOTS = 2
+#: Words of 64 bits of a set's bitmap, a power of two.
+MAPS = 16
 #: Candidates further apart than this are not compared by shingles.
 FAR = 20
 #: Dropped rows up to this number (under 100 bytes each) are broadcast, more are shuffled.
@@ -157,7 +159,10 @@ def near_duplicate_links(nodes: DataFrame, keys: DataFrame, texts: DataFrame, wo
 
     Candidates share a bucket of the covering tables. Buckets of up to PAIRED members give all
     pairs; in larger ones each member is compared with PIVOTS members that hashes pick, the same
-    in every bucket that holds them, so a large group of copies gives a few pairs per member.
+    in every bucket that holds them, so a large group of copies gives a few pairs per member. Where
+    that leaves a bucket in several components, its members outside the largest one are joined with
+    those of other components by the rarest shingles of their texts (_prefix_pairs): of the similar
+    texts within ``radius`` none stays apart.
     keys has nid, key_th and own for every node, texts th, id and t for every row: a node's text is
     that of the row with its th and own id.
     """
@@ -180,18 +185,65 @@ def near_duplicate_links(nodes: DataFrame, keys: DataFrame, texts: DataFrame, wo
     stars = crowd.join(tops, "key").filter((F.col("x.nid") != F.col("y.nid")) & close)
     stars = stars.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b"))
     pairs = cut(two.unionByName(some).unionByName(stars).distinct())
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(keys, "nid"))
+    sets = cut(_sets(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), keys, texts, words))
+    links = cut(_similar(pairs, sets, similarity))
+    # what pivots don't settle: large buckets whose members are still in several components
+    roots = components(links)
+    placed = crowd.join(roots, F.col("x.nid") == roots["node"], "left").select("key", "x", F.coalesce("root", "x.nid").alias("root"))
+    shares = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = shares.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    apart = placed.join(mixed.filter("parts > 1").select("key", "main"), "key")
+    apart = apart.groupBy("x.nid").agg(F.first("x.fp").alias("fp"), F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("outside"))
+    apart = cut(apart)
+    if apart.isEmpty():
+        return links
+    sets = cut(_sets(apart.select("nid"), keys, texts, words))
+    more = cut(_prefix_pairs(apart.join(sets, "nid"), similarity, radius).join(pairs, ["a", "b"], "left_anti"))
+    return links.unionByName(_similar(more, sets, similarity))
+
+
+def _sets(nids: DataFrame, keys: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(nid, s): the shingle sets of the given nodes; no other texts are fetched."""
+    needed = cut(nids.join(keys, "nid"))
     wanted = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
     hashes, shingles = _shingles(F.col("t"), words)
     found = texts.join(wanted, (F.col("th") == F.col("key_th")) & F.col("id").eqNullSafe(F.col("own")))
-    sets = found.select("nid", hashes.alias("__w")).select("nid", shingles.alias("s"))
     # rows repeated with id and text give the same set
-    sets = cut(sets.dropDuplicates(["nid"]))
+    return found.select("nid", hashes.alias("__w")).select("nid", shingles.alias("s")).dropDuplicates(["nid"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity."""
     both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _prefix_pairs(nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """(a, b) of nodes (nid, fp, root, outside, s) that may be similar, no such pair left out.
+
+    One of the two is outside, their roots differ and their fingerprints are within ``radius``.
+    Sets of that similarity share an element of their prefixes, the rarest elements of each, as
+    many as may be lacking in the other and one more; and neither is much larger than the other.
+    """
+    flat = nodes.select("nid", F.explode("s").alias("h"))
+    rarity = flat.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    maps = [F.coalesce(F.bit_or(F.expr(f"CASE WHEN (h >> 6 & {MAPS - 1}) = {i} THEN shiftleft(1L, CAST(h & 63 AS INT)) END")), F.lit(0)).cast("long") for i in range(MAPS)]
+    ordered = flat.join(rarity, "h").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("o"), F.struct(*[m.alias(f"m{i}") for i, m in enumerate(maps)]).alias("maps"))
+    size = F.size("o")
+    # a little under, so that rounding makes prefixes longer, never shorter
+    prefix = F.slice("o", F.lit(1), size - F.ceil(size * similarity - 1e-6).cast("int") + 1)
+    probes = nodes.drop("s").join(ordered, "nid").select("nid", "fp", "root", "outside", "maps", size.alias("size"), F.explode(prefix).alias("p"))
+    probes = cut(probes.select(F.col("p.h").alias("h"), F.struct("nid", "fp", "root", "size", "maps").alias("x"), "outside"))
+    rest = probes.filter("outside").select("h", F.col("x").alias("y"))
+    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius
+    alike = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6
+    unlike = sum((F.bit_count(F.col(f"x.maps.m{i}").bitwiseXOR(F.col(f"y.maps.m{i}"))) for i in range(1, MAPS)), F.bit_count(F.col("x.maps.m0").bitwiseXOR(F.col("y.maps.m0"))))
+    alike &= unlike <= (F.col("x.size") + F.col("y.size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    pairs = rest.join(probes.select("h", "x"), "h").filter((F.col("x.root") != F.col("y.root")) & near & alike)
+    return pairs.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+
+
 def drop_near_duplicates(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import re
@@ -154,6 +155,18 @@ def test_near_duplicates(spark, odd, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_in_a_crowded_bucket(spark):
+    """Orders of the same words: one fingerprint for all, near-duplicates only inside each order."""
+    rows, want = [], set()
+    for group in range(20):
+        words = sorted((f"w{i}" for i in range(120)), key=lambda w: hashlib.md5(f"{group} {w}".encode()).digest())
+        swapped = [*words[:50], words[51], words[50], *words[52:]]
+        rows += [(100 + group, " ".join(words)), (200 + group, " ".join(swapped))]
+        want.add(100 + group)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (20, 21), (7, 7), (None, 1)], "a long, b long")
     got = {r.node: r.root for r in components.components(links).collect()}
