@@ -160,8 +160,8 @@ def near_duplicate_links(nodes: DataFrame, keys: DataFrame, texts: DataFrame, wo
     Candidates share a bucket of the covering tables. Buckets of up to PAIRED members give all
     pairs; in larger ones each member is compared with PIVOTS members that hashes pick, the same
     in every bucket that holds them, so a large group of copies gives a few pairs per member. Where
-    that leaves a bucket in several components, its members outside the largest one are joined with
-    those of other components by the rarest shingles of their texts (_prefix_pairs): of the similar
+    that leaves a bucket in several components, members of those that are not its largest are joined
+    with members of other components by the rarest shingles of their texts (_prefix_pairs): of the similar
     texts within ``radius`` none stays apart.
     keys has nid, key_th and own for every node, texts th, id and t for every row: a node's text is
     that of the row with its th and own id.
@@ -189,12 +189,13 @@ def near_duplicate_links(nodes: DataFrame, keys: DataFrame, texts: DataFrame, wo
     links = cut(_similar(pairs, sets, similarity))
     # what pivots don't settle: large buckets whose members are still in several components
     roots = components(links)
-    placed = crowd.join(roots, F.col("x.nid") == roots["node"], "left").select("key", "x", F.coalesce("root", "x.nid").alias("root"))
-    shares = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    nid, root = F.col("x.nid"), F.coalesce("root", "x.nid").alias("root")
+    placed = crowd.join(roots, nid == roots["node"], "left").select("key", root)
+    shares = cut(placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")))
     mixed = shares.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    apart = placed.join(mixed.filter("parts > 1").select("key", "main"), "key")
-    apart = apart.groupBy("x.nid").agg(F.first("x.fp").alias("fp"), F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("outside"))
-    apart = cut(apart)
+    torn = shares.join(mixed.filter("parts > 1"), "key").groupBy("root").agg(F.max(F.col("root") != F.col("main")).alias("outside"))
+    apart = crowd.select("x").distinct().join(roots, nid == roots["node"], "left").select("x.nid", "x.fp", root)
+    apart = cut(apart.join(torn, "root"))
     if apart.isEmpty():
         return links
     sets = cut(_sets(apart.select("nid"), keys, texts, words))
