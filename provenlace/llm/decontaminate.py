@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from functools import cache, reduce
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenlace.llm.common import cut, table
 
-#: Which of eight neighbouring tokens each mask compares. Whatever single token a window of eight
-#: has had replaced, the last seven or first seven windows around it miss it under some mask.
-MASKS = ("11101011", "11011101", "10110111")
-SPAN = 8
-#: Documents are probed at every fourth token, items indexed at every one: any 11 tokens in a row
-#: that agree hold a probed window, and a passage of 15 tokens holds two.
-STRIDE = 4
+#: Positions a seed compares at most, and seeds of a window length at most: more positions make fewer chance hits.
+WEIGHT = 6
+FAMILY = 3
+#: Windows up to this length get spaced seeds, longer ones a run of tokens.
+SPACED = 16
 #: A benchmark index up to this many seeds (about 40 bytes each) is broadcast; a larger one is shuffled.
 BROADCAST_SEEDS = 1_000_000
 #: Hits up to this number (about 60 bytes each) are broadcast to the documents' texts.
@@ -29,11 +31,30 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def _seeds(hashes: Column, stride: int) -> Column:
-    """At 3 i + m: the hash, under mask m, of the window that starts at token i * stride."""
-    at = lambda i, mask: F.xxhash64(*[F.get(hashes, i + k) for k, bit in enumerate(mask) if bit == "1"])
-    windows = F.when(F.size(hashes) >= SPAN, F.sequence(F.lit(0), F.size(hashes) - SPAN, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(windows, lambda i: F.array(*[at(i, m) for m in MASKS])))
+@cache
+def seed_masks(length: int, wrong: int) -> tuple[tuple[int, ...], ...]:
+    """Few masks, as positions from 0, such that wherever ``wrong`` of ``length`` tokens differ, one fits between them somewhere."""
+    if not wrong:
+        return (tuple(range(length)),)
+    if length <= SPACED:
+        spoilt = [set(c) for c in combinations(range(length), wrong)]
+        for weight in range(min(WEIGHT, length - wrong), 1, -1):
+            spared = {}
+            for rest in combinations(range(1, length), weight - 1):
+                placed = [{o + x for x in (0, *rest)} for o in range(length - rest[-1])]
+                spared[(0, *rest)] = {i for i, c in enumerate(spoilt) if any(not c & p for p in placed)}
+            left, masks = set(range(len(spoilt))), []
+            while left and len(masks) < FAMILY:
+                masks.append(max(spared, key=lambda m: (len(spared[m] & left), -m[-1], m)))
+                left -= spared[masks[-1]]
+            if not left:
+                return tuple(masks)
+    return (tuple(range(max(1, ceil((length - wrong) / (wrong + 1))))),)  # the longest run that agrees
+
+
+def _seed(hashes: Column, i: Column, mask: tuple[int, ...]) -> Column:
+    """The hash, under a mask, of the tokens from i on; those past the end are left out."""
+    return F.xxhash64(*[F.get(hashes, i + k) for k in mask])
 
 
 def contaminated(
@@ -48,29 +69,44 @@ def contaminated(
 ) -> DataFrame:
     """Which documents hold part of which benchmark items: id, item, start, n_aligned, n_matched.
 
-    A document is hit by an item where their windows of eight tokens agree under a mask; the
-    alignment is then compared token by token. It counts when, in some ``window`` aligned tokens
-    (all of them, if the item is shorter), at least ``similarity`` agree, so replaced tokens do
-    not hide a passage. One row per document and item, with the best alignment: the first aligned
-    token of the document, and how many aligned tokens there are and agree.
+    An item counts when, in some ``window`` aligned tokens (all of them, if the item is shorter), at
+    least ``similarity`` agree, so replaced tokens do not hide a passage. Documents and items are
+    compared under masks at every token, and whichever tokens of such a window differ, one of its
+    masks misses them (seed_masks), so that every such alignment is found; it is then compared token
+    by token. One row per document and item, with the best alignment: the first aligned token of the
+    document, and how many aligned tokens there are and agree.
 
-    Tokens are lower-case runs of letters and digits. Texts of fewer than eight tokens, null texts
-    among them, match nothing. Items of equal text are all reported; repeated document rows are
+    Tokens are lower-case runs of letters and digits. Items of few tokens count as others
+    do: up to four must agree in all, one of one token with each document that has it. Texts without
+    tokens, null texts among them, match nothing. Items of equal text are all reported; repeated document rows are
     reported once per distinct text. Null ids are reported as null. Empty tables give an empty
     result; further columns are ignored.
     """
     items = bench.select(F.col(item_col).alias("item"), token_hashes(F.col(item_text_col)).alias("it"))
-    texts = cut(items.filter(F.size("it") >= SPAN).groupBy("it").agg(F.collect_set("item").alias("items")).withColumn("k", F.xxhash64("it")))
-    index = texts.select("k", F.posexplode(_seeds(F.col("it"), 1)).alias("p", "seed"))
-    index = cut(index.select("seed", (F.col("p") % len(MASKS)).alias("m"), "k", F.floor(F.col("p") / len(MASKS)).cast("int").alias("at")))
+    texts = cut(items.filter(F.size("it") > 0).groupBy("it").agg(F.collect_set("item").alias("items")).withColumn("k", F.xxhash64("it")))
+    w = F.least(F.lit(window), F.size("it"))
+    lengths = [r[0] for r in texts.select(w).distinct().collect()]
+    families = {n: seed_masks(n, n - ceil(n * similarity)) for n in lengths}
+    masks = sorted({m for family in families.values() for m in family})
+    parts = []
+    for m, mask in enumerate(masks):
+        of = texts.filter(w.isin([n for n in lengths if mask in families[n]]))
+        seeds = F.transform(F.sequence(F.lit(0), F.size("it") - 1 - mask[-1]), lambda i: _seed(F.col("it"), i, mask))  # noqa: B023
+        parts.append(of.select("k", F.lit(m).alias("m"), F.posexplode(seeds).alias("at", "seed")))
+    none = texts.limit(0).select("k", F.lit(0).alias("m"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("seed"))
+    index = cut(reduce(DataFrame.unionByName, parts, none))
     if index.count() <= BROADCAST_SEEDS:
         index = F.broadcast(index)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     th = F.xxhash64("t")
     # the hashes are a column of their own: inside the seeds' lambda they would be made anew for each token
     hashed = base.select("id", th.alias("th"), token_hashes(F.col("t")).alias("hs"))
-    probes = hashed.select("id", "th", F.posexplode(_seeds(F.col("hs"), STRIDE)).alias("p", "seed"))
-    probes = probes.select("id", "th", "seed", (F.col("p") % len(MASKS)).alias("m"), (F.floor(F.col("p") / len(MASKS)) * STRIDE).cast("int").alias("pos"))
+    # seeds that tokens past the end are left out of agree with none of the index, which has whole ones only
+    at = F.when(F.size("hs") > 0, F.sequence(F.lit(0), F.size("hs") - 1)).otherwise(F.array().cast("array<int>"))
+    every = masks or [(0,)]
+    seeds = F.flatten(F.transform(at, lambda i: F.array(*[_seed(F.col("hs"), i, mask) for mask in every])))
+    probes = hashed.select("id", "th", F.posexplode(seeds).alias("p", "seed"))
+    probes = probes.select("id", "th", "seed", (F.col("p") % len(every)).alias("m"), F.floor(F.col("p") / len(every)).cast("int").alias("pos"))
     hits = probes.join(index, ["seed", "m"]).select("id", "th", "k", (F.col("pos") - F.col("at")).alias("shift")).distinct()
     hits = hits.withColumnsRenamed({"id": "hit_id", "th": "hit_th"})
     hits = cut(hits)

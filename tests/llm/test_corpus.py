@@ -268,3 +268,35 @@ def test_pipeline_stages(spark):
     assert {"doc_id", "shard", "slot"} <= set(out.columns)
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert ids <= {r.doc_id for r in docs.select("doc_id").collect()} and len(ids) > 80
+
+
+def overlaps(doc, item, window=13, similarity=0.8):
+    """Whether some aligned window of the item (all of it, if shorter) agrees enough, by trying all alignments."""
+    w = min(window, len(item))
+    for shift in range(-len(item) + 1, len(doc)):
+        agree = [doc[i] == item[i - shift] for i in range(max(0, shift), min(len(doc), len(item) + shift))]
+        if any(sum(agree[i : i + w]) >= w * similarity for i in range(len(agree) - w + 1)):
+            return True
+    return False
+
+
+def test_decontamination_brute_force(spark):
+    """Items of 1 to 24 tokens, short ones among them, at all offsets, with the replaced tokens anywhere."""
+    rng = __import__("random").Random(3)
+    items = {n: [f"q{n}x{i}" for i in range(n)] for n in [*range(1, 16), 20, 24]}
+    docs = {}
+    for n, item in items.items():
+        for offset in range(9):
+            for wrong in range(5):
+                part = list(item)
+                for i in rng.sample(range(n), min(wrong, n)):
+                    part[i] = "other"
+                docs[len(docs)] = [f"a{i}" for i in range(offset)] + part + ["z"] * (offset % 3)
+    for pair in itertools.combinations(range(13), 2):
+        docs[len(docs)] = ["a"] * (len(docs) % 7) + ["other" if i in pair else t for i, t in enumerate(items[20][4:17])] + ["z"]
+    want = {(d, n) for d, doc in docs.items() for n, item in items.items() if overlaps(doc, item)}
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    rows = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(rows, bench).collect()}
+    assert len(want) > 300
+    assert got == want
