@@ -138,6 +138,10 @@ PAIRED = 8
 PIVOTS = 2
 #: Words of 64 bits of a set's bitmap, a power of two.
 MAPS = 16
+#: One text in so many, and this many at least, are counted for which shingles are frequent; the most frequent ones kept.
+SAMPLED = 16
+SAMPLE_ROWS = 2_000
+FREQUENT = 50_000
 #: Candidates further apart than this are not compared by shingles.
 FAR = 20
 #: Dropped rows up to this number (under 100 bytes each) are broadcast, more are shuffled.
@@ -157,12 +161,11 @@ def _shingles(text: Column, words: int) -> tuple[Column, Column]:
 def near_duplicate_links(nodes: DataFrame, keys: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
     """(a, b) of nodes (nid, fp) whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    Candidates share a bucket of the covering tables. Buckets of up to PAIRED members give all
+    The first candidates share a bucket of the covering tables. Buckets of up to PAIRED members give all
     pairs; in larger ones each member is compared with PIVOTS members that hashes pick, the same
-    in every bucket that holds them, so a large group of copies gives a few pairs per member. Where
-    that leaves a bucket in several components, members of those that are not its largest are joined
-    with members of other components by the rarest shingles of their texts (_prefix_pairs): of the similar
-    texts within ``radius`` none stays apart.
+    in every bucket that holds them, so a large group of copies gives a few pairs per member. These
+    links only spare work: whatever similar texts they leave in different components, near or far
+    by fingerprint, the shingles' prefixes then find (_prefix_links), so none stays apart.
     keys has nid, key_th and own for every node, texts th, id and t for every row: a node's text is
     that of the row with its th and own id.
     """
@@ -187,20 +190,7 @@ def near_duplicate_links(nodes: DataFrame, keys: DataFrame, texts: DataFrame, wo
     pairs = cut(two.unionByName(some).unionByName(stars).distinct())
     sets = cut(_sets(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), keys, texts, words))
     links = cut(_similar(pairs, sets, similarity))
-    # what pivots don't settle: large buckets whose members are still in several components
-    roots = components(links)
-    nid, root = F.col("x.nid"), F.coalesce("root", "x.nid").alias("root")
-    placed = crowd.join(roots, nid == roots["node"], "left").select("key", root)
-    shares = cut(placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")))
-    mixed = shares.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    torn = shares.join(mixed.filter("parts > 1"), "key").groupBy("root").agg(F.max(F.col("root") != F.col("main")).alias("outside"))
-    apart = crowd.select("x").distinct().join(roots, nid == roots["node"], "left").select("x.nid", "x.fp", root)
-    apart = cut(apart.join(torn, "root"))
-    if apart.isEmpty():
-        return links
-    sets = cut(_sets(apart.select("nid"), keys, texts, words))
-    more = cut(_prefix_pairs(apart.join(sets, "nid"), similarity, radius).join(pairs, ["a", "b"], "left_anti"))
-    return links.unionByName(_similar(more, sets, similarity))
+    return links.unionByName(_prefix_links(nodes.select("nid"), links, keys, texts, words, similarity))
 
 
 def _sets(nids: DataFrame, keys: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -220,29 +210,118 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def _prefix_pairs(nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """(a, b) of nodes (nid, fp, root, outside, s) that may be similar, no such pair left out.
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Distinct 64-bit hashes, in order, of the shingles of a text: the same sets as _shingles, by other hashes."""
+    low = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII blanks only
+    h = xxhash.xxh64_intdigest
+    if len(low) < words:
+        return np.array([h(b" ".join(low), 43)], np.uint64)
+    each = np.fromiter((h(w, 42) for w in low), np.uint64, len(low))
+    last = len(low) - words + 1
+    mixed = each[:last].copy()
+    for k in range(1, words):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + each[k : k + last]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(mixed ^ (mixed >> np.uint64(32)))
+
+
+def _prefixes(found: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(nid, size, maps, p) of texts (nid, t): size and bitmap of the shingle set, and its prefix.
+
+    Sets of that similarity share an element of their prefixes, the first elements in any one order, as
+    many as may be lacking in the other and one more. The order is by frequency in a sample, then
+    by hash: a sample decides how many candidates there are, never whether a pair is found. A bit of the
+    bitmap is whether an odd number of elements fall on it, so two bitmaps differ in no more bits
+    than their sets differ in elements.
+    """
+    n = found.count()
+    share = max(1, min(SAMPLED, n // SAMPLE_ROWS))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words).view(np.int64))], ["h"])
 
-    One of the two is outside, their roots differ and their fingerprints are within ``radius``.
-    Sets of that similarity share an element of their prefixes, the rarest elements of each, as
-    many as may be lacking in the other and one more; and neither is much larger than the other.
+    some = found.filter(F.pmod(F.xxhash64("nid"), F.lit(share)) == 0).select("t").mapInArrow(counted, "h long")
+    often = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    common, times = often["h"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    by_hash = np.argsort(common)
+    shared = found.sparkSession.sparkContext.broadcast((common[by_hash], times[by_hash]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = shared.value
+        for b in batches:
+            sizes, maps, prefixes = [], [], []
+            for t in b.column(1):
+                s = shingle_set(t.as_py(), words)
+                bits = np.bincount((s & np.uint64(64 * MAPS - 1)).astype(np.int64), minlength=64 * MAPS) & 1
+                maps.append(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64))
+                sizes.append(len(s))
+                # a little under, so that rounding makes prefixes longer, never shorter
+                most = len(s) - int(np.ceil(len(s) * similarity - 1e-6)) + 1
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, count[at], 0), kind="stable")]
+                prefixes.append(s[:most].view(np.int64))
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(maps, lists), pa.array(prefixes, lists)], ["nid", "size", "maps", "p"])
+
+    return cut(found.select("nid", "t").mapInArrow(run, "nid long, size int, maps array<long>, p array<long>"))
+
+
+def _prefix_links(nodes: DataFrame, links: DataFrame, keys: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) that with the given links join all nodes (nid) of the similarity, however far apart by fingerprint.
+
+    Only shingles whose texts are in several components give candidates, and only pairs of different
+    components. Where many texts share one, each is first compared with PIVOTS of them, and pairs are made of
+    what then still is apart.
     """
-    flat = nodes.select("nid", F.explode("s").alias("h"))
-    rarity = flat.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    maps = [F.coalesce(F.bit_or(F.expr(f"CASE WHEN (h >> 6 & {MAPS - 1}) = {i} THEN shiftleft(1L, CAST(h & 63 AS INT)) END")), F.lit(0)).cast("long") for i in range(MAPS)]
-    ordered = flat.join(rarity, "h").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("o"), F.struct(*[m.alias(f"m{i}") for i, m in enumerate(maps)]).alias("maps"))
-    size = F.size("o")
-    # a little under, so that rounding makes prefixes longer, never shorter
-    prefix = F.slice("o", F.lit(1), size - F.ceil(size * similarity - 1e-6).cast("int") + 1)
-    probes = nodes.drop("s").join(ordered, "nid").select("nid", "fp", "root", "outside", "maps", size.alias("size"), F.explode(prefix).alias("p"))
-    probes = cut(probes.select(F.col("p.h").alias("h"), F.struct("nid", "fp", "root", "size", "maps").alias("x"), "outside"))
-    rest = probes.filter("outside").select("h", F.col("x").alias("y"))
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius
+    wanted = keys if nodes.count() > BROADCAST_ROWS else F.broadcast(keys)
+    found = texts.join(wanted, (F.col("th") == F.col("key_th")) & F.col("id").eqNullSafe(F.col("own"))).select("nid", "t")
+    prefixes = _prefixes(found, words, similarity)
+    shares = cut(_torn(prefixes, components(links)))
+    order = lambda i: F.struct(F.xxhash64(F.lit(i), "x.nid"), "x.nid")
+    crowd = shares.join(shares.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRED).select("h"), "h")
+    more = None
+    if not crowd.isEmpty():
+        tops = crowd.groupBy("h").agg(F.array(*[F.min_by("x", order(i)) for i in range(PIVOTS)]).alias("ys"))
+        tops = cut(tops.select("h", F.explode(F.array_distinct("ys")).alias("y")))
+        more = _alike(crowd.select("h", "x"), tops, similarity, F.col("x.nid") != F.col("y.nid"))
+        more = cut(_similar(more, _sets(_ends(more), keys, texts, words), similarity))
+        # components only grow, so no other elements are shared by several now
+        shares = shares.join(components(links.unionByName(more)), F.col("x.nid") == F.col("node"), "left")
+        shares = cut(shares.select("h", F.col("x").withField("root", F.coalesce("root", "x.nid")).alias("x")))
+        torn = shares.groupBy("h").agg(F.min("x.root").alias("low"), F.max("x.root").alias("high")).filter("low <> high").select("h")
+        shares = cut(shares.join(torn, "h"))
+    rest = _alike(shares, shares.select("h", F.col("x").alias("y")), similarity, F.col("x.nid") < F.col("y.nid"))
+    last = cut(_similar(rest, _sets(_ends(rest), keys, texts, words), similarity))
+    return last if more is None else more.unionByName(last)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+
+
+def _torn(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, x): prefix elements that nodes of several components have, with these nodes."""
+    placed = prefixes.join(roots, F.col("nid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "nid"))
+    placed = cut(placed.select("nid", "root", "size", "maps", "p"))
+    flat = placed.select(F.explode("p").alias("h"), "nid", "root")
+    torn = cut(flat.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h"))
+    if torn.count() <= BROADCAST_ROWS:
+        torn = F.broadcast(torn)
+    kept = flat.select("h", "nid").join(torn, "h").distinct()  # rows repeated with id and text come more than once
+    about = placed.select("nid", F.struct("nid", "root", "size", "maps").alias("x")).dropDuplicates(["nid"])
+    return kept.join(about, "nid").select("h", "x")
+
+
+def _alike(xs: DataFrame, ys: DataFrame, similarity: float, cond: Column) -> DataFrame:
+    """(a, b) of different components that share h and may by sizes and bitmaps be similar, no similar one left out."""
     alike = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6
-    unlike = sum((F.bit_count(F.col(f"x.maps.m{i}").bitwiseXOR(F.col(f"y.maps.m{i}"))) for i in range(1, MAPS)), F.bit_count(F.col("x.maps.m0").bitwiseXOR(F.col("y.maps.m0"))))
-    alike &= unlike <= (F.col("x.size") + F.col("y.size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    pairs = rest.join(probes.select("h", "x"), "h").filter((F.col("x.root") != F.col("y.root")) & near & alike)
-    return pairs.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+    differ = [F.bit_count(F.get("x.maps", F.lit(i)).bitwiseXOR(F.get("y.maps", F.lit(i)))) for i in range(MAPS)]
+    alike &= sum(differ[1:], differ[0]) <= (F.col("x.size") + F.col("y.size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    pairs = xs.join(ys, "h").filter(cond & (F.col("x.root") != F.col("y.root")) & alike)
+    return cut(pairs.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct())
 
 
 def drop_near_duplicates(
@@ -252,8 +331,8 @@ def drop_near_duplicates(
 
     Rows of equal texts are a group, and groups whose texts' sets of ``words``-word shingles (words
     cut at ASCII blanks, A-Z in lower case) have a Jaccard similarity of ``similarity`` or more are
-    joined. Candidates come from covering hashing, with ``radius``, of SimHash fingerprints of the
-    distinct words: replaced words change few of these, while each changes ``words`` shingles.
+    joined, all of them: first those that covering hashing, with ``radius``, of SimHash fingerprints of
+    the distinct words brings together, then those that prefixes of the shingle sets find among the rest.
     Null, empty and blank-less texts follow the same rules, null counting as empty. Null ids come
     last. Of repeated rows one stays. An empty table gives an empty one; all columns are kept.
     """

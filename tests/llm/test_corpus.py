@@ -300,3 +300,38 @@ def test_decontamination_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(rows, bench).collect()}
     assert len(want) > 300
     assert got == want
+
+
+def shingles(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)}
+
+
+@pytest.mark.parametrize("paired", [8, 2])
+def test_near_duplicates_brute_force(spark, monkeypatch, paired):
+    """Copies with a passage added or cut, or words replaced, at shares around the similarity; a common passage; odd texts."""
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    rng = __import__("random").Random(5)
+    some = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    shared, texts = some(60), ["", None, " \t", "one", "ONE", "one two", "a b c d e", "A  b c d e"]
+    for n in (40, 120, 400):
+        for _ in range(8):
+            base = some(n)
+            texts.append(" ".join(base))
+            for share in (0.05, 0.1, 0.18, 0.3):
+                m, at = max(1, int(n * share)), rng.randrange(n)
+                edits = [base + some(m), base[:at] + some(m) + base[at:], base[m:], base[: at - at // 4] + base[min(n, at - at // 4 + m) :]]
+                swapped = list(base)
+                for i in rng.sample(range(n), max(1, m // 5)):
+                    swapped[i] = "other"
+                texts.append(" ".join(rng.choice([*edits, swapped])))
+    texts += [" ".join(shared + some(n)) for n in (4, 5, 8, 15, 40) for _ in range(5)]
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if root[a] != root[b] and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(root)
+    assert len(set(root)) < len(texts) - 40
