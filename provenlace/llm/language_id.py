@@ -48,8 +48,9 @@ class NGrams:
         """Hashes (n, 2), the text each row of them belongs to, and the letters of each text."""
         lower = [t.lower() for t in texts]
         chars = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.cumsum([len(t) + 1 for t in lower])
-        owner = np.repeat(np.arange(len(lower)), np.diff(ends, prepend=0))
+        owner = np.repeat(np.arange(len(lower)), np.fromiter((len(t) + 1 for t in lower), np.int64, len(lower)))
+        if not lower:
+            return np.zeros((0, 2), np.uint32), owner, np.zeros(0, np.int64)
         is_letter = self.letter[chars]
         letters = np.bincount(owner[is_letter], minlength=len(lower))
         before = np.concatenate([[False], is_letter[:-1]])
@@ -133,16 +134,24 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
     return Model(families, pairs, np.stack([w for w, _ in columns], axis=1), np.array([b for _, b in columns]))
 
 
-def train(docs: DataFrame, rows_per_language: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on about ``rows_per_language`` rows of each language (the documented bound of the sample).
+def train(
+    docs: DataFrame,
+    rows_per_language: int = 600,
+    most_rows: int = 4800,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+) -> Model:
+    """Fit on about ``rows_per_language`` rows of each language, about ``most_rows`` in all (the documented bounds of the sample).
 
     Only rows that are not held out and have a text and a language; which of them is decided by a
-    hash of the id. The driver gets a vector of 4096 numbers for each of these rows.
+    hash of the id. The driver gets a vector of 4096 numbers for each of these rows, 80 MB at most.
     """
     usable = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return fit([])
+    rows_per_language = min(rows_per_language, most_rows / len(counts))
     draw = F.pmod(F.xxhash64(F.lit(6), id_col, F.length(text_col)), F.lit(1_000_000))
     share = F.lit(0)
     for lang, n in counts.items():
