@@ -32,9 +32,8 @@ SPACED = re.compile(r"(?<![^\s])[^\W_](?:[ .\-_*]{1,2}[0-9@$!|+€(¡£¢a-zß-
 PREFIXES = (4, 5, 6)
 REMEMBERED = 500_000
 COST = {"stand-in": 0.7, "lost": 6.0, "separator": 1.0, "repeat": 0.4}
-KEPT_STATES = 24
-#: Marks of a text that count.
-COUNTED = 3
+#: What a mark counts, against the next heavier one of its text.
+LESS = 0.5
 #: Times as often as in other texts that a mark stands in toxic ones.
 LEAST_RATIO = 10
 
@@ -85,36 +84,44 @@ def letter_model(counts: np.ndarray, words: list[str], share: float = 0.1) -> np
     return -np.log(tri)
 
 
-def decode(seen: str, cost: list) -> str:
+def decode(seen: str, cost: list, slack: float | None = None) -> str:
     """The likeliest text behind ``seen`` (lower case): a Viterbi search over letters.
 
     Each character stands for itself, for what DISGUISE says, or for nothing: separators and
     stand-ins may be noise, a letter may repeat the one before it. A state is the last two letters.
+    States dearer than the cheapest by more than ``slack`` are left: whatever follows, the cheapest
+    may take the same letters and is in the same state two of them later, so with three times the dearest
+    trigram (the default) none of them can win.
     """
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    slack = 3 * max(map(max, map(max, cost))) if slack is None else slack
+    # a text is its last letter and the text before it, so that long tokens share what they begin with
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     for ch in seen:
-        ways = [(ch, 0.0)] if ch in INDEX and ch != " " else []
-        ways += [(c, COST["stand-in"]) for c in DISGUISE.get(ch, "")]
+        ways = [(INDEX[ch], 0.0)] if ch in INDEX and ch != " " else []
+        ways += [(INDEX[c], COST["stand-in"]) for c in DISGUISE.get(ch, "")]
         nothing = COST["repeat"] if ch == before and ways else COST["lost"] if ch in DISGUISE else COST["separator"] if not ch.isalpha() else None
         if not ways and nothing is None:
-            ways = [(" ", 0.0)]
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+            ways = [(0, 0.0)]
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (paid, text) in states.items():
             row = cost[a][b]
-            for c, extra in ways:
-                i = INDEX[c]
+            for i, extra in ways:
                 new = paid + extra + row[i]
                 if (b, i) not in after or new < after[b, i][0]:
-                    after[b, i] = (new, text + c)
+                    after[b, i] = (new, (text, i))
             if nothing is not None:
                 new = paid + nothing
                 if (a, b) not in after or new < after[a, b][0]:
                     after[a, b] = (new, text)
-        if len(after) > KEPT_STATES:
-            after = dict(sorted(after.items(), key=lambda x: x[1][0])[:KEPT_STATES])
-        states, before = after, ch
-    return min((paid + cost[a][b][0], text) for (a, b), (paid, text) in states.items())[1]
+        most = min(x[0] for x in after.values()) + slack
+        states, before = {k: x for k, x in after.items() if x[0] <= most}, ch
+    text = min(((paid + cost[a][b][0], text) for (a, b), (paid, text) in states.items()), key=lambda x: x[0])[1]
+    letters = []
+    while text is not None:
+        text, i = text
+        letters.append(ALPHABET[i])
+    return "".join(reversed(letters))
 
 
 @dataclass
@@ -131,6 +138,7 @@ class Reader:
     def __init__(self, model: Model):
         self.weights = model.weights
         self.cost = None if model.cost is None else model.cost.tolist()
+        self.slack = None if model.cost is None else 3 * float(model.cost.max())
         self.whole = [w for w in model.weights if len(w) > 3 and not w.endswith("*")]
         self.known: dict[str, tuple[str, ...]] = {}
 
@@ -139,7 +147,7 @@ class Reader:
         return max(marks, key=self.weights.__getitem__) if marks else None
 
     def restored(self, seen: str) -> list[str]:
-        return decode(seen, self.cost).split() if self.cost is not None else []
+        return decode(seen, self.cost, self.slack).split() if self.cost is not None else []
 
     def token(self, raw: str) -> tuple[str, ...]:
         low = raw.lower()
@@ -163,8 +171,8 @@ class Reader:
         return found
 
     def evidence(self, text: str | None) -> float:
-        """The weights of the heaviest marks: a few tell, and long texts have no more of them by length."""
-        return float(sum(sorted(map(self.weights.__getitem__, self.marks(text or "")), reverse=True)[:COUNTED]))
+        """The weights of all marks, heaviest first, each counting LESS than the one before: long texts gain little by their length."""
+        return float(sum(w * LESS**i for i, w in enumerate(sorted(map(self.weights.__getitem__, self.marks(text or "")), reverse=True))))
 
 
 def _fit_line(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -199,10 +207,12 @@ def train(
 
     That number is the documented bound of the labelled sample, which a hash of the id draws from
     the rows that are not held out. Marks are words and word beginnings that stand in many
-    toxic and hardly any other texts of one half of the sample; the calibration is fitted on the
-    other half. The letter model counts the trigrams of all rows' whole texts.
+    toxic and hardly any other texts of the sample. For the calibration, marks learned from each half of
+    the sample score the other half, so that all of it serves both. Copies count once. The letter model
+    counts the trigrams of all rows' whole texts. Without labels of both kinds, the model has no marks. Labels
+    whose id or value is null are left out; an id with both labels gives a row of each.
     """
-    label = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).filter("y IS NOT NULL").distinct()
+    label = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).filter("y IS NOT NULL AND __id IS NOT NULL").distinct()
     counts = {r["y"]: r["n"] for r in label.filter(~held_out(F.col("__id"))).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(1) or not counts.get(0):
         return Model()
@@ -212,39 +222,43 @@ def train(
     # the drawn labels are bounded, so they go to the texts and no text is shuffled to find them
     drawn = F.broadcast(label.filter(~held_out(F.col("__id"))).filter(picked))
     rows = docs.select(F.col(id_col).alias("__d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.join(drawn, F.col("__d") == F.col("__id")).select("__d", "t", "y")
-    sample = rows.withColumn("half", F.pmod(F.xxhash64(F.lit(55), "__d"), F.lit(2))).select("t", "y", "half")
+    sample = rows.join(drawn, F.col("__d") == F.col("__id")).select("t", "y", F.pmod(F.xxhash64("t"), F.lit(2)).cast("int").alias("half"))
+    texts = sample.groupBy("t").agg(F.max("y").alias("y"), F.max("half").alias("half"))  # copies count once
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t, y in zip(b.column(0), b.column(1), strict=True):
+            for t, y, half in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 words = set(WORDS.findall(t.as_py().lower()))
                 marks = [*words, *{w[:k] + "*" for w in words for k in PREFIXES if len(w) > k}]
-                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), pa.array([y.as_py()] * len(marks), pa.int32())], ["m", "y"])
-
-    texts = sample.groupBy("t").agg(F.max("y").alias("y"), F.max("half").alias("half"))  # copies count once
-    n = {r["y"]: r["n"] for r in texts.filter("half = 0").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = n.get(1, 0) + 1, n.get(0, 0) + 1
-    least = max(3, round(0.01 * n1))
-    # rates that are held with some certainty: a standard deviation against the mark
-    low_bad = (F.col("bad") - F.sqrt("bad") + 0.5) / n1
-    high_good = (F.col("good") + F.sqrt(F.col("good") + 1) + 0.5) / n0
-    found = (
-        texts.filter("half = 0").select("t", "y").mapInArrow(features, "m string, y int")
-        .groupBy("m").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("good"))
-        .filter(F.col("bad") >= least).select("m", (low_bad / high_good).alias("ratio")).filter(F.col("ratio") > LEAST_RATIO)
-        .collect()
-    )
-    weights = {r["m"]: float(np.log(r["ratio"])) for r in found}
-    model = Model(weights, cost=letter_model(trigram_counts(docs, text_col), [m for m in weights if not m.endswith("*")]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+                told = [pa.array([x.as_py()] * len(marks), pa.int32()) for x in (y, half)]
+                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), *told], ["m", "y", "half"])
+
+    n = {(r["y"], r["half"]): r["n"] for r in texts.groupBy("y", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
+    times = [F.sum(F.when((F.col("y") == y) & (F.col("half") == h), 1).otherwise(0)).alias(f"n{y}{h}") for y in (0, 1) for h in (0, 1)]
+    told = texts.mapInArrow(features, "m string, y int, half int").groupBy("m").agg(*times)
+    kinds = [((0,), "first"), ((1,), "second"), ((0, 1), "all")]
+    ratios = []
+    for halves, name in kinds:
+        n1, n0 = (sum(n.get((y, h), 0) for h in halves) + 1 for y in (1, 0))
+        bad, good = (sum((F.col(f"n{y}{h}") for h in halves), F.lit(0)) for y in (1, 0))
+        # rates that are held with some certainty: a standard deviation against the mark
+        ratio = ((bad - F.sqrt(bad) + 0.5) / n1) / ((good + F.sqrt(good + 1) + 0.5) / n0)
+        ratios.append(F.when((bad >= max(2, round(0.01 * n1))) & (ratio > LEAST_RATIO), F.log(ratio)).alias(name))
+    # a mark stands in a hundredth of the toxic sample at least, so there are few of them
+    found = told.select("m", *ratios).filter("first IS NOT NULL OR second IS NOT NULL OR `all` IS NOT NULL").collect()
+    weights = {name: {r["m"]: r[name] for r in found if r[name] is not None} for _, name in kinds}
+    cost = letter_model(trigram_counts(docs, text_col), [m for m in weights["all"] if not m.endswith("*")])
+    model = Model(weights["all"], cost=cost)
+    shared = docs.sparkSession.sparkContext.broadcast((weights["second"], weights["first"], cost))
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
+        *other, letters = shared.value
+        readers = [Reader(Model(w, cost=letters)) for w in other]
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([reader.evidence(t.as_py()) for t in b.column(0)], pa.float64()), b.column(1)], ["x", "y"])
+            x = [readers[h.as_py()].evidence(t.as_py()) for t, h in zip(b.column(0), b.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column(1)], ["x", "y"])
 
-    other = texts.filter("half = 1").select("t", "y").mapInArrow(evidence, "x double, y int").toPandas()
+    other = texts.select("t", "y", "half").mapInArrow(evidence, "x double, y int").toPandas()
     x, y = other["x"].to_numpy(float), other["y"].to_numpy(float)
     if not 0 < y.sum() < len(y):
         return model
@@ -278,7 +292,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **how) -> DataFrame:
-    """docs without the rows that score ``threshold`` or more under a model learned from docs and labels."""
+    """docs without the rows that score ``threshold`` or more under a model learned from docs and labels.
+
+    Rows with null ids or texts, empty texts, repeated rows and ties are scored like any other, and all rows of a clean
+    text stay; empty labels drop nothing; an empty table stays empty; all columns are kept.
+    """
     kept = score(docs, train(docs, labels, **how), out="__toxicity").filter(F.col("__toxicity") < threshold)
     return kept.select(*docs.columns)
 
