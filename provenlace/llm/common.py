@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; only where that is unset, as in tests, a temporary folder."""
+    """What spark.checkpoint.dir names; only where that is unset on one machine, as in tests, a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not (sc.getConf().get("spark.checkpoint.dir", None) or sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="provenlace-"))
     return sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
