@@ -82,8 +82,9 @@ def contaminated(
     reported once per distinct text. Null ids are reported as null. Empty tables give an empty
     result; further columns are ignored.
     """
-    items = bench.select(F.col(item_col).alias("item"), token_hashes(F.col(item_text_col)).alias("it"))
-    texts = cut(items.filter(F.size("it") > 0).groupBy("it").agg(F.collect_set("item").alias("items")).withColumn("k", F.xxhash64("it")))
+    items = bench.select(F.col(item_col).alias("item"), token_hashes(F.col(item_text_col)).alias("it")).filter(F.size("it") > 0)
+    named = cut(items.select("item", F.xxhash64("it").alias("k"), "it").distinct())
+    texts = cut(named.groupBy("k").agg(F.first("it").alias("it")))
     w = F.least(F.lit(window), F.size("it"))
     lengths = [r[0] for r in texts.select(w).distinct().collect()]
     families = {n: seed_masks(n, n - ceil(n * similarity)) for n in lengths}
@@ -118,7 +119,7 @@ def contaminated(
     lo = F.greatest(F.lit(0), "shift")
     n = F.least(F.size("dt"), F.size("it") + F.col("shift")) - lo
     agree = F.zip_with(F.slice("dt", lo + 1, n), F.slice("it", lo - F.col("shift") + 1, n), lambda a, b: (a == b).cast("int"))
-    pairs = pairs.select("id", "th", "items", lo.alias("start"), agree.alias("agree"), F.size("it").alias("size"))
+    pairs = pairs.select("id", "th", "k", lo.alias("start"), agree.alias("agree"), F.size("it").alias("size"))
     w = F.least(F.lit(window), "size")
     sums = F.transform(
         F.when(F.size("agree") >= w, F.sequence(F.lit(0), F.size("agree") - w)).otherwise(F.array().cast("array<int>")),
@@ -126,11 +127,12 @@ def contaminated(
     )
     found = pairs.withColumn("best", F.array_max(sums)).filter(F.col("best") >= F.ceil(w * similarity))
     found = found.select(
-        "id", "th", F.explode("items").alias("item"), "start",
+        "id", "th", "k", "start",
         F.size("agree").alias("n_aligned"), F.aggregate("agree", F.lit(0), lambda a, x: a + x).alias("n_matched"),
     )
     top = F.max(F.struct("n_matched", (-F.col("start")).alias("s"), "n_aligned")).alias("b")
-    return found.groupBy("id", "th", "item").agg(top).select(
+    # items of equal text share what was found
+    return found.groupBy("id", "th", "k").agg(top).join(named.select("k", "item"), "k").select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("b.s")).cast("long").alias("start"),
         F.col("b.n_aligned").cast("long").alias("n_aligned"), F.col("b.n_matched").cast("long").alias("n_matched"),
     )
