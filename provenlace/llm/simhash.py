@@ -142,10 +142,10 @@ MAPS = 16
 SAMPLED = 16
 SAMPLE_ROWS = 2_000
 FREQUENT = 50_000
-#: Candidates further apart than this are not compared by shingles.
-FAR = 20
-#: Dropped rows up to this number (under 100 bytes each) are broadcast, more are shuffled.
-BROADCAST_ROWS = 200_000
+#: Tables up to this number of rows (under 100 bytes each) are broadcast, larger ones shuffled.
+BROADCAST_ROWS = 60_000
+#: Members of a bucket that one task compares with all others.
+DEALT = 256
 
 
 def _shingles(text: Column, words: int) -> tuple[Column, Column]:
@@ -158,58 +158,6 @@ def _shingles(text: Column, words: int) -> tuple[Column, Column]:
     return hashes, F.array_distinct(F.when(F.size(h) >= words, long).otherwise(F.array(F.xxhash64(h))))
 
 
-def near_duplicate_links(nodes: DataFrame, keys: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
-    """(a, b) of nodes (nid, fp) whose shingle sets have a Jaccard similarity of ``similarity`` or more.
-
-    The first candidates share a bucket of the covering tables. Buckets of up to PAIRED members give all
-    pairs; in larger ones each member is compared with PIVOTS members that hashes pick, the same
-    in every bucket that holds them, so a large group of copies gives a few pairs per member. These
-    links only spare work: whatever similar texts they leave in different components, near or far
-    by fingerprint, the shingles' prefixes then find (_prefix_links), so none stays apart.
-    keys has nid, key_th and own for every node, texts th, id and t for every row: a node's text is
-    that of the row with its th and own id.
-    """
-    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
-    rows = nodes.select("nid", "fp", F.explode(masks).alias("mask")).select(
-        F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp"))).alias("key"), F.struct("nid", "fp").alias("x")
-    )
-    order = lambda i: F.struct(F.xxhash64(F.lit(i), "x.nid"), "x.nid")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("x.nid").alias("lo"), F.max("x.nid").alias("hi"))
-    many = cut(sizes.filter("n > 1"))
-    two = many.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    member = cut(rows.join(many.filter("n > 2").select("key", "n"), "key"))
-    few = member.filter(F.col("n") <= PAIRED).select("key", "x")
-    other = few.select("key", F.col("x").alias("y"))
-    close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= FAR
-    some = few.join(other, "key").filter((F.col("x.nid") < F.col("y.nid")) & close).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
-    crowd = member.filter(F.col("n") > PAIRED)
-    tops = crowd.groupBy("key").agg(F.array(*[F.min_by("x", order(i)) for i in range(PIVOTS)]).alias("ys"))
-    tops = cut(tops.select("key", F.explode(F.array_distinct("ys")).alias("y")))
-    stars = crowd.join(tops, "key").filter((F.col("x.nid") != F.col("y.nid")) & close)
-    stars = stars.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b"))
-    pairs = cut(two.unionByName(some).unionByName(stars).distinct())
-    sets = cut(_sets(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), keys, texts, words))
-    links = cut(_similar(pairs, sets, similarity))
-    return links.unionByName(_prefix_links(nodes.select("nid"), links, keys, texts, words, similarity))
-
-
-def _sets(nids: DataFrame, keys: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(nid, s): the shingle sets of the given nodes; no other texts are fetched."""
-    needed = cut(nids.join(keys, "nid"))
-    wanted = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    hashes, shingles = _shingles(F.col("t"), words)
-    found = texts.join(wanted, (F.col("th") == F.col("key_th")) & F.col("id").eqNullSafe(F.col("own")))
-    # rows repeated with id and text give the same set
-    return found.select("nid", hashes.alias("__w")).select("nid", shingles.alias("s")).dropDuplicates(["nid"])
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity."""
-    both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-
 def shingle_set(text: str, words: int) -> np.ndarray:
     """Distinct 64-bit hashes, in order, of the shingles of a text: the same sets as _shingles, by other hashes."""
     low = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII blanks only
@@ -225,8 +173,13 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
-def _prefixes(found: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(nid, size, maps, p) of texts (nid, t): size and bitmap of the shingle set, and its prefix.
+def _small(df: DataFrame) -> DataFrame:
+    """df (cut), to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _signatures(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(th, id, fp, size, maps, p) of texts (th, id, t): fingerprint, and size, bitmap and prefix of the shingle set.
 
     Sets of that similarity share an element of their prefixes, the first elements in any one order, as
     many as may be lacking in the other and one more. The order is by frequency in a sample, then
@@ -234,26 +187,29 @@ def _prefixes(found: DataFrame, words: int, similarity: float) -> DataFrame:
     bitmap is whether an odd number of elements fall on it, so two bitmaps differ in no more bits
     than their sets differ in elements.
     """
-    n = found.count()
-    share = max(1, min(SAMPLED, n // SAMPLE_ROWS))
+    share = max(1, min(SAMPLED, texts.count() // SAMPLE_ROWS))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words).view(np.int64))], ["h"])
 
-    some = found.filter(F.pmod(F.xxhash64("nid"), F.lit(share)) == 0).select("t").mapInArrow(counted, "h long")
+    some = texts.filter(F.pmod(F.xxhash64("th"), F.lit(share)) == 0).select("t").mapInArrow(counted, "h long")
     often = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
     common, times = often["h"].to_numpy().view(np.uint64), often["n"].to_numpy()
     by_hash = np.argsort(common)
-    shared = found.sparkSession.sparkContext.broadcast((common[by_hash], times[by_hash]))
+    shared = texts.sparkSession.sparkContext.broadcast((common[by_hash], times[by_hash]))
+    kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = shared.value
+        lists = pa.list_(pa.int64())
         for b in batches:
-            sizes, maps, prefixes = [], [], []
-            for t in b.column(1):
-                s = shingle_set(t.as_py(), words)
+            prints, sizes, maps, prefixes = [], [], [], []
+            for t in b.column(2):
+                text = t.as_py()
+                s = shingle_set(text, words)
+                prints.append(_signed(fingerprint(text, words, "words")))
                 bits = np.bincount((s & np.uint64(64 * MAPS - 1)).astype(np.int64), minlength=64 * MAPS) & 1
                 maps.append(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64))
                 sizes.append(len(s))
@@ -263,69 +219,129 @@ def _prefixes(found: DataFrame, words: int, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[at] == s, count[at], 0), kind="stable")]
                 prefixes.append(s[:most].view(np.int64))
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(maps, lists), pa.array(prefixes, lists)], ["nid", "size", "maps", "p"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(maps, lists), pa.array(prefixes, lists)],
+                ["th", "id", "fp", "size", "maps", "p"],
+            )
+
+    out = f"th binary, id {kind}, fp long, size int, maps array<long>, p array<long>"
+    return cut(texts.select("th", "id", "t").mapInArrow(run, out))
+
+
+def _order(i: int) -> Column:
+    return F.struct(F.xxhash64(F.lit(i), "th"), "th")
+
+
+def _bucket_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of nodes (th, fp) within ``radius`` bits that share a bucket of the covering tables.
+
+    Buckets of up to PAIRED members give all pairs; in larger ones each member is compared with
+    PIVOTS members that hashes pick, the same in every bucket that holds them, so a large group of
+    copies gives a few pairs per member.
+    """
+    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
+    rows = nodes.select("th", "fp", F.explode(masks).alias("mask")).select(F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp"))).alias("key"), "th", "fp")
+    many = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    member = cut(rows.join(_small(many), "key"))
+    y = [F.col("key").alias("key2"), F.col("th").alias("th2"), F.col("fp").alias("fp2")]
+    few = member.filter(F.col("n") <= PAIRED)
+    some = few.join(few.select(*y), (F.col("key") == F.col("key2")) & (F.col("th") < F.col("th2")))
+    crowd = member.filter(F.col("n") > PAIRED)
+    tops = crowd.groupBy("key").agg(F.array(*[F.min_by(F.struct("key", "th", "fp"), _order(i)) for i in range(PIVOTS)]).alias("ys"))
+    tops = cut(tops.select(F.explode(F.array_distinct("ys")).alias("y")).select("y.*").select(*y))
+    stars = crowd.join(tops, (F.col("key") == F.col("key2")) & (F.col("th") != F.col("th2")))
+    return some.unionByName(stars).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius).select(_ends("th", "th2").alias("e"))
+
+
+def _ends(a: str, b: str) -> Column:
+    return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
-    return cut(found.select("nid", "t").mapInArrow(run, "nid long, size int, maps array<long>, p array<long>"))
+
+def _similar(pairs: DataFrame, owners: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b), cut, whose shingle sets have the similarity; no other texts than theirs are fetched."""
+    needed = _small(cut(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct().join(owners, F.col("need") == F.col("own_th"))))
+    hashes, shingles = _shingles(F.col("t"), words)
+    found = texts.join(needed, (F.col("th") == F.col("need")) & F.col("id").eqNullSafe(F.col("own")))
+    # rows repeated with id and text give the same set
+    sets = cut(found.select("th", hashes.alias("__w")).select("th", shingles.alias("s")).dropDuplicates(["th"]))
+    both = pairs.join(sets.select(F.col("th").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("th").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return cut(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+
+
+def _shared(flat: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(h, th, at, size, maps, short, n) of prefix elements that several texts have, one of them among its first.
+
+    Of two similar sets the smaller one has the first common element among its ``short`` first ones, so
+    elements that no text has there give no pair.
+    """
+    many = flat.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.bool_or("short").alias("any"))
+    many = cut(many.filter("n > 1 AND any").select(F.col("h").alias("h2"), "n"))
+    kept = flat.join(_small(many), F.col("h") == F.col("h2")).select("h", F.col("th").alias("th2"), "at", "short", "n")
+    return cut(kept.join(sigs.select("th", "size", "maps"), F.col("th2") == F.col("th")).drop("th2"))
+
+
+def _alike(x: str, y: str, similarity: float) -> Column:
+    """What pairs of rows whose first common element this is fulfil if their sets are similar.
+
+    All common elements stand from here on in both, so neither may have fewer left than must be
+    common; and bitmaps differ in no more bits than the sets may in elements.
+    """
+    size = F.col(f"{x}.size") + F.col(f"{y}.size")
+    must = size * (similarity / (1 + similarity)) - 1e-6
+    left = [F.col(f"{s}.size") - F.col(f"{s}.at") >= must for s in (x, y)]
+    differ = [F.bit_count(F.get(f"{x}.maps", F.lit(i)).bitwiseXOR(F.get(f"{y}.maps", F.lit(i)))) for i in range(MAPS)]
+    return left[0] & left[1] & (sum(differ[1:], differ[0]) <= size * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def _pivot_pairs(shares: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of each member of a large bucket with the bucket's pivots."""
+    crowd = shares.filter(F.col("n") > PAIRED)
+    tops = crowd.groupBy("h").agg(F.array(*[F.min_by(F.struct("h", "th", "at", "size", "maps"), _order(i)) for i in range(PIVOTS)]).alias("ys"))
+    tops = cut(tops.select(F.explode(F.array_distinct("ys")).alias("y")).select("y.*"))
+    pairs = crowd.alias("x").join(tops.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.th") != F.col("y.th")) & _alike("x", "y", similarity))
+    return pairs.select(_ends("x.th", "y.th").alias("e"))
+
+
+def _all_pairs(shares: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of all members of buckets that have different roots, the smaller set's element among its first.
+
+    Members are dealt out, DEALT of a bucket to a part, and the members that may be the smaller of a
+    pair stand in each part, so that a large bucket is the work of many tasks.
+    """
+    parts = F.ceil(F.col("n") / DEALT).cast("int")
+    ys = shares.withColumn("part", F.pmod(F.xxhash64("th"), parts).cast("int"))
+    xs = shares.filter("short").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.th") != F.col("y.th")))
+    cond = (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & smaller & (F.col("x.root") != F.col("y.root"))
+    return xs.alias("x").join(ys.alias("y"), cond & _alike("x", "y", similarity)).select(_ends("x.th", "y.th").alias("e"))
 
 
-def _prefix_links(nodes: DataFrame, links: DataFrame, keys: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) that with the given links join all nodes (nid) of the similarity, however far apart by fingerprint.
+def near_duplicate_links(sigs: DataFrame, owners: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+    """(a, b) of texts (sigs, one row each) that join all whose shingle sets have the similarity.
 
-    Only shingles whose texts are in several components give candidates, and only pairs of different
-    components. Where many texts share one, each is first compared with PIVOTS of them, and pairs are made of
-    what then still is apart.
+    First, pairs within ``radius`` bits out of the covering tables and pairs of large prefix buckets' members
+    with their pivots are compared. Then the elements whose texts still are in several components
+    give all their pairs, so none stays apart. owners has own_th and own, the id of one row with that text; texts th, id and t
+    of every row.
     """
-    wanted = keys if nodes.count() > BROADCAST_ROWS else F.broadcast(keys)
-    found = texts.join(wanted, (F.col("th") == F.col("key_th")) & F.col("id").eqNullSafe(F.col("own"))).select("nid", "t")
-    prefixes = _prefixes(found, words, similarity)
-    shares = cut(_torn(prefixes, components(links)))
-    order = lambda i: F.struct(F.xxhash64(F.lit(i), "x.nid"), "x.nid")
-    crowd = shares.join(shares.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRED).select("h"), "h")
-    more = None
-    if not crowd.isEmpty():
-        tops = crowd.groupBy("h").agg(F.array(*[F.min_by("x", order(i)) for i in range(PIVOTS)]).alias("ys"))
-        tops = cut(tops.select("h", F.explode(F.array_distinct("ys")).alias("y")))
-        more = _alike(crowd.select("h", "x"), tops, similarity, F.col("x.nid") != F.col("y.nid"))
-        more = cut(_similar(more, _sets(_ends(more), keys, texts, words), similarity))
-        # components only grow, so no other elements are shared by several now
-        shares = shares.join(components(links.unionByName(more)), F.col("x.nid") == F.col("node"), "left")
-        shares = cut(shares.select("h", F.col("x").withField("root", F.coalesce("root", "x.nid")).alias("x")))
-        torn = shares.groupBy("h").agg(F.min("x.root").alias("low"), F.max("x.root").alias("high")).filter("low <> high").select("h")
-        shares = cut(shares.join(torn, "h"))
-    rest = _alike(shares, shares.select("h", F.col("x").alias("y")), similarity, F.col("x.nid") < F.col("y.nid"))
-    last = cut(_similar(rest, _sets(_ends(rest), keys, texts, words), similarity))
-    return last if more is None else more.unionByName(last)
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-
-
-def _torn(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(h, x): prefix elements that nodes of several components have, with these nodes."""
-    placed = prefixes.join(roots, F.col("nid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "nid"))
-    placed = cut(placed.select("nid", "root", "size", "maps", "p"))
-    flat = placed.select(F.explode("p").alias("h"), "nid", "root")
-    torn = cut(flat.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h"))
-    if torn.count() <= BROADCAST_ROWS:
-        torn = F.broadcast(torn)
-    kept = flat.select("h", "nid").join(torn, "h").distinct()  # rows repeated with id and text come more than once
-    about = placed.select("nid", F.struct("nid", "root", "size", "maps").alias("x")).dropDuplicates(["nid"])
-    return kept.join(about, "nid").select("h", "x")
-
-
-def _alike(xs: DataFrame, ys: DataFrame, similarity: float, cond: Column) -> DataFrame:
-    """(a, b) of different components that share h and may by sizes and bitmaps be similar, no similar one left out."""
-    alike = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6
-    differ = [F.bit_count(F.get("x.maps", F.lit(i)).bitwiseXOR(F.get("y.maps", F.lit(i)))) for i in range(MAPS)]
-    alike &= sum(differ[1:], differ[0]) <= (F.col("x.size") + F.col("y.size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    pairs = xs.join(ys, "h").filter(cond & (F.col("x.root") != F.col("y.root")) & alike)
-    return cut(pairs.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct())
+    short = F.col("at") <= F.col("size") - F.ceil(F.col("size") * (2 * similarity / (1 + similarity)) - 1e-6)
+    flat = sigs.select("th", "size", F.posexplode("p").alias("at", "h")).select("h", "th", "at", short.alias("short"))
+    shares = _shared(flat, sigs)
+    first = _bucket_pairs(sigs.select("th", "fp"), radius).unionByName(_pivot_pairs(shares, similarity))
+    links = _similar(cut(first.select("e.*").distinct()), owners, texts, words, similarity)
+    roots = components(links)
+    shares = shares.join(roots, F.col("th") == F.col("node"), "left").withColumn("root", F.coalesce("root", "th")).drop("node")
+    shares = cut(shares)
+    torn = shares.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("short").alias("any"))
+    torn = cut(torn.filter("low <> high AND any").select(F.col("h").alias("h2")))
+    left = cut(shares.join(_small(torn), F.col("h") == F.col("h2")).drop("h2"))
+    more = cut(_all_pairs(left, similarity).select("e.*").distinct())
+    return links.unionByName(_similar(more, owners, texts, words, similarity))
 
 
 def drop_near_duplicates(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the smallest id.
 
@@ -338,26 +354,22 @@ def drop_near_duplicates(
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     th = F.unhex(F.md5(t.cast("binary")))
-    prints = cut(fingerprints(docs, words, [F.col(id_col).alias("id"), th.alias("th")], F.col(text_col), features="words"))
+    texts = docs.select(th.alias("th"), F.col(id_col).alias("id"), t.alias("t"))
+    rows = _signatures(texts, words, similarity)
     least_id = F.min(F.struct(F.col("id").isNull().alias("no"), "id"))
-    nodes = cut(prints.groupBy("th").agg(least_id.alias("low"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
-    nodes = cut(nodes.withColumn("nid", F.monotonically_increasing_id()))
-    base = docs.select(th.alias("th"), F.col(id_col).alias("id"), t.alias("t"))
-    keys = nodes.select("nid", F.col("th").alias("key_th"), F.col("low.id").alias("own"))
-    roots = components(near_duplicate_links(nodes.select("nid", "fp"), keys, base, words, similarity, radius))
-    named = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("th", "low", "nid", F.coalesce("root", "nid").alias("root"))
-    named = cut(named)
-    best = cut(named.groupBy("root").agg(F.min(F.struct("low", "th")).alias("best")))
-    stays = named.join(best, "root").filter(F.col("best.th") == F.col("th"))
-    stays = cut(stays.select(F.col("th").alias("kept_th"), F.col("low.id").alias("kept_id")))
-    matched = prints.select("th", "id").join(stays, F.col("th") == F.col("kept_th"), "left")
-    same = F.col("kept_th").isNotNull() & F.col("id").eqNullSafe(F.col("kept_id"))
-    gone = cut(matched.filter(~same).select(F.col("th").alias("__th"), F.col("id").alias("__id")).distinct())
-    dropped = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.withColumn("__own", th).join(
-        dropped, (F.col("__own") == F.col("__th")) & docs[id_col].eqNullSafe(F.col("__id")), "left_anti"
-    )
-    again = matched.filter(same).groupBy("th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not again.isEmpty():  # rows repeated with id and text
+    nodes = cut(rows.groupBy("th").agg(least_id.alias("low")).select("th", "low"))
+    owners = nodes.select(F.col("th").alias("own_th"), F.col("low.id").alias("own"))
+    # both keys, so that a large group of copies is spread over the tasks
+    own = (F.col("th") == F.col("own_th")) & F.col("id").eqNullSafe(F.col("own"))
+    sigs = cut(rows.join(owners, own).select("th", "fp", "size", "maps", "p").dropDuplicates(["th"]))
+    roots = components(near_duplicate_links(sigs, owners, texts, words, similarity, radius))
+    named = cut(nodes.join(roots, F.col("th") == F.col("node"), "left").select("th", "low", F.coalesce("root", "th").alias("root")))
+    best = named.groupBy("root").agg(F.min(F.struct("low", "th")).alias("best"))
+    stays = best.select(F.col("best.th").alias("own_th"), F.col("best.low.id").alias("own"))
+    pairs = cut(rows.groupBy("th", "id").agg(F.count(F.lit(1)).alias("n")))
+    stays = cut(pairs.join(stays, own, "left").select("th", "id", "n", F.col("own_th").isNotNull().alias("stays")))
+    gone = _small(cut(stays.filter("NOT stays").select(F.col("th").alias("__th"), F.col("id").alias("__id"))))
+    kept = docs.withColumn("__own", th).join(gone, (F.col("__own") == F.col("__th")) & docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    if not stays.filter("stays AND n > 1").isEmpty():  # rows repeated with id and text
         kept = kept.dropDuplicates(["__own"])
     return kept.drop("__own")
