@@ -136,8 +136,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Near-duplicate search: buckets up to this size give all their pairs, larger ones pairs with their pivots first.
 PAIRED = 8
 PIVOTS = 2
-#: Words of 64 bits of a set's bitmap, a power of two.
-MAPS = 16
+#: Words of 64 bits of a set's small bitmap, a power of two.
+FOLDED = 4
 #: One text in so many, and this many at least, are counted for which shingles are frequent; the most frequent ones kept.
 SAMPLED = 16
 SAMPLE_ROWS = 2_000
@@ -179,13 +179,14 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _signatures(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(th, id, fp, size, maps, p) of texts (th, id, t): fingerprint, and size, bitmap and prefix of the shingle set.
+    """(th, id, fp, size, maps, few, p) of texts (th, id, t): fingerprint, and size, bitmaps and prefix of the shingle set.
 
     Sets of that similarity share an element of their prefixes, the first elements in any one order, as
     many as may be lacking in the other and one more. The order is by frequency in a sample, then
     by hash: a sample decides how many candidates there are, never whether a pair is found. A bit of the
     bitmap is whether an odd number of elements fall on it, so two bitmaps differ in no more bits
-    than their sets differ in elements.
+    than their sets differ in elements, and halves of a bitmap, XORed, are one of half the size. maps has two to four bits for each
+    element (64 FOLDED at least), few has 64 FOLDED.
     """
     share = max(1, min(SAMPLED, texts.count() // SAMPLE_ROWS))
 
@@ -205,13 +206,15 @@ def _signatures(texts: DataFrame, words: int, similarity: float) -> DataFrame:
         known, count = shared.value
         lists = pa.list_(pa.int64())
         for b in batches:
-            prints, sizes, maps, prefixes = [], [], [], []
+            prints, sizes, maps, few, prefixes = [], [], [], [], []
             for t in b.column(2):
                 text = t.as_py()
                 s = shingle_set(text, words)
                 prints.append(_signed(fingerprint(text, words, "words")))
-                bits = np.bincount((s & np.uint64(64 * MAPS - 1)).astype(np.int64), minlength=64 * MAPS) & 1
+                width = max(64 * FOLDED, 1 << (2 * len(s) - 1).bit_length())
+                bits = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
                 maps.append(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64))
+                few.append(np.bitwise_xor.reduce(maps[-1].reshape(-1, FOLDED), axis=0))
                 sizes.append(len(s))
                 # a little under, so that rounding makes prefixes longer, never shorter
                 most = len(s) - int(np.ceil(len(s) * similarity - 1e-6)) + 1
@@ -220,124 +223,144 @@ def _signatures(texts: DataFrame, words: int, similarity: float) -> DataFrame:
                     s = s[np.argsort(np.where(known[at] == s, count[at], 0), kind="stable")]
                 prefixes.append(s[:most].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(maps, lists), pa.array(prefixes, lists)],
-                ["th", "id", "fp", "size", "maps", "p"],
+                [b.column(0), b.column(1), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), *[pa.array(x, lists) for x in (maps, few, prefixes)]],
+                ["th", "id", "fp", "size", "maps", "few", "p"],
             )
 
-    out = f"th binary, id {kind}, fp long, size int, maps array<long>, p array<long>"
+    out = f"th binary, id {kind}, fp long, size int, maps array<long>, few array<long>, p array<long>"
     return cut(texts.select("th", "id", "t").mapInArrow(run, out))
 
 
 def _order(i: int) -> Column:
-    return F.struct(F.xxhash64(F.lit(i), "th"), "th")
+    return F.struct(F.xxhash64(F.lit(i), "nid"), "nid")
+
+
+def _ends(a: str, b: str) -> Column:
+    return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
 def _bucket_pairs(nodes: DataFrame, radius: int) -> DataFrame:
-    """(a, b) of nodes (th, fp) within ``radius`` bits that share a bucket of the covering tables.
+    """(e: a, b) of nodes (nid, fp) within ``radius`` bits that share a bucket of the covering tables.
 
     Buckets of up to PAIRED members give all pairs; in larger ones each member is compared with
     PIVOTS members that hashes pick, the same in every bucket that holds them, so a large group of
     copies gives a few pairs per member.
     """
     masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
-    rows = nodes.select("th", "fp", F.explode(masks).alias("mask")).select(F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp"))).alias("key"), "th", "fp")
+    rows = nodes.select("nid", "fp", F.explode(masks).alias("mask")).select(F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp"))).alias("key"), "nid", "fp")
     many = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     member = cut(rows.join(_small(many), "key"))
-    y = [F.col("key").alias("key2"), F.col("th").alias("th2"), F.col("fp").alias("fp2")]
+    y = [F.col("key").alias("key2"), F.col("nid").alias("nid2"), F.col("fp").alias("fp2")]
     few = member.filter(F.col("n") <= PAIRED)
-    some = few.join(few.select(*y), (F.col("key") == F.col("key2")) & (F.col("th") < F.col("th2")))
+    some = few.join(few.select(*y), (F.col("key") == F.col("key2")) & (F.col("nid") < F.col("nid2")))
     crowd = member.filter(F.col("n") > PAIRED)
-    tops = crowd.groupBy("key").agg(F.array(*[F.min_by(F.struct("key", "th", "fp"), _order(i)) for i in range(PIVOTS)]).alias("ys"))
+    tops = crowd.groupBy("key").agg(F.array(*[F.min_by(F.struct("key", "nid", "fp"), _order(i)) for i in range(PIVOTS)]).alias("ys"))
     tops = cut(tops.select(F.explode(F.array_distinct("ys")).alias("y")).select("y.*").select(*y))
-    stars = crowd.join(tops, (F.col("key") == F.col("key2")) & (F.col("th") != F.col("th2")))
-    return some.unionByName(stars).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius).select(_ends("th", "th2").alias("e"))
+    stars = crowd.join(tops, (F.col("key") == F.col("key2")) & (F.col("nid") != F.col("nid2")))
+    return some.unionByName(stars).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius).select(_ends("nid", "nid2").alias("e"))
 
 
-def _ends(a: str, b: str) -> Column:
-    return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+def _differ(x: Column, y: Column) -> Column:
+    """Bits in which two bitmaps differ; the longer one, of twice the length at most, is folded."""
+    n = F.least(F.size(x), F.size(y))
+    half = lambda m, i: F.when(F.size(m) > n, F.get(m, i).bitwiseXOR(F.get(m, i + n))).otherwise(F.get(m, i))
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a + F.bit_count(half(x, i).bitwiseXOR(half(y, i))))
+
+
+def _most(size_x: Column, size_y: Column, similarity: float) -> Column:
+    """In how many elements sets of these sizes and the similarity may differ."""
+    return (size_x + size_y) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def _similar(pairs: DataFrame, owners: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b), cut, whose shingle sets have the similarity; no other texts than theirs are fetched."""
-    needed = _small(cut(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct().join(owners, F.col("need") == F.col("own_th"))))
+def _similar(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, similarity: float, repeated: bool) -> DataFrame:
+    """The pairs (a, b), cut, whose shingle sets have the similarity.
+
+    Pairs that sizes or bitmaps rule out are left first; no other texts than those of the rest are fetched.
+    """
+    about = sigs.select("nid", "own_th", "own", "size", "maps")
+    for x in "ab":
+        pairs = pairs.join(about.select(*[F.col(c).alias(f"{c}_{x}") for c in about.columns]), F.col(x) == F.col(f"nid_{x}"))
+    a, b = F.col("size_a"), F.col("size_b")
+    near = (F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6) & (_differ(F.col("maps_a"), F.col("maps_b")) <= _most(a, b, similarity))
+    pairs = cut(pairs.filter(near).select(*[c for x in "ab" for c in (x, f"own_th_{x}", f"own_{x}")]))
+    ends = [pairs.select(F.col(x).alias("nid"), F.col(f"own_th_{x}").alias("own_th"), F.col(f"own_{x}").alias("own")) for x in "ab"]
+    needed = _small(cut(ends[0].union(ends[1]).distinct()))
     hashes, shingles = _shingles(F.col("t"), words)
-    found = texts.join(needed, (F.col("th") == F.col("need")) & F.col("id").eqNullSafe(F.col("own")))
-    # rows repeated with id and text give the same set
-    sets = cut(found.select("th", hashes.alias("__w")).select("th", shingles.alias("s")).dropDuplicates(["th"]))
-    both = pairs.join(sets.select(F.col("th").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("th").alias("b"), F.col("s").alias("sb")), "b")
+    found = texts.join(needed, (F.col("th") == F.col("own_th")) & F.col("id").eqNullSafe(F.col("own")))
+    sets = found.select("nid", hashes.alias("__w")).select("nid", shingles.alias("s"))
+    sets = cut(sets.dropDuplicates(["nid"]) if repeated else sets)
+    both = pairs.select("a", "b").join(sets.select(F.col("nid").alias("a"), F.col("s").alias("sa")), "a")
+    both = both.join(sets.select(F.col("nid").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return cut(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
 
-def _shared(flat: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(h, th, at, size, maps, short, n) of prefix elements that several texts have, one of them among its first.
-
-    Of two similar sets the smaller one has the first common element among its ``short`` first ones, so
-    elements that no text has there give no pair.
-    """
-    many = flat.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.bool_or("short").alias("any"))
-    many = cut(many.filter("n > 1 AND any").select(F.col("h").alias("h2"), "n"))
-    kept = flat.join(_small(many), F.col("h") == F.col("h2")).select("h", F.col("th").alias("th2"), "at", "short", "n")
-    return cut(kept.join(sigs.select("th", "size", "maps"), F.col("th2") == F.col("th")).drop("th2"))
+def _short(similarity: float) -> Column:
+    """Whether an element may be the first common one of a pair's smaller set."""
+    return F.col("at") <= F.col("size") - F.ceil(F.col("size") * (2 * similarity / (1 + similarity)) - 1e-6)
 
 
 def _alike(x: str, y: str, similarity: float) -> Column:
-    """What pairs of rows whose first common element this is fulfil if their sets are similar.
+    """What rows of a pair's first common element fulfil if the sets are similar.
 
-    All common elements stand from here on in both, so neither may have fewer left than must be
-    common; and bitmaps differ in no more bits than the sets may in elements.
+    All common elements stand from here on in both, so neither may have fewer left than must be common.
     """
-    size = F.col(f"{x}.size") + F.col(f"{y}.size")
-    must = size * (similarity / (1 + similarity)) - 1e-6
-    left = [F.col(f"{s}.size") - F.col(f"{s}.at") >= must for s in (x, y)]
-    differ = [F.bit_count(F.get(f"{x}.maps", F.lit(i)).bitwiseXOR(F.get(f"{y}.maps", F.lit(i)))) for i in range(MAPS)]
-    return left[0] & left[1] & (sum(differ[1:], differ[0]) <= size * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    must = (F.col(f"{x}.size") + F.col(f"{y}.size")) * (similarity / (1 + similarity)) - 1e-6
+    return (F.col(f"{x}.size") - F.col(f"{x}.at") >= must) & (F.col(f"{y}.size") - F.col(f"{y}.at") >= must)
+
+
+def _shared(sigs: DataFrame, similarity: float) -> DataFrame:
+    """(h, nid, at, size, n), cut, of prefix elements that several texts have, one of them as its short ones."""
+    flat = sigs.select("nid", "size", F.posexplode("p").alias("at", "h")).select("h", "nid", "at", "size")
+    many = flat.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.bool_or(_short(similarity)).alias("any"))
+    many = cut(many.filter("n > 1 AND any").select(F.col("h").alias("h2"), F.col("n").cast("int").alias("n")))
+    return cut(flat.join(_small(many), F.col("h") == F.col("h2")).drop("h2"))
 
 
 def _pivot_pairs(shares: DataFrame, similarity: float) -> DataFrame:
     """Pairs of each member of a large bucket with the bucket's pivots."""
     crowd = shares.filter(F.col("n") > PAIRED)
-    tops = crowd.groupBy("h").agg(F.array(*[F.min_by(F.struct("h", "th", "at", "size", "maps"), _order(i)) for i in range(PIVOTS)]).alias("ys"))
+    tops = crowd.groupBy("h").agg(F.array(*[F.min_by(F.struct("h", "nid", "at", "size"), _order(i)) for i in range(PIVOTS)]).alias("ys"))
     tops = cut(tops.select(F.explode(F.array_distinct("ys")).alias("y")).select("y.*"))
-    pairs = crowd.alias("x").join(tops.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.th") != F.col("y.th")) & _alike("x", "y", similarity))
-    return pairs.select(_ends("x.th", "y.th").alias("e"))
+    pairs = crowd.alias("x").join(tops.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.nid") != F.col("y.nid")) & _alike("x", "y", similarity))
+    return pairs.select(_ends("x.nid", "y.nid").alias("e"))
 
 
 def _all_pairs(shares: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of all members of buckets that have different roots, the smaller set's element among its first.
+    """Pairs of all members of buckets that have different roots, the smaller set's element a short one.
 
     Members are dealt out, DEALT of a bucket to a part, and the members that may be the smaller of a
     pair stand in each part, so that a large bucket is the work of many tasks.
     """
     parts = F.ceil(F.col("n") / DEALT).cast("int")
-    ys = shares.withColumn("part", F.pmod(F.xxhash64("th"), parts).cast("int"))
-    xs = shares.filter("short").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.th") != F.col("y.th")))
+    ys = shares.withColumn("part", F.pmod(F.xxhash64("nid"), parts).cast("int"))
+    xs = shares.filter(_short(similarity)).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.nid") != F.col("y.nid")))
     cond = (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & smaller & (F.col("x.root") != F.col("y.root"))
-    return xs.alias("x").join(ys.alias("y"), cond & _alike("x", "y", similarity)).select(_ends("x.th", "y.th").alias("e"))
+    bits = [F.bit_count(F.get("x.few", F.lit(i)).bitwiseXOR(F.get("y.few", F.lit(i)))) for i in range(FOLDED)]
+    near = sum(bits[1:], bits[0]) <= _most(F.col("x.size"), F.col("y.size"), similarity)
+    return xs.alias("x").join(ys.alias("y"), cond & _alike("x", "y", similarity) & near).select(_ends("x.nid", "y.nid").alias("e"))
 
 
-def near_duplicate_links(sigs: DataFrame, owners: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+def near_duplicate_links(sigs: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, repeated: bool) -> DataFrame:
     """(a, b) of texts (sigs, one row each) that join all whose shingle sets have the similarity.
 
     First, pairs within ``radius`` bits out of the covering tables and pairs of large prefix buckets' members
     with their pivots are compared. Then the elements whose texts still are in several components
-    give all their pairs, so none stays apart. owners has own_th and own, the id of one row with that text; texts th, id and t
-    of every row.
+    give all their pairs, so none stays apart. sigs has nid, own_th, own (text hash and id of one row with
+    that text), fp, size, maps, few, p; texts th, id and t of every row, some of them alike if repeated.
     """
-    short = F.col("at") <= F.col("size") - F.ceil(F.col("size") * (2 * similarity / (1 + similarity)) - 1e-6)
-    flat = sigs.select("th", "size", F.posexplode("p").alias("at", "h")).select("h", "th", "at", short.alias("short"))
-    shares = _shared(flat, sigs)
-    first = _bucket_pairs(sigs.select("th", "fp"), radius).unionByName(_pivot_pairs(shares, similarity))
-    links = _similar(cut(first.select("e.*").distinct()), owners, texts, words, similarity)
-    roots = components(links)
-    shares = shares.join(roots, F.col("th") == F.col("node"), "left").withColumn("root", F.coalesce("root", "th")).drop("node")
-    shares = cut(shares)
-    torn = shares.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("short").alias("any"))
-    torn = cut(torn.filter("low <> high AND any").select(F.col("h").alias("h2")))
-    left = cut(shares.join(_small(torn), F.col("h") == F.col("h2")).drop("h2"))
+    shares = _shared(sigs, similarity)
+    first = _bucket_pairs(sigs.select("nid", "fp"), radius).unionByName(_pivot_pairs(shares, similarity))
+    links = _similar(first.select("e.*").distinct(), sigs, texts, words, similarity, repeated)
+    roots = _small(components(links))
+    rooted = shares.join(roots, F.col("nid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "nid")).drop("node")
+    torn = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    torn = cut(torn.filter("low <> high").select(F.col("h").alias("h2")))
+    left = rooted.join(_small(torn), F.col("h") == F.col("h2")).drop("h2")
+    left = cut(left.join(sigs.select(F.col("nid").alias("node"), "few"), F.col("nid") == F.col("node")).drop("node"))
     more = cut(_all_pairs(left, similarity).select("e.*").distinct())
-    return links.unionByName(_similar(more, owners, texts, words, similarity))
+    return links.unionByName(_similar(more, sigs, texts, words, similarity, repeated))
 
 
 def drop_near_duplicates(
@@ -357,19 +380,19 @@ def drop_near_duplicates(
     texts = docs.select(th.alias("th"), F.col(id_col).alias("id"), t.alias("t"))
     rows = _signatures(texts, words, similarity)
     least_id = F.min(F.struct(F.col("id").isNull().alias("no"), "id"))
-    nodes = cut(rows.groupBy("th").agg(least_id.alias("low")).select("th", "low"))
-    owners = nodes.select(F.col("th").alias("own_th"), F.col("low.id").alias("own"))
+    pairs = cut(rows.groupBy("th", "id").agg(F.count(F.lit(1)).alias("n")))
+    repeated = not pairs.filter("n > 1").isEmpty()
+    nodes = cut(pairs.groupBy("th").agg(least_id.alias("low")).select(F.col("th").alias("own_th"), F.col("low.id").alias("own")))
     # both keys, so that a large group of copies is spread over the tasks
     own = (F.col("th") == F.col("own_th")) & F.col("id").eqNullSafe(F.col("own"))
-    sigs = cut(rows.join(owners, own).select("th", "fp", "size", "maps", "p").dropDuplicates(["th"]))
-    roots = components(near_duplicate_links(sigs, owners, texts, words, similarity, radius))
-    named = cut(nodes.join(roots, F.col("th") == F.col("node"), "left").select("th", "low", F.coalesce("root", "th").alias("root")))
-    best = named.groupBy("root").agg(F.min(F.struct("low", "th")).alias("best"))
-    stays = best.select(F.col("best.th").alias("own_th"), F.col("best.low.id").alias("own"))
-    pairs = cut(rows.groupBy("th", "id").agg(F.count(F.lit(1)).alias("n")))
-    stays = cut(pairs.join(stays, own, "left").select("th", "id", "n", F.col("own_th").isNotNull().alias("stays")))
-    gone = _small(cut(stays.filter("NOT stays").select(F.col("th").alias("__th"), F.col("id").alias("__id"))))
-    kept = docs.withColumn("__own", th).join(gone, (F.col("__own") == F.col("__th")) & docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
-    if not stays.filter("stays AND n > 1").isEmpty():  # rows repeated with id and text
+    sigs = rows.join(nodes, own).select("own_th", "own", "fp", "size", "maps", "few", "p")
+    sigs = cut(sigs.dropDuplicates(["own_th"]) if repeated else sigs).withColumn("nid", F.monotonically_increasing_id())
+    roots = components(near_duplicate_links(sigs, texts, words, similarity, radius, repeated))
+    low = F.struct(F.col("own").isNull().alias("no"), "own", "own_th")
+    named = sigs.select("nid", low.alias("low")).join(_small(roots), F.col("nid") == F.col("node"), "left")
+    stays = named.groupBy(F.coalesce("root", "nid").alias("root")).agg(F.min("low").alias("low")).select("low.own", "low.own_th")
+    gone = cut(pairs.join(stays, own, "left_anti").select(F.col("th").alias("__th"), F.col("id").alias("__id")))
+    kept = docs.withColumn("__own", th).join(_small(gone), (F.col("__own") == F.col("__th")) & docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    if repeated:  # one of the rows with the same id and text
         kept = kept.dropDuplicates(["__own"])
     return kept.drop("__own")
