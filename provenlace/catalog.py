@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from provenlace.evidence import queries as evidence
 from provenlace.operators import queries as grouped
 from provenlace.plans import evaluation, graph, lattice, log, partition, text, validity
 from provenlace.plans.dialect import plan
@@ -12,5 +13,5 @@ ORACLE: dict = {}
 for _module in (text, log, graph, validity, lattice, evaluation):
     for _name, _body in _module.PLANS.items():
         QUERIES[_name], ORACLE[_name] = plan(_body)
-QUERIES |= grouped.QUERIES | liveness.QUERIES | partition.QUERIES
-ORACLE |= grouped.ORACLE | liveness.ORACLE | partition.ORACLE
+QUERIES |= grouped.QUERIES | evidence.QUERIES | liveness.QUERIES | partition.QUERIES
+ORACLE |= grouped.ORACLE | evidence.ORACLE | liveness.ORACLE | partition.ORACLE

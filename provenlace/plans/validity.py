@@ -35,17 +35,6 @@ JOIN orders n ON n.o_orderkey = o.by_key WHERE n.o_orderdate < o.o_orderdate""",
 SELECT q.question_id, t.conv_id FROM question q JOIN validity t ON CAST(t.conv_id AS BIGINT) = q.question_id
 GROUP BY q.question_id, t.conv_id HAVING NOT bool_or(greatest(q.tc_start, t.lo) < least(q.tc_end, coalesce(t.hi, 9999999999)))""",
     "check_h9_scope": "SELECT e.edge_id FROM edge e JOIN turn t ON t.turn_id = e.src WHERE CAST(t.conv_id AS BIGINT) % 5 = 0",
-    "check_h_violations": """
-WITH v AS (
-  SELECT set_id, 'H1' AS code FROM atom GROUP BY set_id HAVING count(*) > 10
-  UNION ALL SELECT a.set_id, 'H3' AS code FROM atom a LEFT JOIN atom b ON b.set_id = a.set_id AND b.atom = a.ref WHERE b.atom IS NULL
-  UNION ALL SELECT set_id, 'H4' AS code FROM atom GROUP BY set_id, ref HAVING count(*) > 3)
-SELECT set_id, code, count(*) AS n FROM v GROUP BY set_id, code""",
-    "check_h_by_category": """
-WITH code AS (SELECT 'H1' AS code UNION ALL SELECT 'H3' UNION ALL SELECT 'H4' UNION ALL SELECT 'H9'),
-v AS (SELECT 'H1' AS code FROM atom GROUP BY set_id HAVING count(*) > 10
-      UNION ALL SELECT 'H3' FROM atom a LEFT JOIN atom b ON b.set_id = a.set_id AND b.atom = a.ref WHERE b.atom IS NULL)
-SELECT code.code, count(v.code) AS n FROM code LEFT JOIN v ON v.code = code.code GROUP BY code.code""",
     "commit_v1_endpoints": """
 WITH rule AS (SELECT 'about_entity' AS etype, 'claim' AS kind UNION ALL SELECT 'about_entity', 'value')
 SELECT e.edge_id, a.kind FROM edge e JOIN assertion a ON a.turn_id = e.src LEFT JOIN rule r ON r.etype = e.etype AND r.kind = a.kind WHERE r.etype IS NULL""",
@@ -61,11 +50,6 @@ WHERE op = 'edge.add' AND was = 'edge.add'""",
     "commit_v7_successor": """
 SELECT i.key, i.seq FROM log i LEFT JOIN (SELECT key, max(seq) AS last_add FROM log WHERE op = 'edge.add' GROUP BY key) a ON a.key = i.key
 WHERE i.op = 'edge.invalidate' AND (a.last_add IS NULL OR a.last_add < i.seq)""",
-    "commit_tally_zero_filled": """
-WITH code AS (SELECT 'V2' AS code UNION ALL SELECT 'V5' UNION ALL SELECT 'V8'),
-v AS (SELECT 'V2' AS code FROM log WHERE op = 'node.add' GROUP BY key HAVING count(DISTINCT payload) > 1
-      UNION ALL SELECT 'V5' FROM validity WHERE hi IS NOT NULL AND hi - lo > 120)
-SELECT code.code, count(v.code) AS n FROM code LEFT JOIN v ON v.code = code.code GROUP BY code.code""",
     "supersede_invalidations": """
 SELECT e.edge_id, n.ts AS t_invalid, n.turn_id AS superseded_by FROM edge e JOIN (
   SELECT turn_id, lead(turn_id) OVER (PARTITION BY conv_id, speaker ORDER BY ix) AS by_turn FROM turn) s ON s.turn_id = e.src
