@@ -96,4 +96,4 @@ def plan(body: str, *views: str) -> tuple[Callable[[SparkSession, str], DataFram
                 spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         return spark.sql(text)
 
-    return run, render(sql, False)
+    return run, render(with_views(body, views, plain=True), False)

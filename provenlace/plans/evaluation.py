@@ -23,9 +23,13 @@ SELECT round(CAST(count(CASE WHEN score >= 0.5 THEN 1 END) AS DOUBLE) / count(*)
        round(CAST(count(CASE WHEN score >= 0.5 AND label = 0 THEN 1 END) AS DOUBLE) / nullif(count(CASE WHEN score >= 0.5 THEN 1 END), 0), 6) AS risk,
        round(CAST(count(CASE WHEN score < 0.5 AND label = 0 THEN 1 END) AS DOUBLE) / nullif(count(CASE WHEN label = 0 THEN 1 END), 0), 6) AS abstention_recall,
        round(CAST(count(CASE WHEN score < 0.5 AND label = 1 THEN 1 END) AS DOUBLE) / nullif(count(CASE WHEN label = 1 THEN 1 END), 0), 6) AS false_abstention FROM gate""",
-    "choose_threshold": f"""WITH {CURVE}
-SELECT coalesce(min(CASE WHEN CAST(cum_e AS DOUBLE) / cum_n <= 0.1 THEN score END), max(score)) AS threshold,
-       count(CASE WHEN CAST(cum_e AS DOUBLE) / cum_n <= 0.1 THEN 1 END) = 0 AS vacuous FROM c""",
+    # risk of the answered ones, weighted so that 0.06 of all are unanswerable; at most 0.03 is allowed
+    "choose_threshold": f"""WITH {CURVE},
+w AS (SELECT CAST(count(CASE WHEN label = 0 THEN 1 END) AS DOUBLE) AS n0, CAST(count(CASE WHEN label = 1 THEN 1 END) AS DOUBLE) AS n1 FROM gate),
+r AS (SELECT score, cum_n = total AS everything, CASE WHEN n0 = 0 OR n1 = 0 THEN CAST(cum_e AS DOUBLE) / cum_n
+             ELSE 0.06 * cum_e / n0 / (0.06 * cum_e / n0 + 0.94 * (cum_n - cum_e) / n1) END AS risk FROM c CROSS JOIN w)
+SELECT coalesce(min(CASE WHEN risk <= 0.03 THEN score END), max(score)) AS threshold, count(CASE WHEN risk <= 0.03 THEN 1 END) > 0 AS met,
+       coalesce(bool_or(everything AND risk <= 0.03), false) AS vacuous FROM r""",
     "pair_accuracy": """
 WITH p AS (SELECT group_id, @idiv(item_id, 40) AS b, max(CASE WHEN label = 1 THEN score END) AS pos, max(CASE WHEN label = 0 THEN score END) AS neg, count(*) AS n,
                   count(CASE WHEN label = 1 THEN 1 END) AS np FROM gate GROUP BY group_id, @idiv(item_id, 40))

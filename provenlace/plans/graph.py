@@ -30,7 +30,7 @@ SELECT DISTINCT q.question_id, a.assertion_id, 1.0 AS score FROM question_token
 JOIN assertion a ON a.turn_id = t.turn_id WHERE length(q.tok) >= 7 AND a.eligibility = 'eligible'""",
     "fanout_recent": f"WITH {FAN} SELECT node, other, CAST(rn AS BIGINT) AS rank FROM fan",
     "expand_two_hop": f"""WITH {FAN},
-seed AS (SELECT turn_id AS node FROM turn WHERE ix = 0 AND CAST(conv_id AS BIGINT) % 7 = 0),
+seed AS (SELECT turn_id AS node FROM turn WHERE ix = 0),
 one AS (SELECT DISTINCT s.node AS seed, f.other AS node FROM seed s JOIN fan f ON f.node = s.node),
 two AS (SELECT DISTINCT o.seed, f.other AS node FROM one o JOIN fan f ON f.node = o.node)
 SELECT seed, node, CASE WHEN min(hop) = 1 THEN 1.0 ELSE 0.5 END AS score FROM (
@@ -45,8 +45,10 @@ e AS (SELECT a.assertion_id, n.dst, a.ts FROM assertion a JOIN anchor n ON n.src
 SELECT x.assertion_id AS claim_a, y.assertion_id AS claim_b, x.dst AS anchor FROM e x JOIN e y
 ON x.dst = y.dst AND (x.ts < y.ts OR (x.ts = y.ts AND x.assertion_id < y.assertion_id))""".replace("min_by(dst, t_created * 1000 + length(dst)) AS dst0, ", ""),
     "pair_order_earlier_later": """
-SELECT DISTINCT least(a.turn_id, b.turn_id) AS first_id, greatest(a.turn_id, b.turn_id) AS second_id, a.conv_id <> b.conv_id AS cross_session
-FROM edge ea JOIN edge eb ON ea.dst = eb.dst AND ea.src <> eb.src JOIN turn a ON a.turn_id = ea.src JOIN turn b ON b.turn_id = eb.src""",
+WITH p AS (SELECT DISTINCT least(ea.src, eb.src) AS x, greatest(ea.src, eb.src) AS y FROM edge ea JOIN edge eb ON ea.dst = eb.dst AND ea.src < eb.src)
+SELECT CASE WHEN a.ts < b.ts OR (a.ts = b.ts AND a.turn_id < b.turn_id) THEN a.turn_id ELSE b.turn_id END AS first_id,
+       CASE WHEN a.ts < b.ts OR (a.ts = b.ts AND a.turn_id < b.turn_id) THEN b.turn_id ELSE a.turn_id END AS second_id, a.conv_id <> b.conv_id AS cross_session
+FROM p JOIN turn a ON a.turn_id = p.x JOIN turn b ON b.turn_id = p.y""",
     "bm25_topk": f"""WITH {HIT}
 SELECT question_id, doc, score, CAST(rn AS BIGINT) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc) AS rn FROM hit) r WHERE rn <= 10""",

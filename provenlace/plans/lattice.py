@@ -46,7 +46,7 @@ SELECT beta, mask, round(exp(beta * u) / sum(exp(beta * u)) OVER (PARTITION BY b
     "uniform_backward": f"WITH {_layers()} SELECT child, parent, round(1.0 / count(*) OVER (PARTITION BY child), 9) AS p FROM step",
     "divergence_tv_js_kl": f"""WITH {_flow()},
 pq AS (SELECT coalesce(t.mask, p.mask) AS mask, coalesce(t.p, 0.0) AS p, coalesce(p.q, 0.0) AS q FROM target t FULL JOIN (SELECT * FROM policy WHERE q > 0) p ON p.mask = t.mask)
-SELECT round(0.5 * sum(abs(p - q)), 6) AS tv, round(sum(CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) ELSE 0.0 END), 6) AS kl,
+SELECT round(0.5 * sum(abs(p - q)), 6) AS tv, CASE WHEN bool_or(p > 0 AND q = 0) THEN NULL ELSE round(sum(CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) ELSE 0.0 END), 6) END AS kl,
        round(0.5 * sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0.0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0.0 END), 6) AS js FROM pq""",
     "mass_profile": f"""WITH {_layers()}
 SELECT round(max(p), 6) AS mode_mass, round(exp(sum(-p * ln(p))), 6) AS effective_support, round(sum(CASE WHEN rn <= 10 THEN p ELSE 0.0 END), 6) AS top10, count(*) AS support

@@ -55,7 +55,7 @@ SELECT turn_id, count(*) OVER w AS previous, CAST(coalesce(sum(length(text)) OVE
 FROM (SELECT turn_id, conv_id, ix, CAST(text AS STRING) AS text FROM turn) t
 WINDOW w AS (PARTITION BY conv_id ORDER BY ix ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""",
     "summary_refresh_asof": """
-SELECT t.turn_id, s.turn_id AS summary_at FROM turn t LEFT JOIN turn s ON t.conv_id = s.conv_id AND s.ix = @idiv(t.ix, 4) * 4""",
+SELECT t.turn_id, s.turn_id AS summary_at FROM turn t LEFT JOIN turn s ON t.conv_id = s.conv_id AND s.ix = @idiv(t.ix, 10) * 10""",
     "session_window_turns": """
 SELECT turn_id FROM (SELECT turn_id, conv_id, ix, greatest(m, coalesce(lag(m) OVER c, 0), coalesce(lead(m) OVER c, 0)) AS near
   FROM (SELECT turn_id, conv_id, ix, CASE WHEN length(text) % 5 = 0 THEN 1 ELSE 0 END AS m FROM turn) t WINDOW c AS (PARTITION BY conv_id ORDER BY ix)) x WHERE near = 1""",

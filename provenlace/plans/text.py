@@ -45,8 +45,11 @@ SELECT turn_id, @rx(answer, '\\[(c[0-9]+)\\]', 1) AS first_citation, trim(@rr(@r
        answer LIKE 'INSUFFICIENT EVIDENCE%' AS abstains
 FROM (SELECT turn_id, CASE WHEN ix % 4 = 0 THEN 'INSUFFICIENT EVIDENCE' ELSE concat('Answer: ', substr(text, 1, 40), ' [c', CAST(ix + 1 AS STRING), ']') END AS answer FROM turn) t""",
     "format_date": """
-SELECT item_id, concat(CAST(day(d) AS STRING), ' ', CASE month(d) WHEN 1 THEN 'January' WHEN 2 THEN 'February' ELSE 'later' END, ' ', CAST(year(d) AS STRING)) AS shown
-FROM (SELECT item_id, CAST(DATE '2024-01-01' AS DATE) + CAST(item_id % 60 AS INT) AS d FROM benchmark) b""",
+SELECT item_id, said, CASE WHEN d IS NULL THEN substr(said, 1, 10) ELSE concat(CAST(day(d) AS STRING), ' ', CASE month(d) WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March' WHEN 4 THEN 'April'
+       WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'July' WHEN 8 THEN 'August' WHEN 9 THEN 'September' WHEN 10 THEN 'October' WHEN 11 THEN 'November' ELSE 'December' END,
+       ' ', CAST(year(d) AS STRING)) END AS shown
+FROM (SELECT item_id, said, try_cast(said AS DATE) AS d FROM (
+  SELECT item_id, CASE item_id % 8 WHEN 6 THEN 'some time last year' WHEN 7 THEN '' ELSE CAST(DATE '2024-01-01' + CAST(item_id * 29 % 731 AS INT) AS STRING) END AS said FROM benchmark) s) b""",
     "time_calendar_intervals": """
 SELECT o_orderkey, @epochday(date_trunc('day', o_orderdate)) AS day_lo, @epochday(date_trunc('week', o_orderdate)) AS week_lo,
        @epochday(date_trunc('month', o_orderdate)) AS month_lo, @epochday(date_trunc('year', o_orderdate)) AS year_lo FROM orders""",

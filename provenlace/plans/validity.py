@@ -15,7 +15,7 @@ terms AS (SELECT z.set_id, suff, quality, CASE WHEN red.n < 2 THEN 0.0 ELSE leas
           FROM size_of z JOIN suf ON suf.set_id = z.set_id JOIN src ON src.set_id = z.set_id JOIN red ON red.set_id = z.set_id)"""
 
 PLANS = {
-    "check_h1_size": "SELECT set_id, count(*) AS n, count(*) > 10 AS violated FROM atom GROUP BY set_id",
+    "check_h1_size": "SELECT set_id, count(*) AS n, count(*) > 16 AS violated FROM atom GROUP BY set_id",
     "check_h2_resolves": """
 SELECT a.set_id, a.atom FROM atom a LEFT JOIN supplier s ON s.s_nationkey = a.atom AND s.s_suppkey % 3 = 0 WHERE s.s_suppkey IS NULL GROUP BY a.set_id, a.atom""",
     "check_h3_closure": """
@@ -43,7 +43,10 @@ SELECT e.edge_id, a.kind FROM edge e JOIN assertion a ON a.turn_id = e.src LEFT
     "commit_v4_eligibility": """
 SELECT a.assertion_id, a.eligibility, count(*) AS edges FROM edge e JOIN assertion a ON a.turn_id = e.src
 WHERE a.eligibility <> 'eligible' GROUP BY a.assertion_id, a.eligibility""",
-    "commit_v5_intervals": "SELECT turn_id, lo, hi FROM validity WHERE hi IS NOT NULL AND hi - lo > 120",
+    # an invalidation of an edge that no earlier operation added
+    "commit_v5_intervals": """
+SELECT key, seq FROM (SELECT key, seq, op, min(CASE WHEN op = 'edge.add' THEN seq END) OVER (PARTITION BY key) AS created FROM log) l
+WHERE op = 'edge.invalidate' AND (created IS NULL OR seq <= created)""",
     "commit_v6_duplicates": """
 SELECT key, seq FROM (SELECT key, seq, op, lag(op) OVER (PARTITION BY key ORDER BY seq) AS was FROM log WHERE op IN ('edge.add', 'edge.invalidate')) l
 WHERE op = 'edge.add' AND was = 'edge.add'""",
@@ -67,14 +70,14 @@ SELECT set_id, atom, CAST(count(*) OVER (PARTITION BY set_id) - count(*) OVER (P
     "utility_terms": f"WITH {U} SELECT set_id, round(suff, 6) AS sufficiency, round(quality, 6) AS source_quality, round(redundancy, 6) AS redundancy, round(size, 6) AS size FROM terms",
     "reward_exp": f"""WITH {U}
 SELECT set_id, round(suff + 0.25 * quality - 0.1 * redundancy - 0.05 * size, 6) AS utility,
-       round(CASE WHEN size * 16 > 10 THEN 0.0 ELSE exp(2.0 * (suff + 0.25 * quality - 0.1 * redundancy - 0.05 * size)) END, 6) AS reward FROM terms""",
+       round(CASE WHEN size > 1 THEN 0.0 ELSE exp(2.0 * (suff + 0.25 * quality - 0.1 * redundancy - 0.05 * size)) END, 6) AS reward FROM terms""",
     "legal_adds_mask": """
 WITH s AS (SELECT set_id, CAST(sum(@shl(atom)) AS BIGINT) AS mask, count(*) AS n FROM atom GROUP BY set_id)
 SELECT s.set_id, n.n_nationkey AS atom FROM s JOIN nation n ON s.n < 16 AND (s.mask & @shl(n.n_nationkey)) = 0 AND (@shl(n.n_regionkey) & ~s.mask) = 0""",
     "stop_and_dead_ends": """
 WITH s AS (SELECT set_id, CAST(sum(@shl(atom)) AS BIGINT) AS mask, count(*) AS n FROM atom GROUP BY set_id),
-a AS (SELECT s.set_id, count(*) AS adds FROM s JOIN nation n ON s.n < 12 AND (s.mask & @shl(n.n_nationkey)) = 0 AND (@shl(n.n_regionkey) & ~s.mask) = 0 GROUP BY s.set_id)
-SELECT s.set_id, s.n <= 10 AS may_stop, s.n > 10 AND a.adds IS NULL AS dead_end FROM s LEFT JOIN a ON a.set_id = s.set_id""",
+a AS (SELECT s.set_id, count(*) AS adds FROM s JOIN nation n ON s.n < 16 AND (s.mask & @shl(n.n_nationkey)) = 0 AND (@shl(n.n_regionkey) & ~s.mask) = 0 GROUP BY s.set_id)
+SELECT s.set_id, s.n BETWEEN 1 AND 16 AS may_stop, s.n > 16 AND a.adds IS NULL AS dead_end FROM s LEFT JOIN a ON a.set_id = s.set_id""",
     "ref_closure": """
 WITH RECURSIVE walk(root, node, hops) AS (
   SELECT n_nationkey AS root, n_nationkey AS node, 0 AS hops FROM nation
@@ -82,10 +85,13 @@ WITH RECURSIVE walk(root, node, hops) AS (
 SELECT DISTINCT root, node FROM walk""",
     "dedup_sets": """
 SELECT members, count(*) AS copies, min(set_id) AS first_set FROM (SELECT set_id, @saggby(CAST(atom AS STRING), ',', atom) AS members FROM atom GROUP BY set_id) s GROUP BY members""",
+    # the mean distance over all pairs of sets; pairs without a common atom have distance 1 and are counted, not made
     "portfolio_jaccard": """
 WITH n AS (SELECT set_id, count(*) AS n FROM atom GROUP BY set_id),
-c AS (SELECT a.set_id AS x, b.set_id AS y, count(*) AS common FROM atom a JOIN atom b ON a.atom = b.atom AND a.set_id < b.set_id GROUP BY a.set_id, b.set_id)
-SELECT round(avg(1 - CAST(common AS DOUBLE) / (p.n + q.n - common)), 6) AS diversity FROM c JOIN n p ON p.set_id = c.x JOIN n q ON q.set_id = c.y""",
+c AS (SELECT a.set_id AS x, b.set_id AS y, count(*) AS common FROM atom a JOIN atom b ON a.atom = b.atom AND a.set_id < b.set_id GROUP BY a.set_id, b.set_id),
+j AS (SELECT sum(CAST(common AS DOUBLE) / (p.n + q.n - common)) AS alike FROM c JOIN n p ON p.set_id = c.x JOIN n q ON q.set_id = c.y),
+t AS (SELECT CAST(count(*) AS DOUBLE) AS sets FROM n)
+SELECT round(CASE WHEN sets < 2 THEN 0.0 ELSE 1 - coalesce(alike, 0.0) / (sets * (sets - 1) / 2) END, 6) AS diversity FROM j CROSS JOIN t""",
     "jaccard_spread_bits": """
 WITH m AS (SELECT set_id, CAST(sum(@shl(atom)) AS BIGINT) AS mask FROM atom GROUP BY set_id)
 SELECT a.set_id AS x, b.set_id AS y, @bits(a.mask & b.mask) AS common, @bits(a.mask | b.mask) AS together FROM m a JOIN m b ON b.set_id = a.set_id + 1""",

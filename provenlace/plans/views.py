@@ -7,6 +7,7 @@ import re
 #: An answer's articles, and words that retrieval leaves out.
 ARTICLES = "a an the"
 STOPWORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
+STOPPED = ", ".join(f"'{w}'" for w in STOPWORDS.split())
 EPOCH = 1704067200
 TAU = 0.8
 
@@ -34,11 +35,11 @@ SELECT item_id AS question_id, text, {EPOCH} + item_id * 43200 AS tc_start, {EPO
     "question_token": f"""
 SELECT DISTINCT question_id, tok FROM (
   SELECT question_id, @explode(@words(@rr(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' '))) AS tok FROM question) q
-WHERE NOT (concat(' ', '{STOPWORDS}', ' ') LIKE concat('% ', tok, ' %'))""",
+WHERE tok NOT IN ({STOPPED})""",
     "doc_token": f"""
 SELECT turn_id AS doc, tok, count(*) AS tf FROM (
   SELECT turn_id, @explode(@words(@rr(text_norm, '[^\\p{{L}}\\p{{N}}_]+', ' '))) AS tok FROM assertion WHERE eligibility = 'eligible') d
-WHERE NOT (concat(' ', '{STOPWORDS}', ' ') LIKE concat('% ', tok, ' %')) GROUP BY turn_id, tok""",
+WHERE tok NOT IN ({STOPPED}) GROUP BY turn_id, tok""",
     "bm25": """
 SELECT question_id, d.doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score
 FROM question_token q JOIN doc_token d ON q.tok = d.tok
@@ -46,11 +47,15 @@ JOIN (SELECT tok, CAST(count(*) AS DOUBLE) AS df FROM doc_token GROUP BY tok) f
 JOIN (SELECT doc, CAST(sum(tf) AS DOUBLE) AS dl FROM doc_token GROUP BY doc) l ON l.doc = d.doc
 CROSS JOIN (SELECT CAST(count(DISTINCT doc) AS DOUBLE) AS n, CAST(sum(tf) AS DOUBLE) / count(DISTINCT doc) AS avgdl FROM doc_token) c
 GROUP BY question_id, d.doc""",
+    # numbered in two levels: by blocks of 65,536 ids, whose sizes are few, and inside each of them
     "log": """
-SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq,
-       CASE event_type WHEN 'signup' THEN 'node.add' WHEN 'view' THEN 'edge.add' WHEN 'error' THEN 'edge.invalidate'
+SELECT CAST(o.off + row_number() OVER (PARTITION BY o.block ORDER BY e.event_id) - 1 AS BIGINT) AS seq,
+       CASE e.event_type WHEN 'signup' THEN 'node.add' WHEN 'view' THEN 'edge.add' WHEN 'error' THEN 'edge.invalidate'
                        WHEN 'purchase' THEN 'assertion.add' ELSE 'assertion.set_eligibility' END AS op,
-       CAST(user_id AS STRING) AS key, props AS payload, value, event_id FROM events""",
+       CAST(e.user_id AS STRING) AS key, e.props AS payload, e.value, e.event_id
+FROM events e JOIN (
+  SELECT block, coalesce(sum(n) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM (SELECT @idiv(event_id, 65536) AS block, count(*) AS n FROM events GROUP BY @idiv(event_id, 65536)) b) o ON o.block = @idiv(e.event_id, 65536)""",
     "gate": """
 SELECT d.doc_id AS item_id, d.source AS group_id, CAST((d.n_chars * 37 + d.doc_id * 11) % 997 AS DOUBLE) / 996 AS score, l.quality AS label
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
@@ -58,28 +63,38 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
 SELECT vec_id, embedding, label, sqrt(@dot(embedding, embedding)) AS norm FROM embeddings""",
     "dense": """
 SELECT q.vec_id AS question_id, v.vec_id AS node_id, round(@dot(q.embedding, v.embedding) / (q.norm * v.norm), 6) AS score
-FROM vec q JOIN vec v ON q.vec_id < 10 AND v.vec_id >= 10 AND q.norm > 0 AND v.norm > 0""",
+FROM vec q JOIN vec v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND q.norm > 0 AND v.norm > 0""",
     "atom": """
 SELECT a.item_id AS set_id, b.n_nationkey AS atom, b.n_regionkey AS ref, CAST(b.n_nationkey % 7 AS DOUBLE) / 6 AS tier
 FROM benchmark a JOIN nation b ON (a.item_id * 13 + b.n_nationkey * b.n_nationkey + b.n_nationkey * 7) % 11 < 4""",
 }
 
+#: Views that the oracle has in another, plainer form.
+PLAIN = {
+    "log": """
+SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq,
+       CASE event_type WHEN 'signup' THEN 'node.add' WHEN 'view' THEN 'edge.add' WHEN 'error' THEN 'edge.invalidate'
+                       WHEN 'purchase' THEN 'assertion.add' ELSE 'assertion.set_eligibility' END AS op,
+       CAST(user_id AS STRING) AS key, props AS payload, value, event_id FROM events""",
+}
+
 
-def with_views(body: str, views: tuple[str, ...]) -> str:
+def with_views(body: str, views: tuple[str, ...], plain: bool = False) -> str:
     """body after the views it names and, before them, those that they read themselves."""
     order: list[str] = []
+    bodies = VIEWS | PLAIN if plain else VIEWS
 
     def need(name: str) -> None:
         if name in order:
             return
         for other in VIEWS:
-            if other != name and re.search(rf"\b(FROM|JOIN) {other}\b", VIEWS[name]):
+            if other != name and re.search(rf"\b(FROM|JOIN) {other}\b", bodies[name]):
                 need(other)
         order.append(name)
 
     for name in [v for v in VIEWS if v in views or re.search(rf"\b(FROM|JOIN) {v}\b", body)]:
         need(name)
-    head = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in order)
+    head = ",\n".join(f"{v} AS ({bodies[v]})" for v in order)
     if not order:
         return body
     own = re.match(r"\s*WITH (RECURSIVE )?", body, re.IGNORECASE)
