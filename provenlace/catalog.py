@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from provenlace.evidence import queries as evidence
+from provenlace.functions import time_phrases
 from provenlace.operators import queries as grouped
 from provenlace.plans import evaluation, graph, lattice, log, partition, text, validity
 from provenlace.plans.dialect import plan
@@ -15,3 +16,4 @@ for _module in (text, log, graph, validity, lattice, evaluation):
         QUERIES[_name], ORACLE[_name] = plan(_body)
 QUERIES |= grouped.QUERIES | evidence.QUERIES | liveness.QUERIES | partition.QUERIES
 ORACLE |= grouped.ORACLE | evidence.ORACLE | liveness.ORACLE | partition.ORACLE
+QUERIES["time_phrase_resolve"], ORACLE["time_phrase_resolve"] = time_phrases.time_phrase_resolve, time_phrases.ORACLE

@@ -53,12 +53,6 @@ FROM (SELECT item_id, said, try_cast(said AS DATE) AS d FROM (
     "time_calendar_intervals": """
 SELECT o_orderkey, @epochday(date_trunc('day', o_orderdate)) AS day_lo, @epochday(date_trunc('week', o_orderdate)) AS week_lo,
        @epochday(date_trunc('month', o_orderdate)) AS month_lo, @epochday(date_trunc('year', o_orderdate)) AS year_lo FROM orders""",
-    "time_phrase_resolve": f"""
-SELECT item_id, phrase, CASE phrase WHEN 'today' THEN t WHEN 'yesterday' THEN t - 86400 WHEN 'last 7 days' THEN t - 6 * 86400 WHEN 'since' THEN t END AS lo,
-       CASE phrase WHEN 'today' THEN t + 86400 WHEN 'yesterday' THEN t WHEN 'last 7 days' THEN t + 86400 WHEN 'before' THEN t END AS hi
-FROM (SELECT item_id, {EPOCH} + item_id * 86400 AS t,
-             CASE item_id % 6 WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday' WHEN 2 THEN 'last 7 days' WHEN 3 THEN 'since' WHEN 4 THEN 'before' ELSE 'whenever' END AS phrase
-      FROM benchmark) b""",
     "interval_overlap_join": """
 SELECT q.question_id, v.turn_id FROM question q JOIN validity v
 ON greatest(q.tc_start, v.lo) < least(q.tc_end, coalesce(v.hi, 9999999999)) AND v.lo < coalesce(v.hi, 9999999999)""",
