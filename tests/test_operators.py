@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from provenlace.operators import search, statistics
 
@@ -41,28 +42,41 @@ def test_searches_return_closed_sets_and_beam_reaches_the_best():
         assert abs(search.utility(set(found["beam"]), worth, similar) - best) < 1e-9
 
 
+def parts_of(atoms, near):
+    """Sets of atoms that links inside atoms hold together."""
+    parts, seen = [], set()
+    for a in sorted(atoms):
+        if a not in seen:
+            part, todo = set(), [a]
+            while todo:
+                x = todo.pop()
+                if x not in part:
+                    part.add(x)
+                    todo += near[x] & set(atoms)
+            seen |= part
+            parts.append(part)
+    return parts
+
+
 def test_tree_packing_is_the_best_forest():
-    for seed in range(10):
-        worth, refs = instance(seed, 6)
+    """In each component, no connected subset is worth more, and one of equal worth is neither smaller nor comes first."""
+    for seed in range(30):
+        worth, refs = instance(seed, 7)
+        if seed % 3 == 0:
+            worth = dict.fromkeys(worth, 0.2)  # ties
         got = search.tree_packing(worth, refs, 0.2)
         near = {a: refs[a] | {b for b in worth if a in refs[b]} for a in worth}
-        parts, seen = [], set()
-        for a in worth:
-            if a not in seen:
-                part, todo = set(), [a]
-                while todo:
-                    x = todo.pop()
-                    if x not in part:
-                        part.add(x)
-                        todo += near[x]
-                seen |= part
-                parts.append(part)
-        for part in parts:
-            options = [s for s in closed_sets({a: worth[a] for a in part}, refs, len(part)) if s]
-            gain = lambda s: sum(worth[a] for a in s) - 0.2 * (len(s) - 1)
-            best = max(map(gain, options))
-            mine = set(got) & part
-            assert abs((gain(mine) if mine else 0) - max(best, 0)) < 1e-9
+        for part in parts_of(worth, near):
+            options = [c for n in range(1, len(part) + 1) for c in itertools.combinations(sorted(part), n) if len(parts_of(c, near)) == 1]
+            gain = lambda s: round(sum(worth[a] for a in s) - 0.2 * (len(s) - 1), 9)
+            best = min(options, key=lambda c: (-gain(c), len(c), c))
+            assert set(got) & part == (set(best) if gain(best) > 0 else set())
+
+
+def test_tree_packing_refuses_large_components():
+    chain = {a: {a - 1} if a else set() for a in range(21)}
+    with pytest.raises(ValueError, match="too large"):
+        search.tree_packing(dict.fromkeys(chain, 1.0), chain)
 
 
 def test_capped_pool_skips_and_goes_on():
