@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from provenlace.evidence import pool_queries
 from provenlace.evidence import queries as evidence
-from provenlace.functions import time_phrases
+from provenlace.functions import queries as functions
 from provenlace.operators import queries as grouped
 from provenlace.plans import evaluation, graph, lattice, log, partition, text, validity
 from provenlace.plans.dialect import plan
@@ -14,6 +15,6 @@ ORACLE: dict = {}
 for _module in (text, log, graph, validity, lattice, evaluation):
     for _name, _body in _module.PLANS.items():
         QUERIES[_name], ORACLE[_name] = plan(_body)
-QUERIES |= grouped.QUERIES | evidence.QUERIES | liveness.QUERIES | partition.QUERIES
-ORACLE |= grouped.ORACLE | evidence.ORACLE | liveness.ORACLE | partition.ORACLE
-QUERIES["time_phrase_resolve"], ORACLE["time_phrase_resolve"] = time_phrases.time_phrase_resolve, time_phrases.ORACLE
+for _module in (grouped, evidence, pool_queries, functions, liveness, partition):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE

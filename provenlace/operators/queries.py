@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenlace.operators import search, statistics
+from provenlace.operators import sampling, search, statistics, vectors
 from provenlace.plans.dialect import plan
 
 MOST, CAP = 6, 8
@@ -98,19 +98,61 @@ def answer_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def search_submodular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of the coverage objective, the worthiest first: an atom's reference is its source, its number modulo 4 the slot it serves."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rel = {int(a): float(t) for a, t in zip(pdf["atom"], pdf["tier"], strict=True)}
+        ref = {int(a): int(r) for a, r in zip(pdf["atom"], pdf["ref"], strict=True)}
+        refs = {a: {r} - {a} if r in rel else set() for a, r in ref.items()}
+        alike = lambda a, b: max(0.0, 1.0 - 2 * abs(rel[a] - rel[b]))
+        value = search.objective(rel, alike, {a: {a % 4} for a in rel}, {0, 1, 2, 3}, ref)
+        sets = search.submodular(rel, refs, value, MOST)
+        rows = [(int(pdf["set_id"].iloc[0]), place, a, round(value(s), 6)) for place, s in enumerate(sets, 1) for a in s]
+        return pd.DataFrame(rows, columns=["set_id", "place", "atom", "value"])
+
+    return _atoms(spark, sf_dir).groupBy("set_id").applyInPandas(one, "set_id long, place long, atom long, value double")
+
+
+def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 against all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vectors.cosine_topk(rows.filter("vec_id % 100 = 0"), rows, 10)
+
+
+DENSE_SQL = """
+WITH s AS (SELECT q.vec_id AS question_id, v.vec_id AS node_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+           FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)
+SELECT question_id, node_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_id) AS rank FROM s) r WHERE rank <= 10"""
+
+
+def stratified_sample_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1,000 documents in proportion to their sources."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    return sampling.stratified_sample(docs, "source", "doc_id", 1000, seed=7)
+
+
+STRATIFIED_SQL = """
+WITH n AS (SELECT source, count(*) AS n, least(1000, (SELECT count(*) FROM documents)) AS want, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY source),
+q AS (SELECT source, n, want * n // total AS base, row_number() OVER (ORDER BY n DESC, source NULLS LAST) AS turn, want - (SELECT sum(want * n // total) FROM n) AS rest FROM n),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY substr(sha256(concat_ws(chr(31), '7', CAST(doc_id AS VARCHAR))), 1, 12), doc_id) AS rn FROM documents)
+SELECT r.doc_id, r.source FROM r JOIN q ON q.source IS NOT DISTINCT FROM r.source WHERE rn <= base + CASE WHEN turn <= rest THEN 1 ELSE 0 END"""
+
 _soft = search.likeness
 QUERIES = {
     "pool_capped_greedy": _searched(lambda w, r: search.capped_pool(w, r, CAP)),
     "minimise_structural": _searched(lambda w, r: search.minimised(set(w), r, {a for a in w if w[a] > 0.5})),
     "search_greedy": _searched(lambda w, r: search.greedy(w, r, _soft(w), MOST)),
     "search_beam": _searched(lambda w, r: search.beam(w, r, _soft(w), MOST)),
-    "search_submodular": _searched(lambda w, r: search.submodular(w, r, _soft(w), MOST)),
+    "search_submodular": search_submodular,
     "search_tree_packing": _searched(search.tree_packing),
     "select_by_relevance": _searched(lambda w, r: search.by_relevance(w, r, MOST)),
+    "dense_cosine_topk": dense_cosine_topk,
+    "stratified_sample_quota": stratified_sample_quota,
     "bootstrap_group_ci": bootstrap_group_ci,
     "paired_bootstrap": paired_bootstrap,
     "ground_quotes_fuzzy": ground_quotes_fuzzy,
     "mcnemar_exact": mcnemar_exact,
     "answer_record": answer_record,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"dense_cosine_topk": DENSE_SQL, "stratified_sample_quota": STRATIFIED_SQL}

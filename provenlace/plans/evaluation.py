@@ -64,9 +64,6 @@ SELECT category, count(*) AS n, count(CASE WHEN outcome = 'answer' THEN 1 END) A
     "cost_mean_median_max": """
 SELECT event_type AS meter, round(avg(value), 4) AS mean, round(@pct(value, 0.5), 4) AS median, max(value) AS most, count(*) AS n FROM events GROUP BY event_type""",
     "class_weights": "SELECT label, round(CAST(sum(count(*)) OVER () AS DOUBLE) / (2 * count(*)), 6) AS weight FROM gate GROUP BY label",
-    "stratified_sample_quota": """
-WITH s AS (SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY @sha16('draw', CAST(item_id AS STRING))) AS rn, count(*) OVER (PARTITION BY group_id) AS n, count(*) OVER () AS total FROM gate)
-SELECT group_id, item_id FROM s WHERE rn <= @idiv(n * 100, total)""",
     "split_train_dev_test": """
 SELECT item_id, CASE WHEN rn <= round(n * 0.6) THEN 'train' WHEN rn <= round(n * 0.8) THEN 'dev' ELSE 'test' END AS part FROM (
   SELECT item_id, row_number() OVER (PARTITION BY group_id ORDER BY @sha16('split', CAST(item_id AS STRING))) AS rn, count(*) OVER (PARTITION BY group_id) AS n FROM gate) g""",
@@ -84,9 +81,6 @@ SELECT conv_id, count(*) AS assertions, round(CAST(count(CASE WHEN eligibility =
 WITH t AS (SELECT turn_id, conv_id, ix, sum(@idiv(length(text), 4)) OVER (PARTITION BY conv_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM turn),
 b AS (SELECT CAST(160 AS BIGINT) AS budget UNION ALL SELECT 512 UNION ALL SELECT 1024)
 SELECT budget, conv_id, count(CASE WHEN used <= budget OR ix = 0 THEN 1 END) AS kept, count(*) AS n FROM t JOIN b ON true GROUP BY budget, conv_id""",
-    "serialise_order": """
-WITH r AS (SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY label DESC, score DESC, item_id DESC) AS rn, count(*) OVER (PARTITION BY group_id) AS n FROM gate)
-SELECT group_id, item_id, CASE WHEN rn <= @idiv((n + 1), 2) THEN rn ELSE n + @idiv((n + 1), 2) + 1 - rn END AS place FROM r""",
     "bakeoff_decide": """
 WITH c AS (SELECT source AS arm, count(*) AS n, round(CAST(sum(n_chars) AS DOUBLE) / count(*), 6) AS rate, CAST(count(CASE WHEN n_chars < 60 THEN 1 END) AS DOUBLE) / count(*) AS failures FROM documents GROUP BY source)
 SELECT arm, rate, rate >= 0.99 * (SELECT max(rate) FROM c WHERE failures < 0.02) AS in_band FROM c WHERE failures < 0.02""",

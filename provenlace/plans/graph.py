@@ -52,9 +52,6 @@ FROM p JOIN turn a ON a.turn_id = p.x JOIN turn b ON b.turn_id = p.y""",
     "bm25_topk": f"""WITH {HIT}
 SELECT question_id, doc, score, CAST(rn AS BIGINT) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc) AS rn FROM hit) r WHERE rn <= 10""",
-    "dense_cosine_topk": """
-SELECT question_id, node_id, score, CAST(rn AS BIGINT) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_id) AS rn FROM dense) r WHERE rn <= 10""",
     "minmax_scale": f"WITH {FUSED} SELECT question_id, channel, doc, s FROM scaled",
     "minmax_flat_zero": """
 SELECT question_id, node_id, round(CASE WHEN hi = lo THEN 0.0 ELSE (score - lo) / (hi - lo) END, 5) AS s FROM (

@@ -40,10 +40,6 @@ SELECT turn_id, round(CASE WHEN np = 0 OR ng = 0 THEN CASE WHEN np = ng THEN 1.0
   ELSE CAST(common AS DOUBLE) / np * CASE WHEN np > ng THEN 1.0 ELSE exp(1 - CAST(ng AS DOUBLE) / np) END END, 6) AS bleu1 FROM s""",
     "answer_equivalence": f"""WITH {PAIRED}
 SELECT turn_id, p <> '' AND p = g AS same FROM pairs""",
-    "answer_parse_citations": """
-SELECT turn_id, @rx(answer, '\\[(c[0-9]+)\\]', 1) AS first_citation, trim(@rr(@rr(answer, '(?i)^answer:', ''), '\\[c[0-9]+\\]', '')) AS body,
-       answer LIKE 'INSUFFICIENT EVIDENCE%' AS abstains
-FROM (SELECT turn_id, CASE WHEN ix % 4 = 0 THEN 'INSUFFICIENT EVIDENCE' ELSE concat('Answer: ', substr(text, 1, 40), ' [c', CAST(ix + 1 AS STRING), ']') END AS answer FROM turn) t""",
     "format_date": """
 SELECT item_id, said, CASE WHEN d IS NULL THEN substr(said, 1, 10) ELSE concat(CAST(day(d) AS STRING), ' ', CASE month(d) WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March' WHEN 4 THEN 'April'
        WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'July' WHEN 8 THEN 'August' WHEN 9 THEN 'September' WHEN 10 THEN 'October' WHEN 11 THEN 'November' ELSE 'December' END,
@@ -53,16 +49,6 @@ FROM (SELECT item_id, said, try_cast(said AS DATE) AS d FROM (
     "time_calendar_intervals": """
 SELECT o_orderkey, @epochday(date_trunc('day', o_orderdate)) AS day_lo, @epochday(date_trunc('week', o_orderdate)) AS week_lo,
        @epochday(date_trunc('month', o_orderdate)) AS month_lo, @epochday(date_trunc('year', o_orderdate)) AS year_lo FROM orders""",
-    "interval_overlap_join": """
-SELECT q.question_id, v.turn_id FROM question q JOIN validity v
-ON greatest(q.tc_start, v.lo) < least(q.tc_end, coalesce(v.hi, 9999999999)) AND v.lo < coalesce(v.hi, 9999999999)""",
-    "interval_covered_fraction": """
-WITH c AS (SELECT q.question_id, q.tc_start, q.tc_end, greatest(q.tc_start, v.lo) AS lo, least(q.tc_end, coalesce(v.hi, 9999999999)) AS hi
-           FROM question q JOIN validity v ON greatest(q.tc_start, v.lo) < least(q.tc_end, coalesce(v.hi, 9999999999))),
-m AS (SELECT *, max(hi) OVER (PARTITION BY question_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
-f AS (SELECT question_id, sum(greatest(0, hi - greatest(lo, coalesce(before, lo)))) AS covered FROM m GROUP BY question_id)
-SELECT q.question_id, round(least(1.0, CAST(coalesce(covered, 0) AS DOUBLE) / (tc_end - tc_start)), 6) AS fraction
-FROM question q LEFT JOIN f ON q.question_id = f.question_id""",
     "relative_time_encoding": """
 SELECT event_id, round(sin(d / 7.0), 6) AS sin7, round(cos(d / 7.0), 6) AS cos7, round(sin(d / 365.0), 6) AS sin365, round(cos(d / 365.0), 6) AS cos365
 FROM (SELECT event_id, CAST(event_id % 400 AS DOUBLE) AS d FROM events) e""",

@@ -33,7 +33,6 @@ def test_searches_return_closed_sets_and_beam_reaches_the_best():
         found = {
             "greedy": search.greedy(worth, refs, similar, 4),
             "beam": search.beam(worth, refs, similar, 4, width=200),
-            "submodular": search.submodular(worth, refs, similar, 4),
             "relevance": search.by_relevance(worth, refs, 4),
         }
         for ids in found.values():
@@ -42,6 +41,50 @@ def test_searches_return_closed_sets_and_beam_reaches_the_best():
         assert abs(search.utility(set(found["beam"]), worth, similar) - best) < 1e-9
 
 
+def coverage(worth, saturation=0.3):
+    """The four terms written out over all atoms."""
+    alike = lambda a, b: max(0.0, 1 - 2 * abs(worth[a] - worth[b]))
+    total = sum(worth.values())
+
+    def value(s):
+        if not s:
+            return 0.0
+        mass = lambda atoms: sum(min(sum(alike(i, j) for j in atoms), saturation * sum(alike(i, j) for j in worth)) for i in worth)
+        div = lambda atoms: sum(sum(worth[a] for a in atoms if a % 3 == g) ** 0.5 for g in range(3))
+        return sum(worth[a] for a in s) / total + 0.5 * len({a % 4 for a in s} & {0, 1, 2}) / 3 + 0.4 * mass(s) / mass(worth) + 0.3 * div(s) / div(worth)
+
+    return alike, value
+
+
+def test_coverage_objective_and_its_chains():
+    for seed in range(20):
+        worth, refs = instance(seed)
+        alike, want = coverage(worth)
+        value = search.objective(worth, alike, {a: {a % 4} for a in worth}, {0, 1, 2}, {a: a % 3 for a in worth})
+        sets = list(closed_sets(worth, refs, 4))
+        assert all(abs(value(s) - want(s)) < 1e-9 for s in sets)
+        assert abs(value(set(worth)) - 2.2) < 1e-9
+        best = max(map(want, sets))
+        found = search.submodular(worth, refs, value, 4)
+        assert all(set(s) in sets for s in found)
+        assert want(found[0]) >= 0.63 * best
+        assert [want(s) for s in found] == sorted(map(want, found), reverse=True)
+        chain = search.cover_chain(value, sorted(worth), {}, 3)  # without references: the largest gain each time
+        step = []
+        while len(step) < 3:
+            step.append(max((a for a in worth if a not in step), key=lambda a: (round(want({*step, a}), 9), -a)))
+        assert chain == sorted(step)
+
+
+def test_coverage_without_slots_and_with_a_small_budget():
+    worth = {0: 0.5, 1: 0.5, 2: 0.9}
+    none = search.objective(worth, lambda a, b: float(a == b), {}, set(), {})
+    assert none(set()) == 0 and none({0}) > 0.5
+    assert search.cover_chain(none, [0, 1, 2], {2: [0, 1]}, 2) == [0, 1]
+    assert search.cover_chain(none, [0, 1, 2], {}, 1, opener=0) == [2]  # the single set is worth more than the forced one
+    assert search.submodular({}, {}, lambda s: 0.0, 4) == []
+
+
 def parts_of(atoms, near):
     """Sets of atoms that links inside atoms hold together."""
     parts, seen = [], set()
