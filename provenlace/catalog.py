@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provenlace.evidence import pool_queries
+from provenlace.evidence import log_queries, pool_queries
 from provenlace.evidence import queries as evidence
 from provenlace.functions import queries as functions
 from provenlace.operators import queries as grouped
@@ -13,8 +13,9 @@ from provenlace.streaming import liveness
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _module in (text, log, graph, validity, lattice, evaluation):
+    # some plans have another, plainer form to be compared with
     for _name, _body in _module.PLANS.items():
-        QUERIES[_name], ORACLE[_name] = plan(_body)
-for _module in (grouped, evidence, pool_queries, functions, liveness, partition):
+        QUERIES[_name], ORACLE[_name] = plan(_body)[0], plan(getattr(_module, "PLAIN", {}).get(_name, _body))[1]
+for _module in (grouped, evidence, log_queries, pool_queries, functions, liveness, partition):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenlace.operators import sampling, search, statistics, vectors
+from provenlace.operators import pooling, sampling, search, statistics, vectors
 from provenlace.plans.dialect import plan
 
 MOST, CAP = 6, 8
@@ -138,6 +138,40 @@ q AS (SELECT source, n, want * n // total AS base, row_number() OVER (ORDER BY n
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY substr(sha256(concat_ws(chr(31), '7', CAST(doc_id AS VARCHAR))), 1, 12), doc_id) AS rn FROM documents)
 SELECT r.doc_id, r.source FROM r JOIN q ON q.source IS NOT DISTINCT FROM r.source WHERE rn <= base + CASE WHEN turn <= rest THEN 1 ELSE 0 END"""
 
+def pool_sets_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of a label as a set; their first four numbers as vectors."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("set_id"), F.col("vec_id").alias("item"), F.slice("embedding", 1, 4).alias("vector"))
+    wide = pooling.pool_sets(rows, rows, 4, 16)
+    return wide.select("set_id", *[F.round(F.element_at("features", i + 1), 5).alias(f"f{i}") for i in range(9)])
+
+
+POOLED_SQL = (
+    "SELECT label AS set_id, " + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 5) AS f{i}, round(max(embedding[{i + 1}]::DOUBLE), 5) AS f{i + 4}" for i in range(4))
+    + ", round(count(*) / 16.0, 5) AS f8 FROM embeddings GROUP BY label"
+)
+MAPPING = [("en", "germanic"), ("de", "germanic"), ("fr", "romance"), ("la", "romance")]
+
+
+def class_mapping_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("item"), F.col("lang").alias("native"))
+    return pooling.class_mapping(docs, spark.createDataFrame(MAPPING, "native string, target string"))
+
+
+MAPPING_SQL = f"""
+WITH m(native, target) AS (VALUES {", ".join(map(str, MAPPING))}), n AS (SELECT lang AS native, count(*) AS instances FROM documents WHERE lang IS NOT NULL GROUP BY lang)
+SELECT native, instances, target, target IS NOT NULL AND (SELECT count(*) FROM n x JOIN m y USING (native) WHERE y.target = m.target) > 1 AS merged FROM n LEFT JOIN m USING (native)"""
+
+
+def pool_size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pooling.pool_sizes(plan("SELECT conv_id AS question_id, turn_id AS atom_id, substr(text, 1, 4) AS text FROM turn")[0](spark, sf_dir))
+
+
+SIZES_SQL = """
+WITH s AS (SELECT count(*) AS n FROM conversations GROUP BY conv_id), o AS (SELECT n, row_number() OVER (ORDER BY n) AS rn, count(*) OVER () AS all_n FROM s),
+t AS (SELECT conv_id, lower(trim(substr(text, 1, 4))) AS t FROM conversations)
+SELECT (SELECT count(*) FROM s) AS pools, (SELECT min(n) FROM s) AS least, (SELECT n FROM o WHERE rn = all_n // 2 + 1) AS median, (SELECT max(n) FROM s) AS most,
+  (SELECT count(*) FROM t WHERE t <> '') - (SELECT count(*) FROM (SELECT DISTINCT * FROM t WHERE t <> '') d) AS equal_texts"""
+
 _soft = search.likeness
 QUERIES = {
     "pool_capped_greedy": _searched(lambda w, r: search.capped_pool(w, r, CAP)),
@@ -149,10 +183,19 @@ QUERIES = {
     "select_by_relevance": _searched(lambda w, r: search.by_relevance(w, r, MOST)),
     "dense_cosine_topk": dense_cosine_topk,
     "stratified_sample_quota": stratified_sample_quota,
+    "pool_sets_features": pool_sets_features,
+    "class_mapping_report": class_mapping_report,
+    "pool_size_report": pool_size_report,
     "bootstrap_group_ci": bootstrap_group_ci,
     "paired_bootstrap": paired_bootstrap,
     "ground_quotes_fuzzy": ground_quotes_fuzzy,
     "mcnemar_exact": mcnemar_exact,
     "answer_record": answer_record,
 }
-ORACLE: dict[str, str] = {"dense_cosine_topk": DENSE_SQL, "stratified_sample_quota": STRATIFIED_SQL}
+ORACLE: dict[str, str] = {
+    "dense_cosine_topk": DENSE_SQL,
+    "stratified_sample_quota": STRATIFIED_SQL,
+    "pool_sets_features": POOLED_SQL,
+    "class_mapping_report": MAPPING_SQL,
+    "pool_size_report": SIZES_SQL,
+}

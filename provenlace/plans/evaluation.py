@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+# running sums of errors from the highest score down, by bands of scores and inside each of them
 CURVE = """
+g AS (SELECT score, CAST(floor(score * 1024) AS BIGINT) AS band, count(*) AS n, sum(1 - label) AS errors FROM gate GROUP BY score),
+bands AS (SELECT band, sum(n) AS n, sum(errors) AS errors FROM g GROUP BY band),
+o AS (SELECT band, coalesce(sum(n) OVER above, 0) AS n0, coalesce(sum(errors) OVER above, 0) AS e0, sum(n) OVER () AS total FROM bands
+      WINDOW above AS (ORDER BY band DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT g.score, g.n, g.errors, o.n0 + sum(g.n) OVER inside AS cum_n, o.e0 + sum(g.errors) OVER inside AS cum_e, o.total FROM g JOIN o ON o.band = g.band
+      WINDOW inside AS (PARTITION BY g.band ORDER BY g.score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+PLAIN_CURVE = """
 g AS (SELECT score, count(*) AS n, sum(1 - label) AS errors FROM gate GROUP BY score),
 c AS (SELECT score, n, errors, sum(n) OVER o AS cum_n, sum(errors) OVER o AS cum_e, sum(n) OVER () AS total FROM g
       WINDOW o AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
@@ -91,3 +99,6 @@ SELECT group_id, round(max(score), 6) AS top, round(sum(CASE WHEN rn <= 3 THEN s
 SELECT item_id, round(CASE WHEN count(*) OVER g = 1 THEN 0.0 ELSE (score - avg(score) OVER g) / (stddev_pop(score) OVER g + 0.000001) END, 5) AS advantage FROM gate WINDOW g AS (PARTITION BY group_id)""",
     "first_under_threshold": "SELECT key, min(CASE WHEN value < 1 THEN seq END) AS first_seq FROM log GROUP BY key",
 }
+
+#: The same curves in one pass over all scores.
+PLAIN = {n: PLANS[n].replace(CURVE, PLAIN_CURVE) for n in ("risk_coverage_curve", "aurc", "choose_threshold")}

@@ -66,11 +66,9 @@ GROUP BY h.question_id, h.doc HAVING bool_or(coalesce(greatest(q.tc_start, v.lo)
     "hybrid_half_half": f"""WITH {FUSED},
 m AS (SELECT question_id, doc, round(sum(0.5 * s), 8) AS score FROM scaled GROUP BY question_id, doc)
 SELECT question_id, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc) AS rn FROM m) r WHERE rn <= 5""",
-    "pool_uncapped_closure": f"""WITH {HIT},
-node AS (SELECT question_id, doc AS node FROM hit UNION SELECT h.question_id, e.dst AS node FROM hit h JOIN edge e ON e.src = h.doc)
-SELECT n.question_id, count(*) AS nodes, max(coalesce(m.edges, 0)) AS edges FROM node n LEFT JOIN (
-  SELECT a.question_id, count(*) AS edges FROM node a JOIN edge e ON e.src = a.node JOIN node b ON b.question_id = a.question_id AND b.node = e.dst GROUP BY a.question_id) m
-ON m.question_id = n.question_id GROUP BY n.question_id""",
+    # all targets of a hit's edges are nodes of the pool, so its inner edges are those of its hits
+    "pool_uncapped_closure": f"""WITH {HIT}
+SELECT h.question_id, count(DISTINCT h.doc) + count(DISTINCT e.dst) AS nodes, count(e.edge_id) AS edges FROM hit h LEFT JOIN edge e ON e.src = h.doc GROUP BY h.question_id""",
     "pool_saturation": f"""WITH {HIT}
 SELECT question_id, count(DISTINCT e.edge_id) + count(DISTINCT h.doc) AS closed_size, count(DISTINCT e.edge_id) + count(DISTINCT h.doc) > 64 AS saturated
 FROM hit h LEFT JOIN edge e ON e.src = h.doc GROUP BY question_id""",
@@ -99,3 +97,12 @@ FROM (SELECT turn_id, CASE WHEN ix % 2 = 0 THEN substr(text, 3, 30) ELSE lower(s
 SELECT h.question_id, h.doc FROM hit h LEFT JOIN (SELECT question_id, max(score) AS best FROM hit GROUP BY question_id) b
 ON b.question_id = h.question_id AND b.best = h.score WHERE b.best IS NULL""",
 }
+
+#: The same pool, put together node by node.
+PLAIN = {
+    "pool_uncapped_closure": f"""WITH {HIT},
+node AS (SELECT question_id, doc AS node FROM hit UNION SELECT h.question_id, e.dst AS node FROM hit h JOIN edge e ON e.src = h.doc)
+SELECT n.question_id, count(*) AS nodes, max(coalesce(m.edges, 0)) AS edges FROM node n LEFT JOIN (
+  SELECT a.question_id, count(*) AS edges FROM node a JOIN edge e ON e.src = a.node JOIN node b ON b.question_id = a.question_id AND b.node = e.dst GROUP BY a.question_id) m
+ON m.question_id = n.question_id GROUP BY n.question_id""",
+}

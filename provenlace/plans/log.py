@@ -17,9 +17,6 @@ ON l.key = a.key AND l.op = 'assertion.set_eligibility' AND l.seq > a.added GROU
     "log_counts": """
 SELECT count(DISTINCT CASE WHEN op = 'node.add' THEN key END) AS nodes, count(DISTINCT CASE WHEN op = 'edge.add' THEN key END) AS edges,
        count(DISTINCT CASE WHEN op = 'assertion.add' THEN key END) AS assertions, count(*) AS rows_read FROM log""",
-    "log_state_digest": """
-SELECT @sha(@sagg(item, ';')) AS digest FROM (SELECT concat(key, '/', op, '/', CAST(max(seq) AS STRING)) AS item FROM log GROUP BY key, op) s""",
-    "log_digest": "SELECT @sha(@saggby(concat(CAST(seq AS STRING), ':', op, ':', key), ';', seq)) AS digest FROM log",
     "log_diff_live": """
 WITH s AS (SELECT key, max(CASE WHEN op = 'edge.add' AND seq < 4000 THEN seq END) AS a1, max(CASE WHEN op = 'edge.invalidate' AND seq < 4000 THEN seq END) AS i1,
                   max(CASE WHEN op = 'edge.add' THEN seq END) AS a2, max(CASE WHEN op = 'edge.invalidate' THEN seq END) AS i2 FROM log GROUP BY key),
@@ -29,21 +26,7 @@ SELECT key, was, now FROM f WHERE was <> now""",
 WITH line AS (SELECT seq AS no, CASE WHEN seq = 7000 THEN seq + 1 ELSE seq END AS said FROM log),
 bad AS (SELECT min(no) AS first_bad FROM line WHERE no <> said)
 SELECT no AS seq FROM line CROSS JOIN bad WHERE first_bad IS NULL OR no < first_bad""",
-    "log_forward_fill_turn": """
-SELECT seq, @firstnn(CASE WHEN op = 'node.add' THEN event_id END) OVER (ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS owner
-FROM log""",
-    "log_idempotent_antijoin": """
-SELECT t.turn_id FROM turn t LEFT JOIN (SELECT turn_id FROM turn WHERE ix < 2) d ON t.turn_id = d.turn_id WHERE d.turn_id IS NULL""",
     "log_first_seen": "SELECT key, min(seq) AS first_seq, min_by(op, seq) AS first_op FROM log GROUP BY key",
-    "log_last_verdict_order": """
-SELECT key, last_seq, CAST(row_number() OVER (ORDER BY last_seq) AS BIGINT) AS place FROM (
-  SELECT key, max(seq) AS last_seq FROM log WHERE op = 'assertion.set_eligibility' GROUP BY key) v""",
-    "log_yield_rates": """
-SELECT round(CAST(count(CASE WHEN op = 'assertion.add' THEN 1 END) AS DOUBLE) / count(CASE WHEN op = 'node.add' THEN 1 END), 6) AS per_node,
-       round(CAST(count(CASE WHEN op = 'edge.add' THEN 1 END) AS DOUBLE) / count(CASE WHEN op = 'node.add' THEN 1 END), 6) AS edges_per_node FROM log""",
-    "log_ledger_rollup": """
-SELECT key AS query_id, op AS meter, round(sum(value), 4) AS spent, count(*) AS calls, sum(value) > 500 AS over_cap FROM log GROUP BY key, op""",
-    "log_ledger_restore": "SELECT op AS meter, max_by(value, seq) AS restored FROM log WHERE seq < 5000 GROUP BY op",
     "scan_flatten_turns": "SELECT turn_id, conv_id, ix, speaker, ts FROM turn WHERE trim(text) <> ''",
     "scan_json_props": "SELECT event_id, @json(props, '$.k') AS k FROM events",
     "scan_profile": "SELECT speaker, count(*) AS turns, count(DISTINCT conv_id) AS conversations, max(ix) AS last_ix FROM turn GROUP BY speaker",
@@ -64,6 +47,30 @@ SELECT conv_id, ix, CAST(sum(fresh) OVER (PARTITION BY conv_id ORDER BY ix ROWS
 FROM (SELECT t.conv_id, t.ix, count(f.tok) AS fresh FROM turn t
       LEFT JOIN (SELECT conv_id, tok, min(ix) AS first_ix FROM turn_token WHERE length(tok) >= 7 GROUP BY conv_id, tok) f
       ON t.conv_id = f.conv_id AND t.ix = f.first_ix GROUP BY t.conv_id, t.ix) x""",
+    # blocks are digested apart, then their digests
+    "log_digest": """
+SELECT @sha(@saggby(part, ';', block)) AS digest FROM (
+  SELECT @idiv(seq, 4096) AS block, @sha(@saggby(concat(CAST(seq AS STRING), ':', op, ':', key, ':', coalesce(payload, '')), ';', seq)) AS part FROM log GROUP BY @idiv(seq, 4096)) b""",
+    "log_state_digest": """
+SELECT @sha(@saggby(part, ';', block)) AS digest FROM (
+  SELECT substr(@sha(key), 1, 3) AS block, @sha(@sagg(item, ';')) AS part FROM (
+    SELECT key, concat(key, '/', op, '/', CAST(max(seq) AS STRING)) AS item FROM log GROUP BY key, op) s GROUP BY substr(@sha(key), 1, 3)) b""",
+    # the next owner inside a block of the log, else the first one of the next blocks that have any
+    "log_forward_fill_turn": """
+WITH e AS (SELECT seq, @idiv(seq, 4096) AS block, CASE WHEN op = 'node.add' THEN event_id END AS own FROM log),
+b AS (SELECT block, @firstnn(first_own) OVER (ORDER BY block ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM (
+  SELECT block, min_by(own, CASE WHEN own IS NOT NULL THEN seq END) AS first_own FROM e GROUP BY block) f)
+SELECT e.seq, coalesce(@firstnn(e.own) OVER (PARTITION BY e.block ORDER BY e.seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), b.later) AS owner FROM e JOIN b ON b.block = e.block""",
+    "running_turn_plan": """
+WITH c AS (SELECT CAST(conv_id AS BIGINT) AS c, @idiv(CAST(conv_id AS BIGINT), 64) AS block, count(*) AS n FROM turn GROUP BY CAST(conv_id AS BIGINT), @idiv(CAST(conv_id AS BIGINT), 64)),
+b AS (SELECT block, coalesce(sum(n) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT block, sum(n) AS n FROM c GROUP BY block) x)
+SELECT CAST(c.c AS STRING) AS conv_id, c.n, CAST(b.before + sum(c.n) OVER (PARTITION BY c.block ORDER BY c.c) AS BIGINT) AS so_far FROM c JOIN b ON b.block = c.block""",
+}
+
+#: The same results without blocks.
+PLAIN = {
+    "log_forward_fill_turn": """
+SELECT seq, @firstnn(CASE WHEN op = 'node.add' THEN event_id END) OVER (ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS owner FROM log""",
     "running_turn_plan": """
 SELECT conv_id, n, CAST(sum(n) OVER (ORDER BY CAST(conv_id AS BIGINT)) AS BIGINT) AS so_far FROM (SELECT conv_id, count(*) AS n FROM turn GROUP BY conv_id) c""",
 }

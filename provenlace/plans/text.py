@@ -49,9 +49,11 @@ FROM (SELECT item_id, said, try_cast(said AS DATE) AS d FROM (
     "time_calendar_intervals": """
 SELECT o_orderkey, @epochday(date_trunc('day', o_orderdate)) AS day_lo, @epochday(date_trunc('week', o_orderdate)) AS week_lo,
        @epochday(date_trunc('month', o_orderdate)) AS month_lo, @epochday(date_trunc('year', o_orderdate)) AS year_lo FROM orders""",
+    # sine and cosine of days since a reference day, over four periods
     "relative_time_encoding": """
-SELECT event_id, round(sin(d / 7.0), 6) AS sin7, round(cos(d / 7.0), 6) AS cos7, round(sin(d / 365.0), 6) AS sin365, round(cos(d / 365.0), 6) AS cos365
-FROM (SELECT event_id, CAST(event_id % 400 AS DOUBLE) AS d FROM events) e""",
+SELECT o_orderkey, round(sin(d), 6) AS sin1, round(cos(d), 6) AS cos1, round(sin(d / 7.0), 6) AS sin7, round(cos(d / 7.0), 6) AS cos7,
+       round(sin(d / 30.0), 6) AS sin30, round(cos(d / 30.0), 6) AS cos30, round(sin(d / 365.0), 6) AS sin365, round(cos(d / 365.0), 6) AS cos365
+FROM (SELECT o_orderkey, CAST(@epochday(o_orderdate) - 788918400 AS DOUBLE) / 86400 AS d FROM orders) o""",
     "sample_size_power": """
 SELECT item_id, CAST(ceil(power((1.96 * sqrt(psi) + 0.84 * sqrt(psi - delta * delta)) / delta, 2)) AS BIGINT) AS n
 FROM (SELECT item_id, 0.1 + (item_id % 10) * 0.05 AS psi, 0.05 + (item_id % 5) * 0.01 AS delta FROM benchmark) b""",

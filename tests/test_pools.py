@@ -8,24 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from provenlace.evidence import pool_queries, pools, reader
+from provenlace.evidence import pools, reader
 from provenlace.functions import anchors, intervals
-from provenlace.functions import queries as functions
-from provenlace.operators import queries as grouped
-from provenlace.operators import sampling, vectors
-from tests.oracle import assert_same
+from provenlace.operators import pooling, sampling, vectors
 
-SF = "/root/testdata/sf0.001"
 NODE = "node_id string, ntype string, assertion_id string, lo double, hi double"
 EDGE = "edge_id string, etype string, src string, dst string, t_invalid double"
 
 
-@pytest.mark.parametrize("name", [*pool_queries.ORACLE, *functions.ORACLE, *grouped.ORACLE])
-def test_queries_equal_their_sql(spark, name):
-    queries = pool_queries.QUERIES | functions.QUERIES | grouped.QUERIES
-    assert_same(queries[name](spark, SF), (pool_queries.ORACLE | functions.ORACLE | grouped.ORACLE)[name], SF)
-
-
 @pytest.fixture(scope="module")
 def graph(spark):
     node = spark.createDataFrame([
@@ -187,3 +177,22 @@ def test_vector_blocks_find_what_all_pairs_find(spark):
         assert [(r["node_id"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"]) if r["question_id"] == q] == [(i, n) for n, (_, i) in enumerate(best, 1)]
     assert not [r for r in got if r["question_id"] == 7]
     assert vectors.cosine_topk(df.limit(0), df, 5).count() == 0
+
+
+def test_pooled_features(spark):
+    vec = spark.createDataFrame([("a", [1.0, -2.0]), ("b", [3.0, -4.0])], "item string, vector array<double>")
+    sets = spark.createDataFrame([(1, "a"), (1, "b"), (1, "unknown"), (2, None)], "set_id int, item string")
+    got = {r["set_id"]: r["features"] for r in pooling.pool_sets(sets, vec, 2, 4).collect()}
+    assert got == {1: [2.0, -3.0, 3.0, -2.0, 0.5], 2: [0.0] * 5}
+    with pytest.raises(Exception, match="no member is known"):
+        pooling.pool_sets(sets.filter("item = 'unknown'"), vec, 2, 4).collect()
+    assert pooling.pool_sets(sets.limit(0), vec, 2, 4).count() == 0
+
+
+def test_class_mapping_and_pool_sizes(spark):
+    labels = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "z"), (5, None)], "item int, native string")
+    mapping = spark.createDataFrame([("x", "T"), ("y", "T"), ("w", "U")], "native string, target string")
+    assert sorted(map(tuple, pooling.class_mapping(labels, mapping).collect())) == [("x", 2, "T", True), ("y", 1, "T", True), ("z", 1, None, False)]
+    atoms = spark.createDataFrame([("p", 1, "A  b"), ("p", 2, "a b"), ("q", 3, ""), ("q", 4, ""), ("q", 5, None), ("r", 6, "a b")], "question_id string, atom_id int, text string")
+    assert tuple(pooling.pool_sizes(atoms).first()) == (3, 1, 2, 3, 1)
+    assert tuple(pooling.pool_sizes(atoms.limit(0)).first()) == (0, None, None, None, 0)
