@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenlace.evidence import pools, reader
+from provenlace.evidence import pools, reader, retrieval
 from provenlace.evidence.queries import TABLES, _oracle, derived
 from provenlace.plans.dialect import plan
 
-BUDGET = 160
+BUDGET, CAP = 160, 24
+WEIGHTS = {"graph": 0.5}
 #: Beside the graph: chosen nodes, scored atoms, positions and bounds of spans, names, and generations of a reader.
 POOL = TABLES | {
     "chosen": "SELECT conv_id AS question_id, concat('n/', turn_id) AS node_id FROM turn WHERE ix % 2 = 0",
@@ -28,6 +29,12 @@ UNION ALL SELECT conv_id, concat('e/', edge_id), 'edge', false, CAST(length(dst)
     "generation": """
 SELECT turn_id AS answer_id, ix, CASE ix % 7 WHEN 0 THEN 'Answer: [[INSUFFICIENT EVIDENCE]]' WHEN 1 THEN concat('answer:', substr(text, 1, 30), ' [C2] and [c1] [c2]') WHEN 2 THEN '[c3][c4]'
   WHEN 3 THEN '[?]' WHEN 4 THEN concat('  [', substr(text, 1, 20), ']  ') WHEN 5 THEN 'insufficient evidence [c9]' ELSE concat(substr(text, 1, 40), ' [c', CAST(ix AS STRING), ']') END AS said FROM turn""",
+    "hits": """
+SELECT conv_id AS question_id, 'bm25' AS channel, concat('n/', turn_id) AS node_id, CAST(length(text) % 7 AS DOUBLE) AS score FROM turn WHERE ix % 2 = 0
+UNION ALL SELECT conv_id, 'dense', concat('n/', turn_id), CAST(length(text) % 11 AS DOUBLE) / 10 FROM turn WHERE ix < 5
+UNION ALL SELECT conv_id, 'entity', concat('n/', turn_id), CAST(1 AS DOUBLE) FROM turn WHERE ix % 3 = 0
+UNION ALL SELECT conv_id, 'graph', concat('n/', turn_id), CASE ix WHEN 1 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) / 2 END FROM turn WHERE ix BETWEEN 1 AND 4""",
+    "constraint": "SELECT DISTINCT conv_id AS question_id, CAST(1704067200 + CAST(conv_id AS BIGINT) * 86400 + 60 AS DOUBLE) AS lo, CAST(1704067200 + CAST(conv_id AS BIGINT) * 86400 + 150 AS DOUBLE) AS hi FROM turn WHERE CAST(conv_id AS BIGINT) % 2 = 1",
     "shown": "SELECT turn_id AS answer_id, 'c1' AS claim_id, concat('a/', turn_id) AS atom_id FROM turn UNION ALL SELECT turn_id, 'c6', concat('b/', turn_id) FROM turn",
 }
 
@@ -105,6 +112,28 @@ def answer_resolve_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.resolve_citations(parsed, shown, strict=False)
 
 
+def channel_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (hits,) = _tables(spark, sf_dir, "hits")
+    return retrieval.fuse(retrieval.scaled(hits, WEIGHTS)).select("question_id", "node_id", "score", "winner")
+
+
+def channel_fusion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (hits,) = _tables(spark, sf_dir, "hits")
+    return retrieval.fusion_report(retrieval.fuse(retrieval.scaled(hits, WEIGHTS)))
+
+
+def temporal_filter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, constraint, node, edge = _tables(spark, sf_dir, "hits", "constraint", "node", "edge")
+    kept = retrieval.temporal_filter(retrieval.fuse(retrieval.scaled(hits, WEIGHTS)), constraint, pools.intervals_of(node, edge))
+    return kept.groupBy("question_id", "reason").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def retrieval_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, constraint, node, edge = _tables(spark, sf_dir, "hits", "constraint", "node", "edge")
+    atoms = retrieval.assemble(hits, constraint, node, edge, CAP, WEIGHTS)
+    return atoms.select("question_id", "atom_id", "kind", "target", "label", "score", F.size("channels").alias("channels"))
+
+
 NODE_ATOM = "substr(sha256('atom' || chr(31) || 'node' || chr(31) || chr(31) || {} || chr(31)), 1, 16)"
 POOL_SQL = f""", comp AS (SELECT DISTINCT e.src AS node_id, e.dst AS companion FROM g_edge e JOIN g_node n ON n.node_id = e.dst
   WHERE e.t_invalid IS NULL AND e.etype IN ('about_entity', 'valid_during') AND n.ntype IN ('Entity', 'TimeInterval')),
@@ -125,10 +154,14 @@ p AS (SELECT answer_id, answer_text, [lower(x) FOR x IN regexp_extract_all(answe
 a AS (SELECT answer_id, answer_text, list_filter(c, lambda x, i: list_position(c, x) = i) AS c,
   lower(regexp_replace(bare, '^[\[ ]+', '')) LIKE 'insufficient evidence%' OR regexp_full_match(lower(bare), '((a|an|the)\b|[^a-z0-9])*') AS abstained FROM p)
 """
+FUSED = """, e AS (SELECT question_id, channel, min(score) AS lo, max(score) AS hi FROM g_hits GROUP BY question_id, channel),
+w AS (SELECT h.question_id, h.channel, h.node_id, round(CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END * CASE h.channel WHEN 'graph' THEN 0.5 ELSE 1 END, 9) AS s FROM g_hits h JOIN e USING (question_id, channel)),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id, node_id ORDER BY s DESC, channel) AS rn, count(*) OVER (PARTITION BY question_id, node_id) AS n FROM w)
+"""
 _G, _C = ["node", "edge", "chosen"], ["generation"]
 QUERIES = {f.__name__: f for f in (
     pool_companions, pool_materialise, pool_adjacency, pool_edge_ref_problems, graph_intervals_of, graph_node_text, graph_conversation_of, atom_quotes,
-    serialise_order, serialise_order_and_cut, answer_parse_citations, answer_resolve_citations)}
+    serialise_order, serialise_order_and_cut, answer_parse_citations, answer_resolve_citations, channel_fusion, channel_fusion_report, temporal_filter_report, retrieval_assemble)}
 ORACLE = {
     "pool_companions": _oracle(POOL_SQL + "SELECT * FROM comp", _G, POOL),
     "pool_materialise": _oracle(POOL_SQL + "SELECT * FROM atoms", _G, POOL),
@@ -148,6 +181,14 @@ FROM g_assertion_span a JOIN g_span USING (span_id) JOIN g_turn t USING (turn_id
 SELECT a.question_id, a.atom_id, CASE a.kind WHEN 'edge' THEN (SELECT '(' || e.etype || ' → ' || coalesce((SELECT name FROM g_name m WHERE m.node_id = e.dst), e.dst) || ')' FROM g_edge e WHERE e.edge_id = a.target)
   ELSE coalesce((SELECT said FROM said s WHERE s.target = a.target AND s.said <> ''), (SELECT name FROM g_name m WHERE m.node_id = a.target), '') END AS quote FROM atoms a""",
         [*_G, "spans_of", "span", "turn", "name"], POOL),
+    "channel_fusion": _oracle(FUSED + "SELECT question_id, node_id, s AS score, channel AS winner FROM r WHERE rn = 1", ["hits"], POOL),
+    "channel_fusion_report": _oracle(FUSED + """SELECT question_id, channel, count(*) AS returned, count(*) FILTER (rn = 1) AS wins, count(*) FILTER (n = 1) AS only_here
+FROM r GROUP BY question_id, channel""", ["hits"], POOL),
+    "temporal_filter_report": _oracle(""", n AS (SELECT DISTINCT question_id, node_id FROM g_hits),
+i AS (SELECT e.src AS node_id, t.lo, coalesce(t.hi, 1e300) AS hi FROM g_edge e JOIN g_node t ON t.node_id = e.dst WHERE e.etype = 'valid_during' AND e.t_invalid IS NULL),
+x AS (SELECT n.question_id, CASE WHEN NOT EXISTS (SELECT 1 FROM g_constraint c WHERE c.question_id = n.question_id) THEN 'no constraint' WHEN NOT EXISTS (SELECT 1 FROM i WHERE i.node_id = n.node_id) THEN 'no interval'
+  WHEN EXISTS (SELECT 1 FROM i JOIN g_constraint c ON i.lo < c.hi AND c.lo < i.hi AND i.lo < i.hi WHERE i.node_id = n.node_id AND c.question_id = n.question_id) THEN 'overlap' ELSE 'miss' END AS reason FROM n)
+SELECT question_id, reason, count(*) AS nodes FROM x GROUP BY question_id, reason""", ["node", "edge", "hits", "constraint"], POOL),
     "serialise_order": _oracle(PLACED, ["scored"], POOL),
     "answer_parse_citations": _oracle(ANSWERS + "SELECT answer_id, answer_text, CASE WHEN abstained THEN '' ELSE array_to_string(c, ',') END AS citations, abstained FROM a", _C, POOL),
     "answer_resolve_citations": _oracle(ANSWERS + """, u AS (SELECT answer_id, unnest(c) AS citation, generate_subscripts(c, 1) - 1 AS pos FROM a WHERE NOT abstained)

@@ -37,22 +37,34 @@ def bootstrap_group_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("band").applyInPandas(one, "band long, mean double, low double, high double")
 
 
+DRAWS = 400
+
+
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of resamples, seeds first and then items, in which arm a does not beat arm b."""
+    """Share of resamples, seeds first and then items, in which arm a does not beat arm b.
+
+    Each seed's items are resampled by Poisson counts, so every batch of rows adds its part of all resamples
+    where it lies, and only the sums of seeds and resamples meet.
+    """
     rows = plan("SELECT item_id, score - label AS gap, item_id % 3 AS arm_seed FROM gate")[0](spark, sf_dir)
-    sums = rows.groupBy("arm_seed", F.pmod(F.xxhash64("item_id"), F.lit(64)).alias("slot")).agg(F.sum("gap").alias("gap"), F.count(F.lit(1)).alias("n"))
+    keyed = rows.select("arm_seed", "gap", F.xxhash64("item_id", "arm_seed").alias("key"))
+
+    def parts(batches):
+        for pdf in batches:
+            for arm, part in pdf.groupby("arm_seed"):
+                for lo in range(0, len(part), 4096):
+                    some = part.iloc[lo : lo + 4096]
+                    n = statistics.resample_counts(some["key"].to_numpy(np.int64), DRAWS, 11)
+                    yield pd.DataFrame({"arm_seed": arm, "draw": np.arange(DRAWS), "gap": some["gap"].to_numpy(float) @ n, "n": n.sum(0)})
+
+    sums = keyed.mapInPandas(parts, "arm_seed long, draw long, gap double, n long").groupBy("arm_seed", "draw").agg(F.sum("gap").alias("gap"), F.sum("n").alias("n"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, draws = np.random.default_rng(11), []
-        seeds = sorted(pdf["arm_seed"].unique())
-        parts = {s: (g["gap"].to_numpy(float), g["n"].to_numpy(float)) for s, g in pdf.sort_values("slot").groupby("arm_seed")}
-        for _ in range(400):
-            gap = n = 0.0
-            for s in rng.choice(seeds, len(seeds)):
-                pick = rng.integers(0, len(parts[s][0]), len(parts[s][0]))
-                gap, n = gap + parts[s][0][pick].sum(), n + parts[s][1][pick].sum()
-            draws.append(gap / n)
-        return pd.DataFrame({"p95": [float(np.quantile(draws, 0.95))], "wins": [float(np.quantile(draws, 0.95)) < 0]})
+        mean = (pdf["gap"] / pdf["n"]).where(pdf["n"] > 0).set_axis(pd.MultiIndex.from_frame(pdf[["arm_seed", "draw"]])).unstack("arm_seed").sort_index(axis=1)
+        rng = np.random.default_rng(11)
+        picks = rng.integers(mean.shape[1], size=mean.shape)
+        p95 = float(np.nanquantile(np.take_along_axis(mean.to_numpy(), picks, 1).mean(1), 0.95))
+        return pd.DataFrame({"p95": [round(p95, 6)], "wins": [p95 < 0]})
 
     return sums.groupBy(F.lit(1).alias("all")).applyInPandas(one, "p95 double, wins boolean")
 

@@ -37,3 +37,17 @@ def fuzzy_ground(quote: str, text: str, least: float = 0.85) -> tuple[int, float
         best = max((i for i in (best - step, best, best + step) if 0 <= i <= max(0, len(text) - m)), key=lambda i: (ratio(i), -i))
     found = ratio(best)
     return (best, found) if found >= least else None
+
+
+#: Cumulative shares of a Poisson distribution of mean 1.
+POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 16.0)])))
+
+
+def resample_counts(keys: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """How often each key is in each of the resamples: Poisson counts of mean 1 that depend on key, resample and seed alone."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64)[:, None] ^ (np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(POISSON, (x >> np.uint64(11)) / float(1 << 53), side="right")

@@ -142,3 +142,15 @@ def test_fuzzy_grounding():
     assert statistics.fuzzy_ground("fox jumped over the", text)[0] in range(14, 19)
     assert statistics.fuzzy_ground("entirely different words", text) is None
     assert statistics.fuzzy_ground("", text) is None
+
+
+def test_poisson_resamples_spread_as_a_bootstrap_does():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0.3, 2.0, 3000)
+    keys = rng.integers(-(2**62), 2**62, 3000)
+    n = statistics.resample_counts(keys, 500, 11)
+    assert abs(n.mean() - 1) < 0.01 and abs(n.var() - 1) < 0.02
+    assert (statistics.resample_counts(keys[::-1], 500, 11)[::-1] == n).all()
+    means = (x @ n) / n.sum(0)
+    assert abs(means.mean() - x.mean()) < 0.01
+    assert abs(means.std() / (x.std() / 3000**0.5) - 1) < 0.15
