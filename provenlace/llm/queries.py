@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from provenlace.llm import (
+    alignment,
     chat_format,
     decontaminate,
+    divergence,
     exact_dedup,
     language_id,
     line_dedup,
     mixing,
+    quality,
     sharding,
     simhash,
     token_counts,
@@ -26,10 +29,14 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_align_tokenizers": alignment.op12_align_tokenizers,
+    "op13_quality": quality.op13_quality,
 }
 
 ORACLE = {
     "op7_exact_dedup": exact_dedup.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op10_chat_format": chat_format.SQL,
+    "op11_source_divergence": divergence.SQL,
 }
