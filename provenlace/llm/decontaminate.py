@@ -9,7 +9,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenlace.llm.common import cut, table
+from provenlace.llm.common import cut, fresh, table
 
 #: Positions a seed compares at most, and seeds of a window length at most: more positions make fewer chance hits.
 WEIGHT = 6
@@ -141,10 +141,11 @@ def contaminated(
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the rows whose id is reported by ``contaminated``; every clean row stays."""
     found = contaminated(docs, bench, id_col=id_col, text_col=text_col, **how)
-    bad = cut(found.select(F.col(id_col).alias("__bad")).distinct())
+    name = fresh("bad")
+    bad = cut(found.select(F.col(id_col).alias(name)).distinct())
     if bad.count() <= BROADCAST_HITS:
         bad = F.broadcast(bad)
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col(name)), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from provenlace.llm.common import bucket_count, cut, table
+from provenlace.llm.common import bucket_count, cut, fresh, table
 
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Output shards whose draws are summed together.
+STRETCH = 4096
 #: Primes just under 2^31: multipliers of the index permutations, coprime to any smaller block count.
 MULTIPLIERS = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
 
@@ -98,8 +100,15 @@ def draw_blocks(targets: DataFrame, mix: Mix) -> DataFrame:
     )
     extra = landed.filter("drawn = 1").groupBy("shard", "sk").agg(F.count(F.lit(1)).alias("extra"))
     counts = per.join(extra, ["shard", "sk"], "left").withColumn("c", F.col("base") + F.coalesce("extra", F.lit(0)))
-    by_shard = W.partitionBy("sk").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
-    counts = counts.withColumn("to", F.sum("c").over(by_shard)).withColumn("total", F.sum("c").over(W.partitionBy("sk")))
+    # summed in two levels, shards of a stretch and then stretches, so that no task holds all shards of a source
+    counts = counts.withColumn("stretch", F.floor(F.col("shard") / STRETCH))
+    stretches = counts.groupBy("sk", "stretch").agg(F.sum("c").alias("of_stretch"))
+    stretches = stretches.select(
+        "sk", "stretch", (F.sum("of_stretch").over(W.partitionBy("sk").orderBy("stretch").rowsBetween(W.unboundedPreceding, 0)) - F.col("of_stretch")).alias("before"),
+        F.sum("of_stretch").over(W.partitionBy("sk")).alias("total"),
+    )
+    in_stretch = W.partitionBy("sk", "stretch").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
+    counts = counts.withColumn("to", F.sum("c").over(in_stretch)).join(stretches, ["sk", "stretch"]).withColumn("to", F.col("to") + F.col("before"))
     spans = counts.select(
         "sk", "shard", "nb", (F.col("to") - F.col("c")).alias("lo"), F.least("to", "q").alias("hi"),
         F.when((F.col("shard") == F.col("shards") - 1) & (F.col("total") < F.col("q")), F.struct(F.col("total").alias("lo"), F.col("q").alias("hi"))).alias("more"),
@@ -179,16 +188,16 @@ def mixed_rows(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_c
     taken = mix_sources(docs, mix, id_col, text_col, source_col)
     part = F.col("taken") / F.col("size")
     up = _uniform(F.lit(mix.seed + 2), id_col, "text_md5") < part - F.floor(part)
+    own_id, own_text, own_source, n, i = (fresh() for _ in range(5))
     copies = taken.filter("taken > 0").select(
-        F.col(id_col).alias("__id"), F.col("text_md5").alias("__th"), F.col(source_col).alias("__s"), (F.floor(part) + up.cast("int")).cast("int").alias("__n")
+        F.col(id_col).alias(own_id), F.col("text_md5").alias(own_text), F.col(source_col).alias(own_source), (F.floor(part) + up.cast("int")).cast("int").alias(n)
     )
     # rows that are repeated in all three share their draws
-    copies = copies.groupBy("__id", "__th", "__s").agg(F.sum("__n").alias("all"), F.count(F.lit(1)).alias("rows"))
-    copies = copies.withColumn("__n", F.round(F.col("all") / F.col("rows")).cast("int")).filter("__n > 0").drop("all", "rows")
+    copies = copies.groupBy(own_id, own_text, own_source).agg(F.round(F.sum(n) / F.count(F.lit(1))).cast("int").alias(n)).filter(F.col(n) > 0)
     own = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    cond = docs[id_col].eqNullSafe(F.col("__id")) & (own == F.col("__th")) & docs[source_col].eqNullSafe(F.col("__s"))
-    rows = docs.join(copies, cond).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return rows.drop("__id", "__th", "__s", "__n", "__i")
+    cond = docs[id_col].eqNullSafe(F.col(own_id)) & (own == F.col(own_text)) & docs[source_col].eqNullSafe(F.col(own_source))
+    rows = docs.join(copies, cond).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n))))
+    return rows.drop(own_id, own_text, own_source, n, i)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenlace.llm.common import bucket_count, cut, gapless_rank, hash_bucket, table
+from provenlace.llm.common import bucket_count, cut, fresh, gapless_rank, hash_bucket, table
 
 
 def _pick(values: list[int], at: Column) -> Column:
@@ -81,14 +81,16 @@ def balanced_shards(rows: DataFrame, link: str, identity: list[str], shards: int
     return linked.select(*rows.columns, "shard").unionByName(single.select(*rows.columns, "shard"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+def shard_documents(
+    docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Shard and slot of every row: id, size, text_crc32, law, shard, slot, grown_shard.
 
     Documents with equal texts are linked (null texts are one text of their own). The law is
     ``rows``: shards hold the same number of rows, or one more. size is the text's UTF-8 bytes
     (none for null) plus 1. slot numbers the rows of a shard from 0 without gaps. grown_shard is
     null under this law. Null ids and repeated rows are rows like any other; an empty table gives
-    an empty result; further columns are ignored. Reruns give the same result.
+    an empty result; of further columns those named in ``carry`` are kept. Reruns give the same result.
     """
     t = F.col(text_col)
     rows = cut(
@@ -97,17 +99,29 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
             (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.coalesce(t, F.lit("")).cast("binary")).cast("long").alias("crc"),
             F.coalesce(F.unhex(F.md5(t.cast("binary"))), F.lit(b"null").cast("binary")).alias("link"),
+            *carry,
         )
     )
-    identity = ["id", "size", "crc", "link"]
+    identity = ["id", "size", "crc", "link", *carry]
     spread = cut(balanced_shards(rows, "link", identity, shards, rounds))
     spread = spread.withColumn("__b", hash_bucket(bucket_count(rows.count()), *identity))
     ranked = gapless_rank(spread, ["shard"], "__b", identity, "slot")
     return ranked.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
+        F.lit(None).cast("int").alias("grown_shard"), *carry,
     )
 
 
+def sharded_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+    """docs with size, text_crc32, law, shard, slot and grown_shard, as ``shard_documents`` has them.
+
+    Every row, repeated ones too, gets a place of its own; all columns are kept, those named like a new one are replaced.
+    """
+    own = fresh("row")
+    rows = cut(docs.withColumn(own, F.monotonically_increasing_id()))
+    placed = shard_documents(rows, shards, id_col, text_col, rounds, carry=(own,)).drop(id_col)
+    return rows.drop(*[c for c in placed.columns if c != own]).join(placed, own).drop(own)
+
+
 def op1_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenlace.llm.common import cut, table
+from provenlace.llm.common import cut, fresh, table
 from provenlace.llm.components import components
 
 BITS = 64
@@ -84,7 +84,8 @@ def _tables(nodes: DataFrame, radius: int) -> DataFrame:
 def links_within(nodes: DataFrame, radius: int) -> DataFrame:
     """(a, b) links that join exactly the fingerprints (fp, distinct) within ``radius`` <= 2.
 
-    Buckets of few fingerprints give their pairs. In larger ones each fingerprint also stands
+    Buckets of few fingerprints give their pairs. In larger ones, at radius 1, each fingerprint looks for
+    the 64 values one bit away. At radius 2 each fingerprint also stands
     under all values one bit away: two fingerprints at distance 2 or less have such a value in
     common, all that share one are within 2 of each other, so linking each to the value's
     smallest joins them without making pairs. No link is lost and none made up.
@@ -99,6 +100,10 @@ def links_within(nodes: DataFrame, radius: int) -> DataFrame:
     pairs = two.unionByName(pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
     pairs = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
     crowd = member.filter(F.col("n") > SMALL).select("fp").distinct()
+    if radius < 2:
+        flips = F.array(*[F.lit(_signed(1 << i)) for i in range(BITS if radius else 0)]).cast("array<long>")
+        near = crowd.select(F.col("fp").alias("a"), F.explode(flips).alias("flip")).select("a", F.col("a").bitwiseXOR(F.col("flip")).alias("b"))
+        return pairs.unionByName(near.filter("a < b").join(crowd.select(F.col("fp").alias("b")), "b").select("a", "b"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS)])
     probes = crowd.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("flip").bitwiseXOR(F.col("fp")).alias("value"))
     first = cut(probes.groupBy("value").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("value", "low"))
@@ -391,8 +396,9 @@ def drop_near_duplicates(
     low = F.struct(F.col("own").isNull().alias("no"), "own", "own_th")
     named = sigs.select("nid", low.alias("low")).join(_small(roots), F.col("nid") == F.col("node"), "left")
     stays = named.groupBy(F.coalesce("root", "nid").alias("root")).agg(F.min("low").alias("low")).select("low.own", "low.own_th")
-    gone = cut(pairs.join(stays, own, "left_anti").select(F.col("th").alias("__th"), F.col("id").alias("__id")))
-    kept = docs.withColumn("__own", th).join(_small(gone), (F.col("__own") == F.col("__th")) & docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    mine, gone_text, gone_id = fresh("own"), fresh("th"), fresh("id")
+    gone = cut(pairs.join(stays, own, "left_anti").select(F.col("th").alias(gone_text), F.col("id").alias(gone_id)))
+    kept = docs.withColumn(mine, th).join(_small(gone), (F.col(mine) == F.col(gone_text)) & docs[id_col].eqNullSafe(F.col(gone_id)), "left_anti")
     if repeated:  # one of the rows with the same id and text
-        kept = kept.dropDuplicates(["__own"])
-    return kept.drop("__own")
+        kept = kept.dropDuplicates([mine])
+    return kept.drop(mine)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenlace.llm.common import table
+from provenlace.llm.common import fresh, table
 from provenlace.llm.language_id import held_out
 
 #: The model's letters: a blank, a-z, then the lower-case letters of Latin-1, oe and a long s's stand-in.
@@ -297,8 +297,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **how
     Rows with null ids or texts, empty texts, repeated rows and ties are scored like any other, and all rows of a clean
     text stay; empty labels drop nothing; an empty table stays empty; all columns are kept.
     """
-    kept = score(docs, train(docs, labels, **how), out="__toxicity").filter(F.col("__toxicity") < threshold)
-    return kept.select(*docs.columns)
+    out = fresh("toxicity")
+    return score(docs, train(docs, labels, **how), out=out).filter(F.col(out) < threshold).drop(out)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
