@@ -27,7 +27,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(docs)
+    return sharding.sharded_rows(docs)
 
 
 STAGES = [
