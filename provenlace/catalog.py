@@ -8,7 +8,7 @@ from provenlace.functions import queries as functions
 from provenlace.operators import queries as grouped
 from provenlace.plans import evaluation, graph, lattice, log, partition, text, validity
 from provenlace.plans.dialect import plan
-from provenlace.streaming import liveness
+from provenlace.streaming import building, liveness
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -16,6 +16,6 @@ for _module in (text, log, graph, validity, lattice, evaluation):
     # some plans have another, plainer form to be compared with
     for _name, _body in _module.PLANS.items():
         QUERIES[_name], ORACLE[_name] = plan(_body)[0], plan(getattr(_module, "PLAIN", {}).get(_name, _body))[1]
-for _module in (grouped, evidence, log_queries, pool_queries, functions, liveness, partition):
+for _module in (grouped, evidence, log_queries, pool_queries, functions, liveness, building, partition):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

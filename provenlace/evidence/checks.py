@@ -2,66 +2,94 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from provenlace.storage import cut
 
 #: What each check is called, and node types that stand for an assertion.
 CODES = {
     "H1": "size", "H2": "type", "H3": "closure", "H4": "identity", "H5": "binding",
     "H6": "retired", "H7": "support", "H8": "temporal", "H9": "scope",
 }
-BACKED = "('Claim', 'Value', 'Event')"
+BACKED = ("Claim", "Value", "Event")
 MAX_ATOMS = 16
 
-# Selected atoms with what they denote. An atom's evidence are its node's or its edge's end nodes; a binding's are its referents'.
-SELECTED = """
-sel AS (SELECT s.set_id, s.question_id, m.atom_id, a.kind, a.target, a.label FROM {sets} s JOIN {member} m ON m.set_id = s.set_id
-        LEFT JOIN {atom} a ON a.question_id = s.question_id AND a.atom_id = m.atom_id),
-refs AS (SELECT sel.set_id, sel.question_id, sel.atom_id, sel.kind, r.ref FROM sel JOIN {ref} r ON r.question_id = sel.question_id AND r.atom_id = sel.atom_id
-         WHERE sel.kind IS NOT NULL),
-basis AS (SELECT set_id, atom_id, atom_id AS through, kind, target FROM sel WHERE kind IN ('node', 'edge')
-          UNION ALL SELECT r.set_id, r.atom_id, r.ref, a.kind, a.target FROM refs r JOIN {atom} a ON a.question_id = r.question_id AND a.atom_id = r.ref WHERE r.kind = 'binding'),
-ends AS (SELECT b.set_id, b.atom_id, b.through, n.node_id, n.ntype, n.assertion_id FROM basis b JOIN {node} n ON b.kind = 'node' AND n.node_id = b.target
-         UNION ALL SELECT b.set_id, b.atom_id, b.through, n.node_id, n.ntype, n.assertion_id FROM basis b
-                  JOIN (SELECT edge_id, explode(array_distinct(array(src, dst))) AS node_id FROM {edge}) e ON b.kind = 'edge' AND e.edge_id = b.target
-                  JOIN {node} n ON n.node_id = e.node_id)"""
-BY_CODE = {
-    "H1": """SELECT s.set_id, CAST(NULL AS STRING) AS atom_id FROM {sets} s LEFT JOIN (SELECT set_id, count(DISTINCT atom_id) AS n FROM {member} GROUP BY set_id) m ON m.set_id = s.set_id
-             WHERE coalesce(n, 0) = 0 OR n > {most}""",
-    "H2": """SELECT sel.set_id, sel.atom_id FROM sel LEFT JOIN {node} n ON sel.kind = 'node' AND n.node_id = sel.target LEFT JOIN {edge} e ON sel.kind = 'edge' AND e.edge_id = sel.target
-             WHERE sel.kind IS NULL OR (sel.kind <> 'binding' AND n.node_id IS NULL AND e.edge_id IS NULL)""",
-    "H3": "SELECT r.set_id, r.atom_id FROM refs r LEFT ANTI JOIN {member} m ON m.set_id = r.set_id AND m.atom_id = r.ref",
-    "H4": """SELECT set_id, atom_id FROM (SELECT set_id, atom_id, row_number() OVER (PARTITION BY set_id, kind, target, label, key ORDER BY atom_id) AS rn FROM (
-               SELECT sel.set_id, sel.atom_id, kind, target, label, coalesce(k.key, '') AS key FROM sel LEFT JOIN (
-                 SELECT question_id, atom_id, array_join(array_sort(collect_list(ref)), chr(31)) AS key FROM {ref} GROUP BY question_id, atom_id) k
-               ON k.question_id = sel.question_id AND k.atom_id = sel.atom_id WHERE sel.kind IS NOT NULL) c) d WHERE rn > 1""",
-    "H5": "SELECT set_id, min(atom_id) AS atom_id FROM sel WHERE kind = 'binding' GROUP BY set_id, label HAVING count(*) > 1",
-    "H6": "SELECT sel.set_id, sel.atom_id FROM sel JOIN {edge} e ON sel.kind = 'edge' AND e.edge_id = sel.target WHERE e.t_invalid IS NOT NULL",
-    "H7": """SELECT x.set_id, x.atom_id FROM ends x LEFT JOIN {assertion} a ON a.assertion_id = x.assertion_id
-             WHERE x.through = x.atom_id AND x.ntype IN {backed} AND coalesce(a.eligibility, '') <> 'eligible'""",
-    "H8": """SELECT sel.set_id, sel.atom_id FROM sel JOIN {edge} e ON sel.kind = 'edge' AND e.edge_id = sel.target LEFT JOIN {edge} f ON f.edge_id = e.superseded_by
-             WHERE e.superseded_by IS NOT NULL AND (f.edge_id IS NULL OR f.t_created < e.t_created)
-             UNION ALL SELECT i.set_id, i.atom_id FROM (
-               SELECT b.set_id, b.atom_id, b.through, b.node_id AS at FROM ends b JOIN basis z ON z.set_id = b.set_id AND z.atom_id = b.atom_id AND z.through = b.through AND z.kind = 'node'
-               WHERE b.ntype = 'TimeInterval'
-               UNION SELECT b.set_id, b.atom_id, b.through, e.dst FROM basis b JOIN {edge} e ON b.kind = 'edge' AND e.edge_id = b.target AND e.etype = 'valid_during'
-               UNION SELECT b.set_id, b.atom_id, b.through, e.dst FROM basis b JOIN {edge} e ON b.kind = 'node' AND e.src = b.target AND e.etype = 'valid_during' AND e.t_invalid IS NULL) i
-             JOIN {node} t ON t.node_id = i.at AND t.ntype = 'TimeInterval' JOIN {sets} s ON s.set_id = i.set_id JOIN {question} q ON q.question_id = s.question_id
-             JOIN sel o ON o.set_id = i.set_id AND o.atom_id = i.atom_id AND o.kind = 'binding' JOIN {member} m ON m.set_id = i.set_id AND m.atom_id = i.through
-             WHERE q.constrained
-             GROUP BY i.set_id, i.atom_id HAVING NOT bool_or(
-               greatest(coalesce(t.lo, -1e300), coalesce(q.lo, -1e300)) < least(coalesce(t.hi, 1e300), coalesce(q.hi, 1e300)))""",
-    "H9": """SELECT p.set_id, p.atom_id FROM (
-               SELECT x.set_id, x.atom_id, CASE WHEN a.assertion_id IS NULL THEN NULL ELSE v.span_id END AS span_id, a.assertion_id IS NULL AS broken FROM ends x
-               JOIN basis b ON b.set_id = x.set_id AND b.atom_id = x.atom_id AND b.through = x.through AND b.kind = 'node'
-               LEFT JOIN {assertion} a ON a.assertion_id = x.assertion_id LEFT JOIN {assertion_span} v ON v.assertion_id = a.assertion_id
-               WHERE x.ntype IN {backed} AND (a.assertion_id IS NULL OR v.span_id IS NOT NULL)
-               UNION ALL SELECT b.set_id, b.atom_id, p.span_id, false FROM basis b JOIN {provenance} p ON b.kind = 'edge' AND p.edge_id = b.target
-               UNION ALL SELECT r.set_id, r.atom_id, NULL, true FROM refs r LEFT ANTI JOIN {atom} a ON a.question_id = r.question_id AND a.atom_id = r.ref WHERE r.kind = 'binding') p
-             JOIN {sets} s ON s.set_id = p.set_id JOIN (SELECT DISTINCT question_id FROM {scope}) w ON w.question_id = s.question_id
-             LEFT JOIN {span} n ON n.span_id = p.span_id LEFT JOIN {turn} t ON t.turn_id = n.turn_id
-             LEFT JOIN {scope} c ON c.question_id = s.question_id AND c.conv_id = t.conv_id
-             WHERE p.broken OR c.conv_id IS NULL""",
-}
+def _lookup(node: DataFrame, assertion: DataFrame) -> DataFrame:
+    """Nodes with their assertion's state: at, ntype, lo, hi, spoken (assertion id, where that exists), backed (a type that needs one), sound."""
+    known = assertion.select("assertion_id", F.lit(True).alias("known"), (F.col("eligibility") == "eligible").alias("ok"))
+    backed = F.col("ntype").isin(*BACKED)
+    return node.join(known, "assertion_id", "left").select(
+        F.col("node_id").alias("at"), "ntype", "lo", "hi", F.when(F.col("known"), F.col("assertion_id")).alias("spoken"),
+        backed.alias("backed"), F.coalesce("ok", F.lit(False)).alias("sound"),
+    )
+
+
+def _overlaps() -> Column:
+    low, high = F.lit(-1e300), F.lit(1e300)
+    begin = F.greatest(F.coalesce("lo", low), F.coalesce("q_lo", low))
+    return begin < F.least(F.coalesce("hi", high), F.coalesce("q_hi", high))
+
+
+def _findings(t: dict[str, DataFrame], most: int) -> dict[str, list[DataFrame]]:
+    """For each code the (set_id, atom_id) that fail it, all read from three relations that are written once.
+
+    sel: selected atoms with what the pool says of them. basis: what an atom stands on, itself or, for a binding, its referents
+    (through). place: the basis with its edge and, a row each, the nodes it touches: its own or its edge's two ends.
+    """
+    key = ["question_id", "atom_id"]
+    sel = cut(t["sets"].join(t["member"], "set_id").join(t["atom"], key, "left").select("set_id", *key, "kind", "target", "label"))
+    refs = sel.filter("kind IS NOT NULL").select("set_id", *key, "kind").join(t["ref"], key)
+    pooled = t["atom"].select("question_id", F.col("atom_id").alias("ref"), F.col("kind").alias("ref_kind"), "target", F.lit(True).alias("pooled"))
+    refs = cut(refs.join(pooled, ["question_id", "ref"], "left"))
+    bound = refs.filter("kind = 'binding'")
+    basis = sel.filter("kind IN ('node', 'edge')").select("set_id", *key, F.col("atom_id").alias("through"), "kind", "target", F.lit(False).alias("bound"))
+    basis = basis.unionByName(bound.filter("pooled").select("set_id", *key, F.col("ref").alias("through"), F.col("ref_kind").alias("kind"), "target", F.lit(True).alias("bound")))
+    edge = t["edge"].select(F.lit("edge").alias("kind"), F.col("edge_id").alias("target"), "etype", "src", "dst", "t_created", "t_invalid", "superseded_by", F.lit(True).alias("drawn"))
+    touched = F.when(F.col("kind") == "node", F.array("target")).when(F.col("drawn"), F.array_distinct(F.array("src", "dst")))
+    node = _lookup(t["node"], t["assertion"])
+    place = cut(basis.join(edge, ["kind", "target"], "left").withColumn("at", F.explode_outer(touched)).join(node, "at", "left"))
+    own, hit = place.filter("NOT bound"), ["set_id", "atom_id"]
+    out: dict[str, list[DataFrame]] = {}
+
+    size = t["sets"].join(t["member"].groupBy("set_id").agg(F.countDistinct("atom_id").alias("n")), "set_id", "left")
+    out["H1"] = [size.filter((F.coalesce("n", F.lit(0)) == 0) | (F.col("n") > most)).select("set_id", F.lit(None).cast("string").alias("atom_id"))]
+    lost = (F.col("kind") == "node") & F.col("ntype").isNull() | (F.col("kind") == "edge") & F.col("drawn").isNull()
+    out["H2"] = [sel.filter("kind IS NULL").select(*hit), own.filter(lost).select(*hit)]
+    chosen = t["member"].select("set_id", F.col("atom_id").alias("ref"))
+    out["H3"] = [refs.join(chosen, ["set_id", "ref"], "left_anti").select(*hit)]
+    content = refs.groupBy(*hit).agg(F.array_sort(F.collect_list("ref")).alias("content"))
+    same = W.partitionBy("set_id", "kind", "target", "label", F.coalesce("content", F.array().cast("array<string>"))).orderBy("atom_id")
+    out["H4"] = [sel.filter("kind IS NOT NULL").join(content, hit, "left").withColumn("rn", F.row_number().over(same)).filter("rn > 1").select(*hit)]
+    out["H5"] = [sel.filter("kind = 'binding'").groupBy("set_id", "label").agg(F.min("atom_id").alias("atom_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(*hit)]
+    out["H6"] = [own.filter("t_invalid IS NOT NULL").select(*hit)]
+    out["H7"] = [own.filter("backed AND NOT sound").select(*hit)]
+
+    older = t["edge"].select(F.col("edge_id").alias("superseded_by"), F.col("t_created").alias("their_time"))
+    out["H8"] = [own.filter("superseded_by IS NOT NULL").join(older, "superseded_by", "left").filter("their_time IS NULL OR their_time < t_created").select(*hit)]
+    during = t["edge"].filter("etype = 'valid_during' AND t_invalid IS NULL").select("src", F.col("dst").alias("at"))
+    during = during.join(node.filter("ntype = 'TimeInterval'"), "at").select(F.col("src").alias("target"), "lo", "hi")
+    spans = ["set_id", "question_id", "atom_id", "through", "lo", "hi"]
+    times = place.filter("bound AND ntype = 'TimeInterval' AND (kind = 'node' OR (etype = 'valid_during' AND at = dst))").select(*spans)
+    times = times.unionByName(place.filter("bound AND kind = 'node'").drop("lo", "hi").join(during, "target").select(*spans))
+    asked = t["question"].filter("constrained").select("question_id", F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"))
+    times = times.join(t["member"].select("set_id", F.col("atom_id").alias("through")), ["set_id", "through"], "left_semi").join(asked, "question_id")
+    out["H8"].append(times.groupBy(*hit).agg(F.bool_or(_overlaps()).alias("meets")).filter("NOT meets").select(*hit))
+
+    told = t["assertion_span"].select(F.col("assertion_id").alias("spoken"), "span_id")
+    traced = ["set_id", "question_id", "atom_id", "span_id"]
+    from_nodes = place.filter("kind = 'node' AND spoken IS NOT NULL AND backed").join(told, "spoken").filter("span_id IS NOT NULL").select(*traced)
+    from_edges = place.filter("drawn").select("set_id", *key, F.col("target").alias("edge_id")).distinct().join(t["provenance"], "edge_id").select(*traced)
+    nowhere = F.lit(None).cast("string").alias("span_id")
+    broken = place.filter("kind = 'node' AND spoken IS NULL AND backed").select(*traced[:3], nowhere).unionByName(bound.filter("pooled IS NULL").select(*traced[:3], nowhere))
+    asked = t["scope"].select("question_id").distinct()
+    places = t["span"].join(t["turn"], "turn_id").select("span_id", "conv_id")
+    out_of = from_nodes.unionByName(from_edges).unionByName(broken).join(asked, "question_id").join(places, "span_id", "left")
+    out["H9"] = [out_of.join(t["scope"], ["question_id", "conv_id"], "left_anti").select(*hit)]
+    return out
 
 
 def violations(tables: dict[str, DataFrame], max_atoms: int = MAX_ATOMS, codes: tuple[str, ...] = tuple(CODES)) -> DataFrame:
@@ -77,12 +105,11 @@ def violations(tables: dict[str, DataFrame], max_atoms: int = MAX_ATOMS, codes:
     H4 no two atoms of equal content (all but the first), H5 no slot bound twice (its first binding), H6 no invalidated edge,
     H7 every claim, value or event beneath has an eligible assertion, H8 no supersession by an older or unknown edge, and no binding whose
     evidence's intervals all miss the constraint (no interval passes), H9 all provenance inside the question's scope (broken
-    chains fail, atoms without provenance pass). Every join is by equal keys. Null ids match nothing; empty tables give no rows.
+    chains fail, atoms without provenance pass). What is selected and what it stands on is written once and read by all checks; every join is by equal keys. Null ids match nothing; empty tables give no rows.
     """
-    spark = tables["sets"].sparkSession
-    parts = [f"SELECT DISTINCT set_id, '{c}' AS code, atom_id FROM ({BY_CODE[c]}) v" for c in codes]
-    sql = f"WITH {SELECTED} {' UNION ALL '.join(parts)}".replace("{most}", str(int(max_atoms))).replace("{backed}", BACKED)
-    return spark.sql(sql, **{k: v for k, v in tables.items() if "{" + k + "}" in sql})
+    found = _findings(tables, max_atoms)
+    parts = [part.select("set_id", F.lit(c).alias("code"), "atom_id") for c in codes for part in found[c]]
+    return reduce(DataFrame.unionAll, parts).distinct()
 
 
 def tally(tables: dict[str, DataFrame], max_atoms: int = MAX_ATOMS) -> DataFrame:

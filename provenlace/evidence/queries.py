@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenlace.evidence import checks, commits, fold
 from provenlace.plans.dialect import plan, render
 from provenlace.plans.views import with_views
+from provenlace.storage import cut
 
 #: Tables of graph, pools and sets: a set for each conversation, with atoms that break each of the checks somewhere.
 TABLES = {
@@ -59,8 +62,16 @@ UNION ALL SELECT conv_id, 'unheard of' FROM turn WHERE ix = 0 AND CAST(conv_id A
 H_TABLES = [*TABLES]
 
 
+#: Shared views that the derived tables are made of.
+BASES = ("turn", "assertion", "edge", "validity")
+
+
 def derived(spark: SparkSession, sf_dir: str, names: list[str], bodies: dict[str, str] = TABLES) -> dict[str, DataFrame]:
-    return {n: plan(bodies[n])[0](spark, sf_dir) for n in names}
+    """The named tables; the views they share are made once and written, so that no table is read and split into words again for each use."""
+    read = re.compile(rf"\b(FROM|JOIN) ({'|'.join(BASES)})\b")
+    texts = {n: read.sub(r"\1 {\2}", render(bodies[n], True)) for n in names}
+    base = {b: cut(plan(f"SELECT * FROM {b}")[0](spark, sf_dir)) for b in BASES if any("{" + b + "}" in x for x in texts.values())}
+    return {n: spark.sql(x, **{b: df for b, df in base.items() if "{" + b + "}" in x}) for n, x in texts.items()}
 
 
 def _oracle(body: str, names: list[str], bodies: dict[str, str] = TABLES) -> str:
