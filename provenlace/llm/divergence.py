@@ -140,21 +140,27 @@ def divergence(
     wide = joined.withColumn("n", F.transform("sources", lambda s: F.coalesce(F.element_at("by_source", s), F.lit(0))))
     wide = wide.withColumn("p", F.zip_with("n", "totals", lambda n, total: share(n, total + F.col("v"))))
 
-    contributions = F.flatten(F.transform("p", lambda p: F.transform("p", lambda q: contribution(p, q))))
-    sums = wide.select("lang", F.posexplode(contributions).alias("at", "f")).groupBy("lang", "at").agg(F.sum("f").alias("value"))
+    # floor((p - q)^2 / q) = floor(p^2 / q) - 2 p + q, and floor(p^2 / p) = p, so the sums of quotients hold all that is needed
+    quotients = F.flatten(F.transform(F.transform("p", lambda p: p * p), lambda s: F.transform("p", lambda q: F.call_function("div", s, q))))
+    # an outer generator: for others, an inferred filter on the array's size would make the array twice
+    emitted = wide.select("lang", quotients.alias("f")).select("lang", F.posexplode_outer("f").alias("at", "f"))
+    sums = cut(emitted.groupBy("lang", "at").agg(F.sum("f").alias("value")))
     pairs = (
         sides.select("lang", "sources", F.posexplode("sources").alias("i", "source"))
         .select("lang", "source", "i", F.size("sources").alias("m"), F.posexplode("sources").alias("j", "item"))
-        .filter("i != j").withColumn("at", F.col("i") * F.col("m") + F.col("j"))
-        .join(sums, ["lang", "at"], "left")
-        .select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
-    )
+        .filter("i != j")
+    )
+    for name, i, j in (("both", "i", "j"), ("left", "i", "i"), ("right", "j", "j")):
+        side = sums.select("lang", F.col("at").alias(name + "_at"), F.col("value").alias(name))
+        pairs = pairs.withColumn(name + "_at", F.col(i) * F.col("m") + F.col(j)).join(side, ["lang", name + "_at"], "left")
+    value = F.coalesce(F.col("both") - 2 * F.col("left") + F.col("right"), F.lit(0))
+    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", value.cast("long").alias("value"))
 
     add = lambda a, b: a + b
     whole = share(F.aggregate("n", F.lit(0).cast("long"), add), F.aggregate("totals", F.lit(0).cast("long"), add) + F.col("v"))
     over = (
         wide.withColumn("q", whole)
-        .select("lang", F.col("term").alias("item"), "q", F.explode(F.arrays_zip("sources", "n", "p")).alias("s"))
+        .select("lang", F.col("term").alias("item"), "q", F.explode_outer(F.arrays_zip("sources", "n", "p")).alias("s"))
         .filter((F.col("s.n") > 0) & (F.col("s.p") > F.col("q")))
         .select("lang", F.col("s.sources").alias("source"), F.lit("term").alias("part"), "item", contribution(F.col("s.p"), F.col("q")).alias("value"))
     )
