@@ -21,7 +21,7 @@ from provenlace.llm.common import cut, table
 from provenlace.llm.token_counts import _byte_chars
 
 #: Characters of text after which a block of rows is closed; a longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 #: Chunks whose bitsets are made together, and that are encoded as one string.
 SLICE, RUN = 20_000, 64
 #: Neither tokenizer has a token across a blank that follows something else than white space.
@@ -205,14 +205,15 @@ def encode_blocks(docs: DataFrame, a_json: str, b_model: bytes, id_col: str, tex
             weight = np.bincount(at, weights=np.repeat(times, per_chunk), minlength=len(pairs)).astype(np.int64)
             lists = {
                 "id": ids, **{c: n[:, j] for j, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}, "digest": digests,
-                "n_chunks": np.fromiter(map(len, kept), np.int64, len(kept)), "pair": pairs, "times": weight,
+                "n_chunks": np.fromiter(map(len, kept), np.int64, len(kept)),
+                "sizes": [sum(map(len, kept)), len(chunks), len(aligned.links)], "pair": pairs, "times": weight,
             }
             binary = {"chunks": np.concatenate([np.zeros(0, np.int32), *kept]), "links": per_chunk.astype(np.int32), "link": at.astype(np.int32)}
             key = f"{TaskContext.get().partitionId()}-{block}"
             kinds = {"id": schema.field("id").type, "digest": pa.list_(pa.string())}
             arrays = [pa.array([key])]
             arrays += [pa.array([v], kinds.get(k, pa.list_(pa.int64()))) for k, v in lists.items()]
-            arrays += [pa.array([v.tobytes()], pa.binary()) for v in binary.values()]
+            arrays += [pa.array([pa.compress(v.tobytes(), codec="zstd", asbytes=True)], pa.binary()) for v in binary.values()]
             return pa.RecordBatch.from_arrays(arrays, ["block", *lists, *binary])
 
         for b in batches:
@@ -234,7 +235,7 @@ def encode_blocks(docs: DataFrame, a_json: str, b_model: bytes, id_col: str, tex
 
     longs = ", ".join(f"{c} array<long>" for c in ("n_a", "n_b", "n_groups", "n_links"))
     return slim.mapInArrow(
-        run, f"block string, id array<{kind}>, {longs}, digest array<string>, n_chunks array<long>, pair array<long>, times array<long>, "
+        run, f"block string, id array<{kind}>, {longs}, digest array<string>, n_chunks array<long>, sizes array<long>, pair array<long>, times array<long>, "
         "chunks binary, links binary, link binary",
     )
 
@@ -248,7 +249,7 @@ def align(docs: DataFrame, a_json: str, b_model: bytes, id_col: str = "doc_id",
     rows like any other, ties for a B id's highest count all count, an empty table gives an empty result, other columns
     are ignored.
 
-    Chunks between blanks are aligned once per block of about 4 million characters; a longer text is a block of
+    Chunks between blanks are aligned once per block of about 8 million characters; a longer text is a block of
     its own, whose chunk numbers a task holds. Counts of id pairs are summed within blocks, then over the corpus, and
     go back to the blocks by joins, one row per block and pair; nothing is broadcast but the tokenizer files.
     """
@@ -272,7 +273,8 @@ def align(docs: DataFrame, a_json: str, b_model: bytes, id_col: str = "doc_id",
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 values = lambda c, row=row: row.column(c)[0].values
-                chunks, links, link = (np.frombuffer(row.column(c)[0].as_buffer(), np.int32) for c in ("chunks", "links", "link"))
+                packed = zip(("chunks", "links", "link"), values("sizes").to_pylist(), strict=True)
+                chunks, links, link = (np.frombuffer(pa.decompress(row.column(c)[0].as_buffer(), 4 * n, codec="zstd"), np.int32) for c, n in packed)
                 n_chunks = values("n_chunks").to_numpy()
                 sums = []
                 for column in ("best", "n"):

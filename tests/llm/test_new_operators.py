@@ -119,7 +119,7 @@ def in_order(rows):
     return sorted(rows, key=lambda r: (r[0] is None, r))
 
 
-@pytest.mark.parametrize("block", [300, 4 << 20])
+@pytest.mark.parametrize("block", [300, 8 << 20])
 def test_alignment_by_hand(spark, monkeypatch, files, block):
     monkeypatch.setattr(alignment, "BLOCK", block)
     monkeypatch.setattr(alignment, "SLICE", 40)
