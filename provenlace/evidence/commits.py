@@ -66,7 +66,7 @@ BY_CODE = {
 }
 
 
-def violations(tables: dict[str, DataFrame]) -> DataFrame:
+def violations(tables: dict[str, DataFrame], codes: tuple[str, ...] = tuple(CODES)) -> DataFrame:
     """(commit_id, code, id), distinct: what is wrong with which node or edge; a commit without rows may be appended.
 
     tables: the batch as new_node (commit_id, pos, node_id, ntype, payload, aliases, assertion_id, lo, hi), new_edge (commit_id, pos,
@@ -80,7 +80,7 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     Each commit is judged against the snapshot alone, as if it came first: commits that build on each other go into later batches.
     """
     spark = tables["new_node"].sparkSession
-    parts = [f"SELECT DISTINCT commit_id, '{c}' AS code, id FROM ({body}) v" for c, body in BY_CODE.items()]
+    parts = [f"SELECT DISTINCT commit_id, '{c}' AS code, id FROM ({BY_CODE[c]}) v" for c in codes]
     sql = f"WITH {SHARED.replace('{{', '{').replace('}}', '}')} {' UNION ALL '.join(parts)}"
     return spark.sql(sql, **{k: v for k, v in tables.items() if "{" + k + "}" in sql})
 

@@ -187,6 +187,10 @@ def _staged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return tables
 
 
+#: The single checks by the names they are registered under.
+SINGLE_H = {"H1": "size", "H2": "resolves", "H3": "closure", "H4": "identity", "H5": "binding", "H6": "retired", "H7": "support", "H8": "temporal", "H9": "scope"}
+SINGLE_V = {"V1": "endpoints", "V2": "ids", "V3": "provenance", "V4": "eligibility", "V5": "intervals", "V6": "duplicates", "V7": "successor"}
+
 QUERIES = {
     "check_h_violations": lambda spark, d: checks.violations(derived(spark, d, H_TABLES)),
     "check_h_by_category": lambda spark, d: checks.tally(derived(spark, d, H_TABLES)),
@@ -218,3 +222,9 @@ SELECT CAST(n.user_id AS VARCHAR) AS edge_id, coalesce(b.added > coalesce(b.gone
 FROM ({EDGES.format("")}) n LEFT JOIN ({EDGES.format(" WHERE event_id < 4000")}) b USING (user_id)
 WHERE coalesce(b.added > coalesce(b.gone, -1), false) <> coalesce(n.added > coalesce(n.gone, -1), false)""",
 }
+for _c, _n in [*SINGLE_H.items(), ("H8", "supersession")]:
+    QUERIES[f"check_{_c.lower()}_{_n}"] = lambda spark, d, c=_c: checks.violations(derived(spark, d, H_TABLES), codes=(c,)).drop("code")
+    ORACLE[f"check_{_c.lower()}_{_n}"] = _oracle(H_SQL + f"SELECT set_id, atom_id FROM d WHERE code = '{_c}'", H_TABLES)
+for _c, _n in SINGLE_V.items():
+    QUERIES[f"commit_{_c.lower()}_{_n}"] = lambda spark, d, c=_c: commits.violations(_staged(spark, d), codes=(c,)).drop("code")
+    ORACLE[f"commit_{_c.lower()}_{_n}"] = _oracle(V_SQL + f"SELECT commit_id, id FROM d WHERE code = '{_c}'", [*STAGED], STAGED)

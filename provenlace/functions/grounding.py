@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenlace.storage import cut
+
 #: Fixed value: the similarity that a fuzzy match needs.
 ACCEPT = 0.85
 GRAM = 3
@@ -29,7 +31,7 @@ def with_offsets(df: DataFrame, text: str, norm: str, offsets: str) -> DataFrame
     trimmed = F.when(F.size(kept) > 0, F.when(last_blank, F.slice(kept, 1, F.size(kept) - 1)).otherwise(F.col(kept))).otherwise(F.col(kept))
     lower = lambda i: F.when(F.get(blank, i), F.lit(" ")).otherwise(F.lower(F.get(chars, i)))
     pieces = F.transform(trimmed, lambda i: F.struct(lower(i).alias("c"), i.alias("i")))
-    out = df.withColumn(chars, F.regexp_extract_all(text, F.lit("(?s)."), 0)).withColumn(blank, F.transform(chars, lambda c: c.rlike(BLANK)))
+    out = df.withColumn(chars, _characters(text)).withColumn(blank, F.transform(chars, lambda c: c.rlike(BLANK)))
     out = out.withColumn(kept, stays).withColumn(kept, pieces)
     spread = F.flatten(F.transform(kept, lambda p: F.array_repeat(p["i"], F.length(p["c"]))))
     out = out.withColumn(norm, F.when(F.col(text).isNotNull(), F.array_join(F.transform(kept, lambda p: p["c"]), "")))
@@ -42,11 +44,22 @@ def _raw_end(offsets: str, last: Column) -> Column:
     return F.element_at(F.filter(F.slice(offsets, last + 2, F.lit(4)), lambda x: x > own), 1)
 
 
-def _words(norm: str) -> tuple[Column, Column]:
-    """Positions at which words of a normalised text start, and those right after they end."""
-    inside = lambda i: F.coalesce(F.substring(norm, i + 1, F.lit(1)).rlike(WORD), F.lit(False)) & (i >= 0)
-    at = F.sequence(F.lit(0), F.length(norm))
-    return F.filter(at, lambda i: inside(i) & ~inside(i - 1)), F.filter(at, lambda i: ~inside(i) & inside(i - 1))
+def _characters(text: str | Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), 0)
+
+
+def _grams() -> Column:
+    """Every run of GRAM characters; by way of an array of characters, so that a long text is passed once."""
+    return F.transform(
+        F.sequence(F.lit(0), F.size("__chars") - GRAM), lambda i: F.concat(*[F.get("__chars", i + k) for k in range(GRAM)])
+    )
+
+
+def _words(inside: str) -> tuple[Column, Column]:
+    """Positions at which words start and those right after they end, from an array that says of each character if it is part of one."""
+    at = F.sequence(F.lit(0), F.size(inside))
+    own, before = (lambda i: F.coalesce(F.get(inside, i), F.lit(False))), (lambda i: F.coalesce(F.get(inside, i - 1), F.lit(False)))
+    return F.filter(at, lambda i: own(i) & ~before(i)), F.filter(at, lambda i: ~own(i) & before(i))
 
 
 def closest_spans(rows: DataFrame, accept: float = ACCEPT) -> DataFrame:
@@ -59,10 +72,9 @@ def closest_spans(rows: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """
     most = (1 - accept) / accept
     q = rows.filter((F.length("quote") > 0) & (F.length("text") > 0)).withColumn("m", F.length("quote")).withColumn("k", F.floor(F.col("m") * most + 1e-9).cast("int"))
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, F.lit(GRAM)))
     long = q.filter((F.col("k") > 0) & (F.col("m") >= GRAM) & (F.length("text") >= GRAM))
-    ours = long.select("row_id", "k", "m", F.posexplode(grams("quote")).alias("j", "gram"))
-    theirs = long.select("row_id", F.posexplode(grams("text")).alias("p", "gram"))
+    ours = long.withColumn("__chars", _characters("quote")).select("row_id", "k", "m", F.posexplode_outer(_grams()).alias("j", "gram"))
+    theirs = long.withColumn("__chars", _characters("text")).select("row_id", F.posexplode_outer(_grams()).alias("p", "gram"))
     width = F.col("k") + 1
     hits = ours.join(theirs, ["row_id", "gram"]).withColumn("band", F.floor((F.col("p") - F.col("j")) / width))
     # a match's diagonals are 2 k + 1 wide at most, so they lie in three neighbouring bands
@@ -70,12 +82,14 @@ def closest_spans(rows: DataFrame, accept: float = ACCEPT) -> DataFrame:
     enough = F.greatest(F.lit(1), F.col("m") - GRAM + 1 - F.col("k") * GRAM)
     bands = near.groupBy("row_id", "k", "m", "band").agg(F.countDistinct("j").alias("n")).filter(F.col("n") >= enough)
     bands = bands.select("row_id", (F.col("band") * width - F.col("k")).alias("from"), ((F.col("band") + 3) * width + F.col("k")).alias("upto"))
-    starts, ends = _words("text")
-    placed = long.join(bands, "row_id").withColumn("starts", starts).withColumn("ends", ends)
+    # outer generators from here on, as the filter inferred for others would be pushed down and make the arrays anew for each element
+    starts, ends = _words("inside")
+    worded = long.withColumn("inside", F.transform(_characters("text"), lambda c: c.rlike(WORD))).withColumn("starts", starts).withColumn("ends", ends)
+    placed = worded.drop("inside").join(bands, "row_id")
     from_here = F.filter("starts", lambda s: (s >= F.col("from")) & (s <= F.col("upto")))
-    spans = placed.select("row_id", "text", "quote", "m", "k", "ends", F.explode(from_here).alias("start"))
+    spans = placed.select("row_id", "text", "quote", "m", "k", "ends", F.explode_outer(from_here).alias("start")).filter("start IS NOT NULL")
     fits = F.filter("ends", lambda e: (e > F.col("start")) & (F.abs(e - F.col("start") - F.col("m")) <= F.col("k")))
-    spans = spans.select("row_id", "text", "quote", "m", "k", "start", F.explode(fits).alias("end")).distinct()
+    spans = spans.select("row_id", "text", "quote", "m", "k", "start", F.explode_outer(fits).alias("end")).filter("end IS NOT NULL").distinct()
     span = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
     # the built-in takes its bound as a constant, so spans further off than their own k go by the score
     scored = spans.withColumn("distance", F.levenshtein(span, F.col("quote"))).withColumn("score", 1 - F.col("distance") / F.greatest(F.col("m"), F.col("end") - F.col("start")))
@@ -94,7 +108,8 @@ def ground(rows: DataFrame, accept: float = ACCEPT) -> DataFrame:
     exact = F.when(F.trim(F.regexp_replace("quote", BLANK, " ")) != "", F.expr("locate(quote, text)"))
     both = with_offsets(with_offsets(base, "text", "n", "o"), "quote", "nq", "oq").withColumn("hit", F.coalesce(exact, F.lit(0)))
     at = F.when(F.col("nq") != "", F.expr("locate(nq, n)") - 1)
-    both = both.withColumn("at", F.coalesce(F.when(F.col("hit") == 0, at), F.lit(-1)))
+    # written once: three ways read it, and filters that are pushed into it would make its arrays anew for each character
+    both = cut(both.withColumn("at", F.coalesce(F.when(F.col("hit") == 0, at), F.lit(-1))))
     one = F.lit(1.0)
     sure = both.filter("hit > 0").select("row_id", F.lit("exact").alias("rung"), (F.col("hit") - 1).alias("start"), (F.col("hit") - 1 + F.length("quote")).alias("end"), one.alias("score"))
     normal = both.filter("at >= 0").select(

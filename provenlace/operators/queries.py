@@ -7,9 +7,10 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from provenlace.operators import pooling, sampling, search, statistics, vectors
+from provenlace.operators import pooling, sampling, search, selection, statistics, vectors
 from provenlace.plans.dialect import plan
 
 MOST, CAP = 6, 8
@@ -69,19 +70,18 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.groupBy(F.lit(1).alias("all")).applyInPandas(one, "p95 double, wins boolean")
 
 
-def ground_quotes_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes with a changed word, found again in their turns."""
-    rows = plan("SELECT turn_id, concat(substr(text, 3, 20), 'zz', substr(text, 23, 20)) AS quote, text FROM turn")[0](spark, sf_dir)
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and nearest-rank 95th percentile of each event type's values, by selection."""
+    rows = plan("SELECT event_type, value FROM events")[0](spark, sf_dir)
+    found = selection.quantiles(rows, "event_type", "value", {"p50": 0.5, "p95": 0.95}, nearest=("p95",))
+    return found.select("event_type", *[F.round(c, 3).alias(c) for c in ("p50", "p95")])
 
-    def run(batches):
-        for pdf in batches:
-            hit = [statistics.fuzzy_ground(q, t) for q, t in zip(pdf["quote"], pdf["text"], strict=True)]
-            yield pd.DataFrame({
-                "turn_id": pdf["turn_id"], "rung": ["fuzzy" if h else "fail" for h in hit],
-                "start": pd.array([h[0] if h else None for h in hit], "Int64"), "ratio": [round(h[1], 4) if h else None for h in hit],
-            })
 
-    return rows.mapInPandas(run, "turn_id string, rung string, start long, ratio double")
+def cost_mean_median_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = plan("SELECT event_type AS meter, value FROM events")[0](spark, sf_dir)
+    plain = rows.groupBy("meter").agg(F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("most"), F.count(F.lit(1)).alias("n"))
+    median = selection.quantiles(rows, "meter", "value", {"median": 0.5}).select(F.col("meter").alias("own"), F.round("median", 4).alias("median"))
+    return plain.join(median, F.col("meter").eqNullSafe(F.col("own")), "left").drop("own")
 
 
 def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +98,10 @@ def answer_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per question: the gate's decision, the packed evidence, the replayed answer."""
     hits = plan("SELECT question_id, doc, score FROM bm25 WHERE score > 0")[0](spark, sf_dir)
     turns = plan("SELECT turn_id, text FROM turn")[0](spark, sf_dir)
-    best = hits.groupBy("question_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc"))), 1, 3).alias("top"))
-    packed = best.select("question_id", F.posexplode("top").alias("pos", "hit")).select("question_id", "pos", "hit.doc", (-F.col("hit.s")).alias("score"))
+    place = F.row_number().over(W.partitionBy("question_id").orderBy(F.col("score").desc(), "doc")) - 1
+    packed = hits.withColumn("pos", place).filter("pos < 3")
     packed = packed.join(turns, packed["doc"] == turns["turn_id"])
-    shown = F.concat(F.lit("[c"), (F.col("pos") + 1).cast("string"), F.lit("] "), F.substring("text", 1, 400))
+    shown = F.concat(F.lit("[c"), (F.col("pos") + 1).cast("string"), F.lit("] "), F.col("text"))
     return packed.groupBy("question_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", shown.alias("t")))), lambda x: x["t"]), "\n").alias("evidence"),
         F.round(F.max("score"), 4).alias("p_answerable"),
@@ -138,6 +138,41 @@ WITH s AS (SELECT q.vec_id AS question_id, v.vec_id AS node_id, round(list_cosin
 SELECT question_id, node_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_id) AS rank FROM s) r WHERE rank <= 10"""
 
 
+def minmax_flat_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest ten of each query, their scores scaled to 0 to 1; 0 where all are the same."""
+    hits = dense_cosine_topk(spark, sf_dir)
+    ends = hits.groupBy("question_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    scaled = F.when(F.col("hi") == F.col("lo"), F.lit(0.0)).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    return hits.join(ends, "question_id").select("question_id", "node_id", F.round(scaled, 5).alias("s"))
+
+
+def candidate_recall_at_k(spark: SparkSession, sf_dir: str, most: int = 5) -> DataFrame:
+    """For each k, of the queries whose label another vector has, the share with one among their k nearest."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = rows.select("vec_id", "label")
+    asked = rows.filter("vec_id % 100 = 0")
+    hits = vectors.cosine_topk(asked, rows, most).join(label.select(F.col("vec_id").alias("question_id"), F.col("label").alias("own")), "question_id")
+    hits = hits.join(label.select(F.col("vec_id").alias("node_id"), F.col("label").alias("found")), "node_id").filter("own = found")
+    place = hits.groupBy("question_id").agg(F.min("rank").alias("place"))
+    shared = label.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    able = asked.select(F.col("vec_id").alias("question_id"), "label").join(shared, "label", "left_semi").join(place, "question_id", "left")
+    counts = able.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("place") <= k).alias(str(k)) for k in range(1, most + 1)])
+    at = counts.unpivot("n", [str(k) for k in range(1, most + 1)], "k", "hits")
+    return at.filter("n > 0").select(F.col("k").cast("int").alias("k"), F.round(F.col("hits") / F.col("n"), 6).alias("recall"))
+
+
+SCALED_SQL = f"""
+WITH h AS ({DENSE_SQL})
+SELECT question_id, node_id, round(CASE WHEN hi = lo THEN 0.0 ELSE (score - lo) / (hi - lo) END, 5) AS s
+FROM (SELECT *, max(score) OVER (PARTITION BY question_id) AS hi, min(score) OVER (PARTITION BY question_id) AS lo FROM h) d"""
+RECALL_SQL = f"""
+WITH {DENSE_SQL.strip().removeprefix("WITH").split("SELECT question_id, node_id, score, rank")[0]},
+p AS (SELECT question_id, min(rn) AS place FROM (
+  SELECT s.question_id, q.label = v.label AS gold, row_number() OVER (PARTITION BY s.question_id ORDER BY s.score DESC, s.node_id) AS rn
+  FROM s JOIN embeddings v ON v.vec_id = s.node_id JOIN embeddings q ON q.vec_id = s.question_id) r WHERE gold GROUP BY question_id)
+SELECT k::INT AS k, round(CAST(count(*) FILTER (place <= k) AS DOUBLE) / count(*), 6) AS recall FROM p CROSS JOIN generate_series(1, 5) g(k) GROUP BY k"""
+
+
 def stratified_sample_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1,000 documents in proportion to their sources."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
@@ -150,16 +185,20 @@ q AS (SELECT source, n, want * n // total AS base, row_number() OVER (ORDER BY n
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY substr(sha256(concat_ws(chr(31), '7', CAST(doc_id AS VARCHAR))), 1, 12), doc_id) AS rn FROM documents)
 SELECT r.doc_id, r.source FROM r JOIN q ON q.source IS NOT DISTINCT FROM r.source WHERE rn <= base + CASE WHEN turn <= rest THEN 1 ELSE 0 END"""
 
+#: Numbers of an embedding.
+WIDTH = 64
+
+
 def pool_sets_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings of a label as a set; their first four numbers as vectors."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("set_id"), F.col("vec_id").alias("item"), F.slice("embedding", 1, 4).alias("vector"))
-    wide = pooling.pool_sets(rows, rows, 4, 16)
-    return wide.select("set_id", *[F.round(F.element_at("features", i + 1), 5).alias(f"f{i}") for i in range(9)])
+    """Embeddings of a label as a set, by their whole vectors."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("set_id"), F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
+    wide = pooling.pool_sets(rows, rows, WIDTH, 16)
+    return wide.select("set_id", *[F.round(F.element_at("features", i + 1), 5).alias(f"f{i}") for i in range(2 * WIDTH + 1)])
 
 
 POOLED_SQL = (
-    "SELECT label AS set_id, " + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 5) AS f{i}, round(max(embedding[{i + 1}]::DOUBLE), 5) AS f{i + 4}" for i in range(4))
-    + ", round(count(*) / 16.0, 5) AS f8 FROM embeddings GROUP BY label"
+    "SELECT label AS set_id, " + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 5) AS f{i}, round(max(embedding[{i + 1}]::DOUBLE), 5) AS f{i + WIDTH}" for i in range(WIDTH))
+    + f", round(count(*) / 16.0, 5) AS f{2 * WIDTH} FROM embeddings GROUP BY label"
 )
 MAPPING = [("en", "germanic"), ("de", "germanic"), ("fr", "romance"), ("la", "romance")]
 
@@ -175,12 +214,12 @@ SELECT native, instances, target, target IS NOT NULL AND (SELECT count(*) FROM n
 
 
 def pool_size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pooling.pool_sizes(plan("SELECT conv_id AS question_id, turn_id AS atom_id, substr(text, 1, 4) AS text FROM turn")[0](spark, sf_dir))
+    return pooling.pool_sizes(plan("SELECT conv_id AS question_id, turn_id AS atom_id, text FROM turn")[0](spark, sf_dir))
 
 
 SIZES_SQL = """
 WITH s AS (SELECT count(*) AS n FROM conversations GROUP BY conv_id), o AS (SELECT n, row_number() OVER (ORDER BY n) AS rn, count(*) OVER () AS all_n FROM s),
-t AS (SELECT conv_id, lower(trim(substr(text, 1, 4))) AS t FROM conversations)
+t AS (SELECT conv_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM conversations)
 SELECT (SELECT count(*) FROM s) AS pools, (SELECT min(n) FROM s) AS least, (SELECT n FROM o WHERE rn = all_n // 2 + 1) AS median, (SELECT max(n) FROM s) AS most,
   (SELECT count(*) FROM t WHERE t <> '') - (SELECT count(*) FROM (SELECT DISTINCT * FROM t WHERE t <> '') d) AS equal_texts"""
 
@@ -194,18 +233,28 @@ QUERIES = {
     "search_tree_packing": _searched(search.tree_packing),
     "select_by_relevance": _searched(lambda w, r: search.by_relevance(w, r, MOST)),
     "dense_cosine_topk": dense_cosine_topk,
+    "minmax_flat_zero": minmax_flat_zero,
+    "candidate_recall_at_k": candidate_recall_at_k,
     "stratified_sample_quota": stratified_sample_quota,
     "pool_sets_features": pool_sets_features,
     "class_mapping_report": class_mapping_report,
     "pool_size_report": pool_size_report,
     "bootstrap_group_ci": bootstrap_group_ci,
     "paired_bootstrap": paired_bootstrap,
-    "ground_quotes_fuzzy": ground_quotes_fuzzy,
+    "latency_percentiles": latency_percentiles,
+    "cost_mean_median_max": cost_mean_median_max,
     "mcnemar_exact": mcnemar_exact,
     "answer_record": answer_record,
 }
 ORACLE: dict[str, str] = {
+    "latency_percentiles": """
+SELECT event_type, round(quantile_cont(value, 0.5), 3) AS p50, round(max(value) FILTER (rn = ceil(0.95 * n)::BIGINT), 3) AS p95 FROM (
+  SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) e GROUP BY event_type""",
+    "cost_mean_median_max": """
+SELECT event_type AS meter, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS median, max(value) AS most, count(*) AS n FROM events GROUP BY event_type""",
     "dense_cosine_topk": DENSE_SQL,
+    "minmax_flat_zero": SCALED_SQL,
+    "candidate_recall_at_k": RECALL_SQL,
     "stratified_sample_quota": STRATIFIED_SQL,
     "pool_sets_features": POOLED_SQL,
     "class_mapping_report": MAPPING_SQL,

@@ -1,8 +1,7 @@
-"""Resampling and fuzzy matching: seeded numpy work on bounded groups."""
+"""Resampling: seeded numpy work on bounded groups."""
 
 from __future__ import annotations
 
-import difflib
 from math import comb
 
 import numpy as np
@@ -24,21 +23,6 @@ def mcnemar(only_a: int, only_b: int) -> float:
     return min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
 
 
-def fuzzy_ground(quote: str, text: str, least: float = 0.85) -> tuple[int, float] | None:
-    """Start and ratio of the window of the quote's length that is most like it: coarse steps, then halved ones."""
-    m = len(quote)
-    if not m or len(text) < m // 2:
-        return None
-    ratio = lambda i: difflib.SequenceMatcher(None, quote, text[i : i + m], autojunk=False).ratio()
-    step = max(1, m // 8)
-    best = max(range(0, max(1, len(text) - m + 1), step), key=lambda i: (ratio(i), -i))
-    while step > 1:
-        step //= 2
-        best = max((i for i in (best - step, best, best + step) if 0 <= i <= max(0, len(text) - m)), key=lambda i: (ratio(i), -i))
-    found = ratio(best)
-    return (best, found) if found >= least else None
-
-
 #: Cumulative shares of a Poisson distribution of mean 1.
 POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 16.0)])))
 

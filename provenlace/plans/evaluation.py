@@ -61,16 +61,11 @@ SELECT category, count(CASE WHEN quality = 1 AND toxic = 1 THEN 1 END) AS tp, co
     "spearman_ties": """
 WITH r AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rs, rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2.0 AS rl FROM gate)
 SELECT round(corr(CAST(rs AS DOUBLE), CAST(rl AS DOUBLE)), 6) AS rho FROM r""",
-    "latency_percentiles": """
-SELECT event_type, round(@pct(value, 0.5), 3) AS p50, round(max(CASE WHEN rn = CAST(ceil(0.95 * n) AS BIGINT) THEN value END), 3) AS p95 FROM (
-  SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) e GROUP BY event_type""",
     "score_by_category": f"""WITH {RESULT},
 s AS (SELECT category, f1, outcome FROM res UNION ALL SELECT 'overall' AS category, f1, outcome FROM res)
 SELECT category, count(*) AS n, count(CASE WHEN outcome = 'answer' THEN 1 END) AS answered, round(avg(CASE WHEN outcome = 'answer' THEN f1 ELSE 0.0 END), 6) AS f1_all,
        round(avg(CASE WHEN outcome = 'answer' THEN f1 END), 6) AS f1_answered FROM s GROUP BY category""",
     "abstain_by_cause": f"WITH {RESULT} SELECT cause, count(*) AS n FROM res WHERE outcome = 'abstain' GROUP BY cause",
-    "cost_mean_median_max": """
-SELECT event_type AS meter, round(avg(value), 4) AS mean, round(@pct(value, 0.5), 4) AS median, max(value) AS most, count(*) AS n FROM events GROUP BY event_type""",
     "class_weights": "SELECT label, round(CAST(sum(count(*)) OVER () AS DOUBLE) / (2 * count(*)), 6) AS weight FROM gate GROUP BY label",
     "split_train_dev_test": """
 SELECT item_id, CASE WHEN rn <= round(n * 0.6) THEN 'train' WHEN rn <= round(n * 0.8) THEN 'dev' ELSE 'test' END AS part FROM (

@@ -16,7 +16,7 @@ FAN = """fan AS (SELECT node, other, rn FROM (
 PLANS = {
     "gate_eligibility": """
 SELECT assertion_id, eligibility, CASE WHEN entailed_score < 0.8 THEN 'score' WHEN speaker = 'system' THEN 'speaker' ELSE '' END AS reason FROM assertion""",
-    "eligible_nodes_scope": "SELECT conv_id, assertion_id FROM assertion WHERE eligibility = 'eligible' AND CAST(conv_id AS BIGINT) % 2 = 0",
+    "eligible_nodes_scope": "SELECT conv_id, assertion_id FROM assertion WHERE eligibility = 'eligible' AND conv_id IN (SELECT conv_id FROM turn WHERE speaker = 'system')",
     "edge_incidence": """
 SELECT node, count(*) AS degree FROM (SELECT DISTINCT edge_id, node FROM (
   SELECT edge_id, src AS node FROM edge UNION ALL SELECT edge_id, dst AS node FROM edge) x) y GROUP BY node""",
@@ -24,7 +24,7 @@ SELECT node, count(*) AS degree FROM (SELECT DISTINCT edge_id, node FROM (
 SELECT node, count(*) AS degree, round(ln(1 + count(*)), 6) AS log_degree, min(t_created) AS earliest FROM (
   SELECT src AS node, t_created FROM edge UNION ALL SELECT dst AS node, t_created FROM edge) x GROUP BY node""",
     "entity_match": """
-SELECT DISTINCT q.question_id, e.dst AS node_id FROM question_token q JOIN edge e ON e.dst = concat(e.conv_id, ':', q.tok)""",
+SELECT q.question_id, e.dst AS node_id FROM question_token q JOIN (SELECT DISTINCT dst, substr(dst, length(conv_id) + 2) AS tok FROM edge) e ON e.tok = q.tok""",
     "entity_channel": """
 SELECT DISTINCT q.question_id, a.assertion_id, 1.0 AS score FROM question_token q JOIN turn_token t ON t.tok = q.tok
 JOIN assertion a ON a.turn_id = t.turn_id WHERE length(q.tok) >= 7 AND a.eligibility = 'eligible'""",
@@ -53,9 +53,6 @@ FROM p JOIN turn a ON a.turn_id = p.x JOIN turn b ON b.turn_id = p.y""",
 SELECT question_id, doc, score, CAST(rn AS BIGINT) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc) AS rn FROM hit) r WHERE rn <= 10""",
     "minmax_scale": f"WITH {FUSED} SELECT question_id, channel, doc, s FROM scaled",
-    "minmax_flat_zero": """
-SELECT question_id, node_id, round(CASE WHEN hi = lo THEN 0.0 ELSE (score - lo) / (hi - lo) END, 5) AS s FROM (
-  SELECT *, max(score) OVER (PARTITION BY question_id) AS hi, min(score) OVER (PARTITION BY question_id) AS lo FROM dense) d""",
     "fuse_minmax_max": f"WITH {FUSED} SELECT question_id, doc, max(s) AS score FROM scaled GROUP BY question_id, doc",
     "fuse_wins_unique": f"""WITH {FUSED},
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc ORDER BY s DESC, channel) AS rn, count(*) OVER (PARTITION BY question_id, doc) AS n FROM scaled)
@@ -75,12 +72,6 @@ FROM hit h LEFT JOIN edge e ON e.src = h.doc GROUP BY question_id""",
     "recall_by_channel": f"""WITH {FUSED},
 gold AS (SELECT question_id, max_by(doc, score) AS doc FROM (SELECT question_id, doc, max(s) AS score FROM scaled WHERE channel = 'entity' GROUP BY question_id, doc) x GROUP BY question_id HAVING count(*) = 1)
 SELECT channel, count(*) AS retrieved, count(g.doc) AS gold_found FROM scaled s LEFT JOIN gold g ON g.question_id = s.question_id AND g.doc = s.doc GROUP BY channel""",
-    "candidate_recall_at_k": """
-SELECT k, round(CAST(count(CASE WHEN place <= k THEN 1 END) AS DOUBLE) / count(*), 6) AS recall FROM (
-  SELECT question_id, min(rn) AS place FROM (
-    SELECT d.question_id, d.node_id, v.label = q.label AS gold, row_number() OVER (PARTITION BY d.question_id ORDER BY d.score DESC, d.node_id) AS rn
-    FROM dense d JOIN vec v ON v.vec_id = d.node_id JOIN vec q ON q.vec_id = d.question_id) r WHERE gold GROUP BY question_id) p
-CROSS JOIN (SELECT r_regionkey + 1 AS k FROM region) ks GROUP BY k""",
     "embedding_cache_dedup": "SELECT @sha16('embed', lower(text)) AS cache_key, count(*) AS users FROM benchmark GROUP BY @sha16('embed', lower(text))",
     "provenance_chain": """
 SELECT a.assertion_id, a.span_id, t.turn_id, t.conv_id FROM assertion a LEFT JOIN turn t ON t.turn_id = a.turn_id""",
@@ -94,8 +85,7 @@ SELECT q.turn_id, CASE WHEN instr(t.text, q.quote) > 0 THEN 'exact' WHEN instr(l
        CAST(instr(lower(t.text), lower(q.quote)) - 1 AS BIGINT) AS start_at
 FROM (SELECT turn_id, CASE WHEN ix % 2 = 0 THEN substr(text, 3, 30) ELSE lower(substr(text, 1, 30)) END AS quote FROM turn) q JOIN turn t ON t.turn_id = q.turn_id""",
     "excluded_evidence_antijoin": f"""WITH {HIT}
-SELECT h.question_id, h.doc FROM hit h LEFT JOIN (SELECT question_id, max(score) AS best FROM hit GROUP BY question_id) b
-ON b.question_id = h.question_id AND b.best = h.score WHERE b.best IS NULL""",
+SELECT question_id, doc FROM (SELECT question_id, doc, score, max(score) OVER (PARTITION BY question_id) AS best FROM hit) h WHERE score < best""",
 }
 
 #: The same pool, put together node by node.

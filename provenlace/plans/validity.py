@@ -15,44 +15,6 @@ terms AS (SELECT z.set_id, suff, quality, CASE WHEN z.n < 2 OR singles <= 0 THEN
           FROM size_of z JOIN suf ON suf.set_id = z.set_id JOIN src ON src.set_id = z.set_id JOIN red ON red.set_id = z.set_id)"""
 
 PLANS = {
-    "check_h1_size": "SELECT set_id, count(*) AS n, count(*) > 16 AS violated FROM atom GROUP BY set_id",
-    "check_h2_resolves": """
-SELECT a.set_id, a.atom FROM atom a LEFT JOIN supplier s ON s.s_nationkey = a.atom AND s.s_suppkey % 3 = 0 WHERE s.s_suppkey IS NULL GROUP BY a.set_id, a.atom""",
-    "check_h3_closure": """
-SELECT a.set_id, a.atom, a.ref FROM atom a LEFT JOIN atom b ON b.set_id = a.set_id AND b.atom = a.ref WHERE b.atom IS NULL""",
-    "check_h4_identity": "SELECT set_id, ref AS content_key, count(*) AS copies FROM atom GROUP BY set_id, ref HAVING count(*) > 1",
-    "check_h5_binding": "SELECT set_id, atom % 4 AS slot, count(*) AS claims FROM atom GROUP BY set_id, atom % 4 HAVING count(*) > 1",
-    "check_h6_retired": """
-SELECT key, seq FROM (SELECT key, seq, op, max(CASE WHEN op = 'edge.invalidate' THEN seq END) OVER (PARTITION BY key) AS gone FROM log) l
-WHERE op = 'edge.add' AND seq < gone""",
-    "check_h7_support": """
-SELECT e.edge_id, CASE WHEN a.assertion_id IS NULL THEN 'unknown' ELSE 'quarantined' END AS problem FROM edge e
-LEFT JOIN assertion a ON a.turn_id = e.src WHERE a.assertion_id IS NULL OR a.eligibility = 'quarantined'""",
-    "check_h8_supersession": """
-SELECT o.o_orderkey AS older, n.o_orderkey AS newer FROM (SELECT o_orderkey, o_custkey, o_orderdate, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS by_key FROM orders) o
-JOIN orders n ON n.o_orderkey = o.by_key WHERE n.o_orderdate < o.o_orderdate""",
-    "check_h8_temporal": """
-SELECT q.question_id, t.conv_id FROM question q JOIN validity t ON CAST(t.conv_id AS BIGINT) = q.question_id
-GROUP BY q.question_id, t.conv_id HAVING NOT bool_or(greatest(q.tc_start, t.lo) < least(q.tc_end, coalesce(t.hi, 9999999999)))""",
-    "check_h9_scope": "SELECT e.edge_id FROM edge e JOIN turn t ON t.turn_id = e.src WHERE CAST(t.conv_id AS BIGINT) % 5 = 0",
-    "commit_v1_endpoints": """
-WITH rule AS (SELECT 'about_entity' AS etype, 'claim' AS kind UNION ALL SELECT 'about_entity', 'value')
-SELECT e.edge_id, a.kind FROM edge e JOIN assertion a ON a.turn_id = e.src LEFT JOIN rule r ON r.etype = e.etype AND r.kind = a.kind WHERE r.etype IS NULL""",
-    "commit_v2_ids": "SELECT key, count(DISTINCT payload) AS payloads FROM log WHERE op = 'node.add' GROUP BY key HAVING count(DISTINCT payload) > 1",
-    "commit_v3_provenance": "SELECT e.edge_id FROM edge e LEFT JOIN assertion a ON a.turn_id = e.src AND a.ix < 6 WHERE a.span_id IS NULL",
-    "commit_v4_eligibility": """
-SELECT a.assertion_id, a.eligibility, count(*) AS edges FROM edge e JOIN assertion a ON a.turn_id = e.src
-WHERE a.eligibility <> 'eligible' GROUP BY a.assertion_id, a.eligibility""",
-    # an invalidation of an edge that no earlier operation added
-    "commit_v5_intervals": """
-SELECT key, seq FROM (SELECT key, seq, op, min(CASE WHEN op = 'edge.add' THEN seq END) OVER (PARTITION BY key) AS created FROM log) l
-WHERE op = 'edge.invalidate' AND (created IS NULL OR seq <= created)""",
-    "commit_v6_duplicates": """
-SELECT key, seq FROM (SELECT key, seq, op, lag(op) OVER (PARTITION BY key ORDER BY seq) AS was FROM log WHERE op IN ('edge.add', 'edge.invalidate')) l
-WHERE op = 'edge.add' AND was = 'edge.add'""",
-    "commit_v7_successor": """
-SELECT i.key, i.seq FROM log i LEFT JOIN (SELECT key, max(seq) AS last_add FROM log WHERE op = 'edge.add' GROUP BY key) a ON a.key = i.key
-WHERE i.op = 'edge.invalidate' AND (a.last_add IS NULL OR a.last_add < i.seq)""",
     "supersede_invalidations": """
 SELECT e.edge_id, n.ts AS t_invalid, n.turn_id AS superseded_by FROM edge e JOIN (
   SELECT turn_id, lead(turn_id) OVER (PARTITION BY conv_id, speaker ORDER BY ix) AS by_turn FROM turn) s ON s.turn_id = e.src
@@ -83,11 +45,6 @@ SELECT s.set_id, n.n_nationkey AS atom FROM s JOIN nation n ON s.n < 16 AND (s.m
 WITH s AS (SELECT set_id, CAST(sum(@shl(atom)) AS BIGINT) AS mask, count(*) AS n FROM atom GROUP BY set_id),
 a AS (SELECT s.set_id, count(*) AS adds FROM s JOIN nation n ON s.n < 16 AND (s.mask & @shl(n.n_nationkey)) = 0 AND (@shl(n.n_regionkey) & ~s.mask) = 0 GROUP BY s.set_id)
 SELECT s.set_id, s.n BETWEEN 1 AND 16 AS may_stop, s.n > 16 AND a.adds IS NULL AS dead_end FROM s LEFT JOIN a ON a.set_id = s.set_id""",
-    "ref_closure": """
-WITH RECURSIVE walk(root, node, hops) AS (
-  SELECT n_nationkey AS root, n_nationkey AS node, 0 AS hops FROM nation
-  UNION ALL SELECT w.root, n.n_regionkey AS node, w.hops + 1 FROM walk w JOIN nation n ON n.n_nationkey = w.node AND n.n_regionkey < w.node WHERE w.hops < 30)
-SELECT DISTINCT root, node FROM walk""",
     "dedup_sets": """
 SELECT members, count(*) AS copies, min(set_id) AS first_set FROM (SELECT set_id, @saggby(CAST(atom AS STRING), ',', atom) AS members FROM atom GROUP BY set_id) s GROUP BY members""",
     # the mean distance over all pairs of sets; pairs without a common atom have distance 1 and are counted, not made

@@ -61,9 +61,6 @@ SELECT d.doc_id AS item_id, d.source AS group_id, CAST((d.n_chars * 37 + d.doc_i
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "vec": """
 SELECT vec_id, embedding, label, sqrt(@dot(embedding, embedding)) AS norm FROM embeddings""",
-    "dense": """
-SELECT q.vec_id AS question_id, v.vec_id AS node_id, round(@dot(q.embedding, v.embedding) / (q.norm * v.norm), 6) AS score
-FROM vec q JOIN vec v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND q.norm > 0 AND v.norm > 0""",
     "atom": """
 SELECT a.item_id AS set_id, b.n_nationkey AS atom, b.n_regionkey AS ref, CAST(b.n_nationkey % 7 AS DOUBLE) / 6 AS tier
 FROM benchmark a JOIN nation b ON (a.item_id * 13 + b.n_nationkey * b.n_nationkey + b.n_nationkey * 7) % 11 < 4""",

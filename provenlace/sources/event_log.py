@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from provenlace.storage import cut
+
 LINE = "seq BIGINT, ts STRING, schema_version STRING, op STRING, payload STRING"
 #: Rows of a segment, the folder that a replay up to some position can skip.
 SEGMENT = 1_000_000
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="provenlace-"))
-    return df.checkpoint(eager=True)
-
-
 def numbered(df: DataFrame, order: list[str], out: str, start: int = 0) -> DataFrame:
     """df with a gapless number from ``start`` in ``order``, without one task holding all rows.
 
     Rows are dealt by ranges of the order and numbered inside each task; the tasks' row counts, one
     row each, are summed up to offsets.
     """
-    local = _cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    local = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
     placed = local.withColumn("__task", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
     before = W.orderBy("__task").rowsBetween(W.unboundedPreceding, -1)
     counts = placed.groupBy("__task").agg(F.count(F.lit(1)).alias("__n"))
@@ -56,7 +49,7 @@ def append(events: DataFrame, folder: str, order: list[str], start: int) -> int:
     of the log. A null or blank op stops the whole append; an empty table appends nothing.
     """
     op = F.when(F.trim(F.coalesce("op", F.lit(""))) == "", F.raise_error(F.lit("an event needs an op")).cast("string")).otherwise(F.col("op"))
-    rows = _cut(numbered(events.withColumn("op", op), order, "seq", start).select("seq", "ts", "schema_version", "op", "payload"))
+    rows = cut(numbered(events.withColumn("op", op), order, "seq", start).select("seq", "ts", "schema_version", "op", "payload"))
     n = rows.count()
     if n:
         rows.withColumn("segment", F.expr(f"seq div {SEGMENT}")).write.mode("append").partitionBy("segment").parquet(folder)
@@ -74,7 +67,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     rows = numbered(lines, ["file", "block", "row"], "no").withColumn("e", F.from_json("value", LINE))
     fine = F.coalesce((F.col("e.seq") == F.col("no")) & (F.trim("e.op") != ""), F.lit(False))
-    rows = _cut(rows.select("no", "e", fine.alias("fine")))
+    rows = cut(rows.select("no", "e", fine.alias("fine")))
     end = rows.filter(~F.col("fine")).agg(F.min("no")).first()[0]
     return (rows if end is None else rows.filter(F.col("no") < end)).select("e.*")
 

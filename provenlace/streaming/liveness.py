@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from provenlace.plans.dialect import render
 from provenlace.plans.log import PLANS
 from provenlace.plans.views import with_views
+from provenlace.storage import shared_folder
 
 
 def live_edges(log: DataFrame) -> DataFrame:
@@ -28,8 +28,7 @@ def stream_log_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # the reader watches a folder: the table itself, or the one its file lies in
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    folder = f"{conf or tempfile.mkdtemp(prefix='provenlace-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{folder}/state"
 
     def keep(batch: DataFrame, epoch: int) -> None:

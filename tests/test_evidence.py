@@ -191,3 +191,11 @@ def test_commit_checks(spark):
     assert got == want
     assert {r.code: r.findings for r in commits.tally(tables).collect()} == {c: sum(code == c for _, code, _ in want) for c in commits.CODES}
     assert commits.violations(frames(spark, COMMITS, {})).count() == 0
+
+
+def test_checks_do_not_derive_their_tables_again(spark):
+    """What the nine checks share is written once: their plan reads no file, and its exchanges are few."""
+    from provenlace import catalog
+
+    told = catalog.QUERIES["check_h_violations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" not in told and told.count("Exchange ") <= 50

@@ -137,13 +137,6 @@ def test_bootstrap_and_mcnemar():
     assert abs(statistics.mcnemar(1, 9) - 2 * 11 / 1024) < 1e-12
 
 
-def test_fuzzy_grounding():
-    text = "the quick brown fox jumps over the lazy dog while the cat sleeps"
-    assert statistics.fuzzy_ground("fox jumped over the", text)[0] in range(14, 19)
-    assert statistics.fuzzy_ground("entirely different words", text) is None
-    assert statistics.fuzzy_ground("", text) is None
-
-
 def test_poisson_resamples_spread_as_a_bootstrap_does():
     rng = np.random.default_rng(3)
     x = rng.normal(0.3, 2.0, 3000)
