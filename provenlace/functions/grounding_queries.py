@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from provenlace.functions import grounding
 from provenlace.plans.dialect import plan, render
 from provenlace.plans.views import with_views
+from provenlace.storage import cut
 
-#: A turn's fourth to ninth word as its quote: as it stands, in capitals and wider apart, with a changed character and a doubled one, or backwards.
+#: A turn's fourth to ninth word as its quote: as it stands, in capitals (A-Z) and wider apart, with a changed character and a doubled one, or backwards.
 QUOTES = """
-SELECT turn_id, conv_id, text, CASE length(text) % 4 WHEN 0 THEN base WHEN 1 THEN upper(replace(base, ' ', '  '))
+SELECT turn_id, conv_id, text, CASE length(text) % 4 WHEN 0 THEN base WHEN 1 THEN translate(replace(base, ' ', '  '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
          WHEN 2 THEN concat(substr(base, 1, 4), '#', substr(base, 6, 9), substr(base, 14)) ELSE reverse(base) END AS quote
 FROM (SELECT turn_id, conv_id, text, {} AS base FROM turn) b"""
 SPARK_QUOTES = QUOTES.format("array_join(slice(@words(text), 4, 6), ' ')")
@@ -64,7 +65,7 @@ def ground_quotes_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ground_quotes_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the fuzzy rung: the closest span of whole words of every normalised turn."""
     rows = _quotes(spark, sf_dir)
-    both = grounding.with_offsets(grounding.with_offsets(rows, "text", "n", "o"), "quote", "q", "oq")
+    both = cut(grounding.with_offsets(grounding.with_offsets(rows, "text", "n", "o"), "quote", "q", "oq"))
     found = grounding.closest_spans(both.select("row_id", F.col("n").alias("text"), F.col("q").alias("quote")))
     return found.select(F.col("row_id").alias("turn_id"), F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), F.round("score", 6).alias("score"))
 
