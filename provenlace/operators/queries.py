@@ -223,15 +223,10 @@ t AS (SELECT conv_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t F
 SELECT (SELECT count(*) FROM s) AS pools, (SELECT min(n) FROM s) AS least, (SELECT n FROM o WHERE rn = all_n // 2 + 1) AS median, (SELECT max(n) FROM s) AS most,
   (SELECT count(*) FROM t WHERE t <> '') - (SELECT count(*) FROM (SELECT DISTINCT * FROM t WHERE t <> '') d) AS equal_texts"""
 
-_soft = search.likeness
 QUERIES = {
     "pool_capped_greedy": _searched(lambda w, r: search.capped_pool(w, r, CAP)),
-    "minimise_structural": _searched(lambda w, r: search.minimised(set(w), r, {a for a in w if w[a] > 0.5})),
-    "search_greedy": _searched(lambda w, r: search.greedy(w, r, _soft(w), MOST)),
-    "search_beam": _searched(lambda w, r: search.beam(w, r, _soft(w), MOST)),
     "search_submodular": search_submodular,
     "search_tree_packing": _searched(search.tree_packing),
-    "select_by_relevance": _searched(lambda w, r: search.by_relevance(w, r, MOST)),
     "dense_cosine_topk": dense_cosine_topk,
     "minmax_flat_zero": minmax_flat_zero,
     "candidate_recall_at_k": candidate_recall_at_k,
