@@ -183,13 +183,23 @@ def by_relevance(tables: dict[str, DataFrame], features: DataFrame, relevance: s
     return h_filter(last.select("question_id", F.lit(1).alias("place"), "atoms"), tables, None, max_atoms)
 
 
+def _passing(trials: DataFrame, given: dict[str, DataFrame], max_atoms: int) -> DataFrame:
+    """trials (set_id, a trial's own, question_id, atoms) that are valid."""
+    trials = cut(trials)
+    return trials.join(invalid(trials, given, max_atoms), "set_id", "left_anti")
+
+
 def minimise(tables: dict[str, DataFrame], max_atoms: int = checks.MAX_ATOMS) -> DataFrame:
     """(set_id, atoms, removed, passes, evidence): sets (tables with sets and member) without the structural atoms that the checks can spare.
 
     Sweeps over a set's structural atoms by id leave out each whose deletion keeps the set valid, until a sweep finds none: a
-    set from which no single atom can go, not the smallest one. Evidence (nodes of types that an assertion backs) never goes. A refused
-    trial changes nothing, so all single deletions of all sets are judged at once and each round makes the sweep's next removal: rounds are as many as the
-    most removals of one set, and a set without a possible one leaves the rounds. passes counts the sweeps, the last one too.
+    set from which no single atom can go, not the smallest one. Evidence (nodes of types that an assertion backs) never goes. passes
+    counts the sweeps, the last one too.
+
+    A refused trial changes nothing, so one pass of the checks judges all single deletions of all sets. Those that pass are what the sweep removes next,
+    as far as the deletions before do not change a verdict. A second pass tells: it judges each step of that row, and the other atoms
+    at the place where the sweep meets them; the row counts up to the first surprise. So a set takes two passes for each turn of
+    the search and not for each atom, and a set that is done leaves the rounds.
     """
     tables = _once(tables)
     given = {k: v for k, v in tables.items() if k not in ("sets", "member")}
@@ -203,23 +213,29 @@ def minimise(tables: dict[str, DataFrame], max_atoms: int = checks.MAX_ATOMS) ->
     state = cut(start.select("set_id", "question_id", F.coalesce("atoms", none).alias("atoms"), F.coalesce("evidence", none).alias("evidence"),
                              F.lit(0).alias("removed"), F.lit(0).alias("sweeps"), F.lit(None).cast("string").alias("at")))
     done = []
-    while True:
-        trials = state.select("set_id", "question_id", "atoms", F.explode(F.array_except("atoms", "evidence")).alias("less"))
-        trials = cut(trials.select(F.col("set_id").alias("of"), "question_id", "less", F.array_remove("atoms", F.col("less")).alias("atoms"), _set_id("set_id", "less").alias("set_id")))
-        if trials.isEmpty():
-            done.append(state)
-            break
-        good = trials.join(invalid(trials, given, max_atoms), "set_id", "left_anti").select(F.col("of").alias("set_id"), "less")
-        here = good.join(state.select("set_id", "at"), "set_id")
-        # the next one behind the last removal, or the first of the next sweep
-        turn = F.struct((F.col("at").isNull() | (F.col("less") < F.col("at"))).alias("again"), "less")
-        step = here.groupBy("set_id").agg(F.min(turn).alias("go"))
-        both = cut(state.join(step, "set_id", "left"))
-        done.append(both.filter("go IS NULL").drop("go"))
-        state = both.filter("go IS NOT NULL").select(
-            "set_id", "question_id", F.array_remove("atoms", F.col("go.less")).alias("atoms"), "evidence", (F.col("removed") + 1).alias("removed"),
-            (F.col("sweeps") + F.col("go.again").cast("int")).alias("sweeps"), F.col("go.less").alias("at"),
-        )
-        if state.isEmpty():
-            break
+    while not state.isEmpty():
+        less = state.select("set_id", "question_id", "atoms", F.explode(F.array_except("atoms", "evidence")).alias("less"))
+        trials = less.select(F.col("set_id").alias("of"), "question_id", "less", F.array_remove("atoms", F.col("less")).alias("atoms"), _set_id("set_id", "less").alias("set_id"))
+        able = _passing(trials, given, max_atoms).groupBy(F.col("of").alias("set_id")).agg(F.array_sort(F.collect_list("less")).alias("able"))
+        # what the sweep still meets, or all of it in the next sweep
+        ahead = F.filter("able", lambda x: x > F.col("at"))
+        ahead = F.when(F.col("at").isNotNull() & (F.size(ahead) > 0), ahead)
+        both = cut(state.join(able, "set_id", "left").withColumn("row", F.coalesce(ahead, "able")).withColumn("again", ahead.isNull()).drop("able"))
+        done.append(both.filter("row IS NULL").select(*state.columns))
+        both = both.filter("row IS NOT NULL")
+        # n: how many of the row went before
+        steps = F.transform(F.sequence(F.lit(1), F.size("row")), lambda n: F.struct(n.alias("n"), F.lit(None).cast("string").alias("other")))
+        others = F.transform(F.array_except(F.array_except("atoms", "evidence"), "row"), lambda c: F.struct(F.size(F.filter("row", lambda x: x < c)).alias("n"), c.alias("other")))
+        tried = both.filter(F.size("row") > 1).select("set_id", "question_id", "atoms", "row", F.explode(F.concat(steps, others)).alias("t")).filter("t.n > 0")
+        rest = F.array_except(F.array_except("atoms", F.slice("row", F.lit(1), F.col("t.n"))), F.array(F.col("t.other")))
+        tried = cut(tried.select(F.col("set_id").alias("of"), "question_id", "t", rest.alias("atoms"), _set_id("set_id", "t").alias("set_id")))
+        failed = tried.join(_passing(tried, given, max_atoms).select("set_id", F.lit(True).alias("ok")), "set_id", "left")
+        refused = F.when(F.col("t.other").isNull() & F.col("ok").isNull(), F.col("t.n") - 1)
+        freed = F.when(F.col("t.other").isNotNull() & F.col("ok"), F.col("t.n"))
+        upto = failed.groupBy(F.col("of").alias("set_id")).agg(F.least(F.min(refused), F.min(freed)).alias("upto"))
+        taken = F.coalesce(F.least("upto", F.size("row")), F.size("row"))
+        state = cut(both.join(upto, "set_id", "left").withColumn("taken", taken).select(
+            "set_id", "question_id", F.array_except("atoms", F.slice("row", F.lit(1), F.col("taken"))).alias("atoms"), "evidence", (F.col("removed") + F.col("taken")).alias("removed"),
+            (F.col("sweeps") + F.col("again").cast("int")).alias("sweeps"), F.element_at("row", F.col("taken")).alias("at")))
+    done.append(state)
     return reduce(DataFrame.unionByName, done).select("set_id", "atoms", "removed", (F.col("sweeps") + 1).alias("passes"), F.size("evidence").alias("evidence"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provenlace.evidence import checks, portfolio
 from provenlace.evidence.queries import H_SQL, H_TABLES, TABLES, _oracle, derived
+from provenlace.storage import cut
 
 #: Each atom's worth and speaker: what an assertion entails, a little for what ties assertions together.
 WORTH = {
@@ -16,6 +17,14 @@ UNION ALL SELECT conv_id, concat('e/', edge_id), CAST(3 AS DOUBLE) / 10, CAST(NU
 UNION ALL SELECT conv_id, concat('b/', turn_id), CAST(1 AS DOUBLE) / 2, CAST(NULL AS STRING) FROM turn WHERE ix < 2""",
 }
 GIVEN = TABLES | WORTH
+#: Sets to be minimised: the first turns' atoms that a valid set may hold, with some of their edges and what these lead to.
+WHOLE = TABLES | {
+    "member": """
+SELECT a.conv_id AS set_id, concat('a/', a.turn_id) AS atom_id FROM assertion a WHERE a.eligibility = 'eligible' AND a.ix < 4
+UNION ALL SELECT e.conv_id, concat('e/', e.edge_id) FROM edge e JOIN assertion a ON a.turn_id = e.src WHERE a.eligibility = 'eligible' AND a.ix < 4 AND length(e.dst) % 3 = 0
+UNION ALL SELECT DISTINCT e.conv_id, concat('x/', e.dst) FROM edge e JOIN assertion a ON a.turn_id = e.src WHERE a.eligibility = 'eligible' AND a.ix < 4 AND length(e.dst) % 3 = 0
+UNION ALL SELECT a.conv_id, concat('b/', a.turn_id) FROM assertion a WHERE a.eligibility = 'eligible' AND a.ix < 1""",
+}
 SAME, SIZE = 0.2, 0.05
 
 
@@ -48,7 +57,10 @@ def select_by_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minimise_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.minimise(derived(spark, sf_dir, H_TABLES)).select("set_id", _listed("atoms"), "removed", "passes", "evidence")
+    tables = derived(spark, sf_dir, H_TABLES, WHOLE)
+    fit = portfolio.pool(tables, tables["atom"].select("question_id", "atom_id"), 1000).select(F.col("question_id").alias("set_id"), "atom.atom_id")
+    tables["member"] = cut(tables["member"].join(cut(fit), ["set_id", "atom_id"], "left_semi"))
+    return portfolio.minimise(tables, 1000).select("set_id", _listed("atoms"), "removed", "passes", "evidence")
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
