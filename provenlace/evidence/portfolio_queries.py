@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenlace.evidence import checks, portfolio
+from provenlace.evidence import checks, diversity, portfolio
 from provenlace.evidence.queries import H_SQL, H_TABLES, TABLES, _oracle, derived
+from provenlace.plans.dialect import plan, render
+from provenlace.plans.views import with_views
 from provenlace.storage import cut
 
 #: Each atom's worth and speaker: what an assertion entails, a little for what ties assertions together.
@@ -79,7 +81,29 @@ def set_filter_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.rejections(_judged(spark, sf_dir))
 
 
+def portfolio_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's turns as sets of words, within the words of the conversation."""
+    words = cut(plan("SELECT conv_id AS question_id, ix AS place, tok FROM turn_token")[0](spark, sf_dir))
+    sets = words.groupBy("question_id", "place").agg(F.collect_list("tok").alias("atoms"))
+    found = diversity.diversity(sets, words.groupBy("question_id").agg(F.countDistinct("tok").alias("atoms")))
+    return found.select("question_id", "sets", *[F.round(c, 6).alias(c) for c in ("observed", "chance", "excess")])
+
+
+DIVERSITY_SQL = """
+WITH w AS (SELECT DISTINCT conv_id AS question_id, ix AS place, tok FROM turn_token), n AS (SELECT question_id, place, count(*) AS n FROM w GROUP BY question_id, place),
+u AS (SELECT question_id, count(DISTINCT tok) AS u FROM w GROUP BY question_id),
+p AS (SELECT a.question_id, a.place AS x, b.place AS y, a.n AS a, b.n AS b, u, (SELECT count(*) FROM w v JOIN w z ON z.question_id = v.question_id AND z.tok = v.tok WHERE v.question_id = a.question_id
+        AND v.place = a.place AND z.place = b.place) AS k FROM n a JOIN n b ON b.question_id = a.question_id AND a.place < b.place JOIN u ON u.question_id = a.question_id),
+s AS (SELECT DISTINCT a, b, u FROM p),
+h AS (SELECT a, b, u, k, exp(lgamma(a + 1) - lgamma(k + 1) - lgamma(a - k + 1) + lgamma(u - a + 1) - lgamma(b - k + 1) - lgamma(u - a - b + k + 1) - lgamma(u + 1) + lgamma(b + 1) + lgamma(u - b + 1)) AS mass
+      FROM s, generate_series(greatest(0, a + b - u), least(a, b)) g(k)),
+e AS (SELECT a, b, u, sum(mass * (1 - k / CAST(a + b - k AS DOUBLE))) AS e FROM h GROUP BY a, b, u),
+d AS (SELECT question_id, avg(1 - k / CAST(p.a + p.b - k AS DOUBLE)) AS observed, avg(e.e) AS chance FROM p JOIN e ON e.a = p.a AND e.b = p.b AND e.u = p.u GROUP BY question_id)
+SELECT n.question_id, count(*) AS sets, round(coalesce(max(observed), 0.0), 6) AS observed, round(coalesce(max(chance), 0.0), 6) AS chance, round(coalesce(max(observed) - max(chance), 0.0), 6) AS excess
+FROM n LEFT JOIN d ON d.question_id = n.question_id GROUP BY n.question_id"""
+
 QUERIES = {
+    "portfolio_diversity": portfolio_diversity,
     "search_beam": search_beam,
     "search_greedy": search_greedy,
     "select_by_relevance": select_by_relevance,
@@ -88,6 +112,7 @@ QUERIES = {
     "set_filter_rejections": set_filter_rejections,
 }
 ORACLE = {
+    "portfolio_diversity": render(with_views(DIVERSITY_SQL, (), plain=True), False),
     "set_filter_verdicts": _oracle(
         H_SQL + "SELECT m.set_id AS question_id, p.place, true AS checked, count(d.code) = 0 AS valid, coalesce(string_agg(DISTINCT d.code, ' ' ORDER BY d.code), '') AS codes "
         "FROM (SELECT DISTINCT set_id FROM g_member) m CROSS JOIN (VALUES (1), (2)) p(place) LEFT JOIN d ON d.set_id = m.set_id GROUP BY m.set_id, p.place", H_TABLES),
