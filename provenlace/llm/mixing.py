@@ -13,8 +13,8 @@ from provenlace.llm.common import bucket_count, cut, fresh, table
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Output shards whose draws are summed together.
 STRETCH = 4096
-#: Primes just under 2^31: multipliers of the index permutations, coprime to any smaller block count.
-MULTIPLIERS = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
+#: Rounds of the index permutations.
+ROUNDS = 16
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,20 @@ def _uniform(*cols: str | Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
+def permuted(place: Column, key: Column, n: Column) -> Column:
+    """place's image under a permutation of 0 to n - 1 that key chooses, by a swap-or-not shuffle.
+
+    Each round pairs every place with its mirror image about a point drawn from the key and, by a hash of the larger of the two, swaps both
+    or neither. So each round is a permutation whatever n is.
+    """
+
+    def swap(x: Column, i: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(key, i), n) - x, n)
+        return F.when(F.pmod(F.xxhash64(key, i, F.greatest(x, other)), F.lit(2)) == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), place.cast("long"), swap)
+
+
 def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     """Add rank, weight and target to (sk, source, source_size): one row per source.
 
@@ -119,9 +133,10 @@ def draw_blocks(targets: DataFrame, mix: Mix) -> DataFrame:
     )
     slots = spans.filter("hi > lo").withColumn("i", F.explode(F.sequence("lo", F.col("hi") - 1)))
     turn, place = F.floor(F.col("i") / F.col("nb")), F.col("i") % F.col("nb")
-    times = F.element_at(F.array(*map(F.lit, MULTIPLIERS)), (F.pmod(F.xxhash64(F.lit(mix.seed), "sk", turn), F.lit(len(MULTIPLIERS))) + 1).cast("int"))
-    shift = F.pmod(F.xxhash64(F.lit(mix.seed + 1), "sk", turn), F.col("nb"))
-    return slots.select("sk", "shard", ((place * times + shift) % F.col("nb")).alias("block"))
+    # one key and count for all places of a pass
+    key = F.xxhash64(F.lit(mix.seed), "sk", turn)
+    slots = slots.select("sk", "shard", "nb", place.alias("place"), key.alias("key"))
+    return slots.select("sk", "shard", permuted(F.col("place"), F.col("key"), F.col("nb")).alias("block"))
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

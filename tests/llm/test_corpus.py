@@ -231,6 +231,20 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_index_permutations(spark):
+    """Every key gives a permutation, different keys different ones, and none keeps blocks in order, whatever their number."""
+    sizes = [1, 2, 3, 341, 1000]
+    rows = spark.createDataFrame([(n, key, i) for n in sizes for key in range(6) for i in range(n)], "n long, key long, i long")
+    got = rows.select("n", "key", "i", mixing.permuted(F.col("i"), F.col("key"), F.col("n")).alias("to")).toPandas().sort_values(["n", "key", "i"])
+    for n, of_size in got.groupby("n"):
+        images = [tuple(part["to"]) for _, part in of_size.groupby("key")]
+        assert all(sorted(p) == list(range(n)) for p in images)
+        if n > 100:
+            assert len(set(images)) == 6
+            # neighbours stay neighbours, and places stay, about as seldom as by chance
+            assert all(sum(abs(a - b) == 1 for a, b in zip(p, p[1:], strict=False)) < 12 and sum(a == i for i, a in enumerate(p)) < 12 for p in images)
+
+
 def test_mixing_laws(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = mixing.mix_sources(docs, mixing.Mix(block_words=16)).toPandas()
