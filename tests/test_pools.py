@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,26 @@ def test_class_mapping_and_pool_sizes(spark):
     atoms = spark.createDataFrame([("p", 1, "A  b"), ("p", 2, "a b"), ("q", 3, ""), ("q", 4, ""), ("q", 5, None), ("r", 6, "a b")], "question_id string, atom_id int, text string")
     assert tuple(pooling.pool_sizes(atoms).first()) == (3, 1, 2, 3, 1)
     assert tuple(pooling.pool_sizes(atoms.limit(0)).first()) == (0, None, None, None, 0)
+
+
+def test_scaled_cosines_hold_every_pair_and_few_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 4))
+    v[20] = 0
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(60)], "vec_id long, embedding array<double>")
+    got = {(r["question_id"], r["node_id"]): r["s"] for r in vectors.cosine_scaled(df.filter("vec_id % 10 = 0"), df, query_block=3, row_block=16).collect()}
+    unit = np.delete(v, 20, 0) / np.linalg.norm(np.delete(v, 20, 0), axis=1)[:, None]
+    ids = [i for i in range(60) if i != 20]
+    want = {}
+    for q in (0, 10, 30, 40, 50):
+        cosines = {i: round(float(unit[ids.index(q)] @ unit[ids.index(i)]), 6) for i in ids if i != q}
+        lo, hi = min(cosines.values()), max(cosines.values())
+        want |= {(q, i): (c - lo) / (hi - lo) for i, c in cosines.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    flat = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(3)], "vec_id long, embedding array<double>")
+    assert {r["s"] for r in vectors.cosine_scaled(flat, flat).collect()} == {0.0}
+    assert vectors.cosine_scaled(df.limit(0), df).count() == 0
+    # a task works through its block in parts
+    monkeypatch.setattr(vectors, "HELD", 100)
+    held = [out.size for _, out in vectors._scored(pd.DataFrame({"id": range(30), "v": list(v[30:])}), pd.DataFrame({"id": range(20), "v": list(v[:20])}))]
+    assert sum(held) == 600 and max(held) <= 100
