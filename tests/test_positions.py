@@ -135,3 +135,25 @@ def test_best_pairs_are_the_best_of_all(spark, k):
     got = {(r.question_id, r["rank"]): (r.a, r.b, r.cross_session, round(r.overlap, 9)) for r in pairs.best_pairs(df, k).collect()}
     assert got == want
     assert pairs.best_pairs(df.limit(0)).count() == 0
+
+
+def test_references_meet_once_and_make_no_pairs(spark):
+    """A chain of 4,000 references has eight million pairs; levels, cycles and problems make none of them."""
+    n = 4000
+    atom = spark.createDataFrame([("q", f"{i:05}") for i in range(n)], "question_id string, atom_id string")
+    ref = spark.createDataFrame([("q", f"{i:05}", f"{i - 1:05}") for i in range(1, n)] + [("q", "00000", "nowhere")], REF)
+    made = references.levels(atom, ref)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {int(r.atom_id): r.level for r in made.collect()} == {i: i for i in range(n)}
+    assert references.cycles(ref).count() == 0
+    assert [tuple(r) for r in references.problems(atom, ref, n).collect()] == [("q", "missing", "00000", "nowhere")]
+    ring = ref.replace("nowhere", f"{n - 1:05}", "ref")
+    assert references.cycles(ring).filter("cycle_id = '00000'").count() == n
+    assert references.levels(atom, ring).filter("level IS NULL").count() == n
+
+
+def test_problems_of_null_ids(spark):
+    atom = spark.createDataFrame([("q", "a"), ("q", None), (None, "a")], "question_id string, atom_id string")
+    ref = spark.createDataFrame([("q", "a", None), (None, "a", "a"), ("q", None, "a")], REF)
+    found = {tuple(r) for r in references.problems(atom, ref, 1).collect()}
+    assert found == {("q", "missing", "a", None), (None, "missing", "a", "a"), ("q", "over_cap", None, "2")}
