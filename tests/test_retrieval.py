@@ -65,3 +65,8 @@ def test_assembled_pools_equal_one_by_one(spark):
         assert set(mine[mine["kind"] == "node"]["target"]) == pool
         assert sorted(mine[mine["kind"] == "edge"]["target"]) == sorted(i for n in pool for _, d, i in out_edges.get(n, []) if d in pool)
         assert {t: s for t, s in zip(mine["target"], mine["score"], strict=True) if s == s} == {n: s for n, s in score.items() if n in pool}
+
+
+def test_derived_tables_are_not_broadcast(spark):
+    made = pool_queries.retrieval_assemble(spark, SF)
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
