@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenlace.llm.common import fresh, table
+from provenlace.llm.common import cut, fresh, table
+from provenlace.operators.selection import at_ranks
 
 #: Kinds of characters: 0 blank, 1 line end, 2 lower-case letter, 3 upper-case letter, 4 other letter, 5 digit,
 #: 6 other character, 7 and up one for each ASCII mark.
@@ -22,6 +25,9 @@ HELD = 1 << 20
 WINDOW = 64
 SURFACE = 10
 FEATURES = SURFACE + KINDS + WIDTH
+#: Labelled texts that a task learns from together, and how few of the rarer label are not enough for that.
+PART_ROWS, PART_RARE = 6000, 500
+SLOPES = np.geomspace(1, 100, 41)
 
 
 def held_out(id_col: Column) -> Column:
@@ -128,71 +134,102 @@ def quantile_cut(raw: np.ndarray, weight: np.ndarray, share: float) -> float:
     return float((raw[order[i]] + raw[order[i + 1]]) / 2)
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pairs: int = 40_000, folds: int = 2) -> Model:
-    """Weights from all pairs; the cut and the slope from scores under weights that were learned without the scored text."""
-    if not 0 < y.sum() < len(y) or min(y.sum(), len(y) - y.sum()) < 2 * folds:
-        # one label only, or nearly: nothing to prefer by
-        return Model(np.zeros(FEATURES), cut=-1.0 if y.sum() * 2 >= len(y) else 1.0)
+def fit(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, folds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """A part's weights, of unit spread between its deciles, and the loss of each of SLOPES over scores under weights that were learned without the scored text."""
     weights = bradley_terry(x, *preference_pairs(y, pairs))
     fold = np.zeros(len(y), int)
     for label in (0, 1):
         at = np.flatnonzero(y == label)
         fold[at] = np.arange(len(at)) % folds
     raw = np.zeros(len(y))
-    share = float(weight[y == 0].sum() / weight.sum())
+    share = float((y == 0).mean())
     for f in range(folds):
         learn = np.flatnonzero(fold != f)
         w = bradley_terry(x[learn], *preference_pairs(y[learn], pairs // folds))
         held = fold == f
         r = x[held] @ w
-        cut = quantile_cut(r, weight[held], share)
-        raw[held] = (r - cut) / (np.quantile(r, 0.9) - np.quantile(r, 0.1) + 1e-9)
-    slope = _slope(raw, y, weight)
-    own = x @ weights
-    return Model(weights, quantile_cut(own, weight, share), slope / (np.quantile(own, 0.9) - np.quantile(own, 0.1) + 1e-9))
+        raw[held] = (r - quantile_cut(r, np.ones(len(r)), share)) / _spread(r)
+    return weights / _spread(x @ weights), _losses(raw, y)
+
 
+def _spread(r: np.ndarray) -> float:
+    return float(np.quantile(r, 0.9) - np.quantile(r, 0.1) + 1e-9)
 
-def _slope(x: np.ndarray, y: np.ndarray, weight: np.ndarray, at: float = 0.3) -> float:
-    """Of slopes from 1 to 100, the one whose scores have the least logistic loss."""
+
+def _losses(x: np.ndarray, y: np.ndarray, at: float = 0.3) -> np.ndarray:
+    """The logistic loss of the scores under each slope."""
     sign = np.where(y > 0, 1.0, -1.0)
-    loss = [float(weight @ np.logaddexp(0, -sign * (s * x + np.log(at / (1 - at))))) for s in np.geomspace(1, 100, 41)]
-    return float(np.geomspace(1, 100, 41)[int(np.argmin(loss))])
+    return np.array([np.logaddexp(0, -sign * (s * x + np.log(at / (1 - at)))).sum() for s in SLOPES])
 
 
 def train(
     docs: DataFrame,
     labels: DataFrame,
-    rows_per_class: int = 3000,
+    part_rows: int = PART_ROWS,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
 ) -> Model:
-    """Learn from about ``rows_per_class`` labelled rows a class, the documented bound of the sample, drawn by a hash of the id.
+    """Learn from every labelled row that is not held out.
+
+    The labelled texts are dealt into parts of about ``part_rows`` by a hash of the text, and each part's preference pairs take in all of its texts. The
+    weights are the mean of the parts' weights, each of unit spread; the slope is that of the least loss over all parts; the cut is the exact quantile of
+    all labelled texts' scores. Where a label is so rare that a part would hold under PART_RARE of its texts, each of them goes to several parts.
+    So a task holds one part (about 9 kB a text), and 9 kB a part reach the driver.
 
-    Held-out rows are never drawn. Copies of a text count once. A row's features are about 1,100 numbers, so 26 MB reach the
-    driver at most. Labels whose id or value is null are left out; an id with both labels gives a row of each; without
-    labels of both kinds all texts score alike.
+    Copies of a text, which are those of equal SHA-256, count once. Labels whose id or value is null are left out; an id with both labels gives a row of each;
+    without labels of both kinds all texts score alike.
     """
     d, i, y = fresh("d"), fresh("i"), "y"
     label = labels.select(F.col(id_col).alias(i), F.col(label_col).cast("int").alias(y)).filter(F.col(i).isNotNull() & F.col(y).isin(0, 1) & ~held_out(F.col(i))).distinct()
-    counts = {r[y]: r["n"] for r in label.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = {k: min(1.0, rows_per_class / max(1, counts.get(k, 0))) for k in (0, 1)}
-    draw = F.pmod(F.xxhash64(F.lit(13), i), F.lit(1_000_000))
-    # the drawn labels are bounded by rows_per_class, so they go to the texts and no text is shuffled to find them
-    drawn = F.broadcast(label.filter(F.when(F.col(y) == 1, draw < int(1_000_000 * share[1])).otherwise(draw < int(1_000_000 * share[0]))))
-    sample = docs.select(F.col(id_col).alias(d), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(drawn, F.col(d) == F.col(i)).select("t", y)
-    texts = sample.groupBy("t").agg(F.max(y).alias(y))
+    kept = docs.filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias(d), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for b in batches:
-            found = [features.of(t.as_py()).tobytes() for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.binary())], ["y", "x"])
+            # most trigrams are in no text, so a packed vector takes a few hundred bytes and goes to the labels in place of its text
+            own = [zlib.compress(features.of(t.as_py()).tobytes(), 1) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own, pa.binary())], [d, "t", "x"])
+
+    packed = kept.select(d, "t", F.unhex(F.sha2("t", 256)).alias("h")).mapInArrow(vectors, f"{d} {docs.schema[id_col].dataType.simpleString()}, t binary, x binary")
+    found = packed.join(label.hint("merge"), F.col(d) == F.col(i))
+    rows = cut(found.groupBy("t").agg(F.max(y).alias(y), F.any_value("x").alias("x")).select(y, F.xxhash64("t").alias("h"), "x"))
+    counts = {r[y]: r["n"] for r in rows.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
+    bad, good = counts.get(0, 0), counts.get(1, 0)
+    if min(bad, good) < 4:
+        # one label only, or nearly: nothing to prefer by
+        return Model(np.zeros(FEATURES), cut=-1.0 if good >= bad else 1.0)
+    parts = -(-(bad + good) // part_rows)
+    times = F.when(F.col(y) == int(good < bad), min(parts, -(-parts * PART_RARE // min(bad, good)))).otherwise(1)
+    dealt = rows.withColumn("part", F.explode(F.sequence(F.lit(0), times - 1))).withColumn("part", F.pmod(F.pmod("h", F.lit(parts)) + F.col("part"), F.lit(parts)))
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = sorted(zip(pdf["y"].tolist(), map(bytes, pdf["x"]), strict=True))
+        labelled = np.array([v for v, _ in own], int)
+        if min(labelled.sum(), len(own) - labelled.sum()) < 4:
+            return pd.DataFrame({"w": [], "loss": []})
+        weights, loss = fit(np.stack([_unpacked(v) for _, v in own]), labelled)
+        return pd.DataFrame({"w": [weights.tobytes()], "loss": [loss.tolist()]})
+
+    learned = sorted((bytes(r["w"]), r["loss"]) for r in dealt.groupBy("part").applyInPandas(learn, "w binary, loss array<double>").collect())
+    weights = np.mean([np.frombuffer(w) for w, _ in learned], axis=0)
+    slope = float(SLOPES[int(np.argmin(np.sum([loss for _, loss in learned], axis=0)))])
+
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([float(_unpacked(v.as_py()) @ weights) for v in b.column(0)], pa.float64())], ["own"])
+
+    own = rows.select("x").mapInArrow(raw, "own double").withColumn("g", F.lit(0))
+    most = bad + good - 1
+    at = {"low": int(0.1 * most), "high": int(0.9 * most), "last": min(bad - 1, most - 1), "next": min(bad, most)}
+    ranks = docs.sparkSession.createDataFrame([(0, r) for r in sorted({*at.values()})], "g int, rank long")
+    value = {r["rank"]: r["own"] for r in at_ranks(own, ranks, "g", "own").collect()}
+    middle = (value[at["last"]] + value[at["next"]]) / 2
+    return Model(weights, middle, slope / (value[at["high"]] - value[at["low"]] + 1e-9))
+
 
-    rows = sorted((r["y"], bytes(r["x"])) for r in texts.mapInArrow(vectors, "y int, x binary").collect())
-    x = np.stack([np.frombuffer(v, np.float32) for _, v in rows]) if rows else np.zeros((0, FEATURES), np.float32)
-    labelled = np.array([v for v, _ in rows], int)
-    return fit(x, labelled, np.where(labelled == 1, 1 / share[1], 1 / share[0]))
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.float32)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -263,3 +264,29 @@ def test_links_at_smaller_radius(spark, monkeypatch, radius):
         old = root[b]
         root = {k: root[a] if r == old else r for k, r in root.items()}
     assert {frozenset(k for k, r in root.items() if r == v) for v in root.values()} == linked(prints, radius)
+
+
+@pytest.mark.parametrize("rare", [300, 6])
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch, rare):
+    """Every text is in some part and in its pairs, with a rare label in several; bad rows of one kind, ever so few, change the model."""
+    monkeypatch.setattr(quality, "PART_RARE", 20)
+    rng = random.Random(9)
+    text = lambda end: " ".join(rng.choice(["tan", "mir", "sol", "ver"]) + rng.choice(["do", "ka"]) + end for _ in range(20))
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5][:1500]
+    docs = [(i, text("$$#" if n < rare else "")) for n, i in enumerate(ids)]
+    labels = [(i, int(n >= rare), 0) for n, i in enumerate(ids)]
+    seen = spark.sparkContext.accumulator(0)
+    plain = quality.fit
+
+    def fit(x, y, *more):
+        seen.add(len(y))
+        return plain(x, y, *more)
+
+    monkeypatch.setattr(quality, "fit", fit)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.train(df, spark.createDataFrame(labels, LABELS), 300)
+    parts = 5
+    times = min(parts, -(-parts * 20 // rare))
+    assert seen.value == 1500 - rare + times * rare
+    got = {r.doc_id: r.score >= 0.3 for r in quality.score(df, model).collect()}
+    assert all(got[i] == (n >= rare) for n, i in enumerate(ids))
