@@ -59,10 +59,11 @@ def select_by_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minimise_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = derived(spark, sf_dir, H_TABLES, WHOLE)
-    fit = portfolio.pool(tables, tables["atom"].select("question_id", "atom_id"), 1000).select(F.col("question_id").alias("set_id"), "atom.atom_id")
-    tables["member"] = cut(tables["member"].join(cut(fit), ["set_id", "atom_id"], "left_semi"))
-    return portfolio.minimise(tables, 1000).select("set_id", _listed("atoms"), "removed", "passes", "evidence")
+    tables = portfolio._once(derived(spark, sf_dir, H_TABLES, WHOLE))
+    told = cut(checks.facts(tables))
+    fit = portfolio.pool(tables, tables["atom"].select("question_id", "atom_id"), 1000, told).select(F.col("question_id").alias("set_id"), "atom.atom_id")
+    tables["member"] = tables["member"].join(fit, ["set_id", "atom_id"], "left_semi")
+    return portfolio.minimise(tables, 1000, told).select("set_id", _listed("atoms"), "removed", "passes", "evidence")
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,3 +166,13 @@ def test_minimise_equals_one_by_one(spark, verdicts):
     assert len(got) == len(sets)
     for i, (q, c) in enumerate(sets):
         assert got[str(i)] == plain_minimise(verdicts, q, c), (q, c)
+
+
+def test_searches_judge_sets_in_their_own_rows(spark, monkeypatch):
+    """The checks run over the pools alone, never over the sets that a search passes."""
+    tables, features, _ = setup_tables(spark, 1)
+    monkeypatch.setattr(portfolio, "invalid", None)
+    assert portfolio.beam(tables, features, score, 2, 2, 2).count() and portfolio.greedy(tables, features, score, 2, "worth", 2).count()
+    tables["sets"] = spark.createDataFrame([("s", "q")], SETS["sets"])
+    tables["member"] = spark.createDataFrame([("s", "n1"), ("s", "x1")], SETS["member"])
+    assert [tuple(r) for r in portfolio.minimise(tables, MOST).collect()] == [("s", ["n1"], 1, 2, 1)]
