@@ -192,3 +192,31 @@ def test_prepared_counts_unknown_spans(spark):
         spark.createDataFrame([("a1", "eligible"), ("a2", "quarantined")], "assertion_id string, eligibility string"), spark.createDataFrame([("s1",)], "span_id string"),
     ).collect()
     assert sorted((r.seq, r.eligible, r.unknown_spans) for r in got) == [(0, True, 0), (1, False, 2), (2, False, 0)]
+
+
+def test_state_is_read_and_written_once_a_call():
+    """A new conversation reads nothing; what changes often is written once; what a call removes is gone for the next."""
+    stored, trips = {}, []
+
+    class State:
+        def __getattr__(self, name):
+            act = {"containsKey": lambda k: k in stored, "getValue": stored.get, "updateValue": stored.__setitem__, "removeKey": stored.pop}[name]
+            return lambda *a: (trips.append(name), act(*a))[1]
+
+    held = building.Held(State())
+    held.begin(True)
+    assert not held.containsKey(("a",)) and held.getValue(("b",)) is None
+    for i in range(5):
+        held.updateValue(("a",), (str(i),))
+    held.updateValue(("b",), ("x",))
+    held.updateValue(("c",), ("y",))
+    held.removeKey(("c",))
+    assert held.getValue(("a",)) == ("4",) and not held.containsKey(("c",)) and not trips
+    held.end()
+    assert stored == {("a",): ("4",), ("b",): ("x",)} and trips == ["updateValue"] * 2
+    held.begin(False)
+    trips.clear()
+    assert held.getValue(("a",)) == held.getValue(("a",)) == ("4",) and trips == ["containsKey", "getValue"]
+    held.removeKey(("a",))
+    held.end()
+    assert stored == {("b",): ("x",)}
