@@ -13,7 +13,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
+from heapq import heapify, heappop
+from itertools import groupby
+from operator import itemgetter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from provenlace.evidence import checks, references
+from provenlace.evidence import checks
+from provenlace.evidence.references import HELD
 from provenlace.storage import cut
 
 KEY = ["question_id", "atom_id"]
@@ -140,7 +145,11 @@ def h_filter(candidates: DataFrame, tables: dict[str, DataFrame], budget: int |
     ``budget`` different sets of a question are judged: for the others checked is false, valid and codes are null. The rows that are valid
     are the portfolio with its repeats.
     """
-    tables = _once(tables)
+    return _judged(candidates, _once(tables), budget, max_atoms)
+
+
+def _judged(candidates: DataFrame, tables: dict[str, DataFrame], budget: int | None, max_atoms: int) -> DataFrame:
+    """``h_filter`` of tables that hold each atom and reference once."""
     sets = candidates.withColumn("atoms", F.array_sort(F.array_distinct("atoms"))).withColumn("set_id", _set_id("question_id", "atoms"))
     sets = cut(sets.select("question_id", "place", "set_id", "atoms"))
     once = sets.groupBy("question_id", "set_id").agg(F.min("place").alias("first"), F.any_value("atoms").alias("atoms"))
@@ -164,30 +173,62 @@ def rejections(judged: DataFrame) -> DataFrame:
 def by_relevance(tables: dict[str, DataFrame], features: DataFrame, relevance: str = "worth", max_atoms: int = checks.MAX_ATOMS) -> DataFrame:
     """One set a question, as ``h_filter`` gives it: atoms by (-relevance, number of references, id), each with all it refers to, while they fit.
 
-    What does not fit never fits later, as sets only grow. So each round finds, by one aggregation, the next atom in order that
-    fits and adds something, and there are at most ``max_atoms`` rounds however large a pool is.
+    What does not fit never fits later, as sets only grow, so one walk over a pool in order is enough. A pool's atoms, references and features meet by one shuffle on
+    the question; a task holds one pool at a time. A set holds all that its atoms refer to, so the checks get the chosen atoms with their references alone, not the pools.
     """
-    tables = _once(tables)
-    ref = tables["ref"]
-    direct = ref.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    reached = references.closure(ref)
-    fit = reached.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_atoms).select(*KEY)
-    needs = reached.join(fit, KEY, "left_anti").groupBy(*KEY).agg(F.collect_list("ref").alias("needs"))
-    none = F.array().cast("array<string>")
-    atom = tables["atom"].select(*KEY).na.drop().join(fit, KEY, "left_anti").join(direct, KEY, "left").join(needs, KEY, "left")
-    atom = atom.join(features.dropDuplicates(KEY), KEY, "left")
-    order = F.struct((-F.coalesce(F.col(relevance), F.lit(0.0))).alias("low"), F.coalesce("n", F.lit(0)).alias("refs"), "atom_id")
-    ranked = cut(atom.select("question_id", order.alias("turn"), F.array_union(F.array("atom_id"), F.coalesce("needs", none)).alias("needs")))
-    state, done = ranked.select("question_id").distinct().withColumn("atoms", none), []
-    for _ in range(max_atoms):
-        both = F.array_union("atoms", "needs")
-        fits = state.join(ranked, "question_id").withColumn("both", both).filter((F.size("both") <= max_atoms) & (F.size("both") > F.size("atoms")))
-        state = cut(fits.groupBy("question_id").agg(F.min_by("both", "turn").alias("atoms")))
-        done.append(state)
-        if state.isEmpty():
-            break
-    last = reduce(DataFrame.unionByName, done).groupBy("question_id").agg(F.max_by("atoms", F.size("atoms")).alias("atoms"))
-    return h_filter(last.select("question_id", F.lit(1).alias("place"), "atoms"), tables, None, max_atoms)
+    rows = [
+        tables["atom"].select(*KEY, F.lit("atom").alias("what"), "kind", "target", "label"), tables["ref"].select(*KEY, F.lit("ref").alias("what"), F.col("ref").alias("target")).filter("target IS NOT NULL"),
+        features.select(*KEY, F.lit("worth").alias("what"), F.col(relevance).cast("double").alias("worth")).filter("worth IS NOT NULL"),
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).na.drop(subset=KEY)
+    out = StructType([*rows.select(*KEY, "kind", "target", "label").schema]).add("pooled", "boolean").add("refs", ArrayType(StringType()))
+    columns = out.names
+
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = (row for pdf in batches for row in zip(*(pdf[c].tolist() for c in pdf.columns), strict=True))
+        put: list[tuple] = []
+        for question, told in groupby(each, itemgetter(0)):
+            put += [(question, *row) for row in _selected(told, max_atoms)]
+            if len(put) >= HELD:
+                yield pd.DataFrame(put, columns=columns)
+                put = []
+        if put:
+            yield pd.DataFrame(put, columns=columns)
+
+    chosen = cut(rows.repartition("question_id").sortWithinPartitions("question_id").mapInPandas(walked, out))
+    small = tables | {"atom": chosen.filter("pooled").select(*KEY, "kind", "target", "label"), "ref": chosen.select(*KEY, F.explode("refs").alias("ref"))}
+    last = chosen.groupBy("question_id").agg(F.collect_list("atom_id").alias("atoms"))
+    return _judged(last.withColumn("place", F.lit(1)), small, None, max_atoms)
+
+
+def _selected(told: Iterator[tuple], most: int) -> Iterator[tuple]:
+    """(atom_id, kind, target, label, pooled, refs) of the atoms that ``by_relevance`` chooses from a pool's rows."""
+    pool: dict = {}
+    refs: dict = {}
+    worth: dict = {}
+    for _, atom, what, kind, target, label, value in told:
+        if what == "ref":
+            refs.setdefault(atom, set()).add(target)
+        elif what == "atom":
+            pool.setdefault(atom, (kind, target, label))
+        else:
+            worth[atom] = max(worth.get(atom, value), value)
+    low = {a: -worth.get(a, 0.0) for a in pool}
+    # a worth that is no number comes last
+    queue = [(low[a] != low[a], 0.0 if low[a] != low[a] else low[a], len(refs.get(a, ())), a) for a in pool]
+    heapify(queue)
+    chosen: dict = {}
+    while queue and len(chosen) < most:
+        first = heappop(queue)[-1]
+        new, todo = dict.fromkeys([first]), [first]
+        while todo and len(new.keys() - chosen.keys()) <= most - len(chosen):
+            for r in refs.get(todo.pop(), ()):
+                if r not in new:
+                    new[r] = None
+                    todo.append(r)
+        if len(chosen | new) <= most:
+            chosen |= new
+    return ((a, *pool.get(a, (None, None, None)), a in pool, sorted(refs.get(a, ()))) for a in chosen)
 
 
 class _Chosen:

@@ -176,3 +176,12 @@ def test_searches_judge_sets_in_their_own_rows(spark, monkeypatch):
     tables["sets"] = spark.createDataFrame([("s", "q")], SETS["sets"])
     tables["member"] = spark.createDataFrame([("s", "n1"), ("s", "x1")], SETS["member"])
     assert [tuple(r) for r in portfolio.minimise(tables, MOST).collect()] == [("s", ["n1"], 1, 2, 1)]
+
+
+def test_relevance_judges_chosen_atoms_alone(spark, monkeypatch):
+    """The checks get the atoms of the chosen sets, not whole pools."""
+    tables, features, _ = setup_tables(spark, 1)
+    seen, real = [], portfolio.checks.violations
+    monkeypatch.setattr(portfolio.checks, "violations", lambda t, *more: seen.append(t["atom"].count()) or real(t, *more))
+    assert len(portfolio.by_relevance(tables, features, "worth", 1).collect()) == len(ATOMS)
+    assert seen == [len(ATOMS)]
