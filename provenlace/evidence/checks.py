@@ -25,7 +25,9 @@ def _lookup(node: DataFrame, assertion: DataFrame) -> DataFrame:
     """Nodes with their assertion's state: at, ntype, lo, hi, spoken (assertion id, where that exists), backed (a type that needs one), sound."""
     known = assertion.select("assertion_id", F.lit(True).alias("known"), (F.col("eligibility") == "eligible").alias("ok"))
     backed = F.col("ntype").isin(*BACKED)
-    return node.join(known, "assertion_id", "left").select(
+    # nodes that name no assertion, most of a graph, take no part in the join: their one null key would bring them all to one task
+    told = node.filter("assertion_id IS NOT NULL").join(known, "assertion_id", "left")
+    return told.unionByName(node.filter("assertion_id IS NULL"), allowMissingColumns=True).select(
         F.col("node_id").alias("at"), "ntype", "lo", "hi", F.when(F.col("known"), F.col("assertion_id")).alias("spoken"),
         backed.alias("backed"), F.coalesce("ok", F.lit(False)).alias("sound"),
     )
@@ -37,41 +39,46 @@ def _overlaps() -> Column:
     return begin < F.least(F.coalesce("hi", high), F.coalesce("q_hi", high))
 
 
-def _findings(t: dict[str, DataFrame], most: int, sel: DataFrame | None = None) -> dict[str, list[DataFrame]]:
-    """For each code the (set_id, atom_id) that fail it, all read from three relations that are written once.
-    evidence: those that an assertion backs; times: (set_id, atom_id, through, meets), a row for each interval that a binding's referent has.
+def _findings(t: dict[str, DataFrame], most: int, sel: DataFrame | None = None, codes: tuple[str, ...] = tuple(CODES)) -> dict[str, list[DataFrame]]:
+    """For each of the codes the (set_id, atom_id) that fail it, all read from three relations that are written once, if a code asks for them.
+    evidence: those that an assertion backs; times: (set_id, atom_id, through, meets), a row for each interval that a binding's referent has (both with H8).
 
     sel: selected atoms with what the pool says of them. basis: what an atom stands on, itself or, for a binding, its referents
     (through). place: the basis with its edge and, a row each, the nodes it touches: its own or its edge's two ends.
     """
-    key = ["question_id", "atom_id"]
+    key, hit = ["question_id", "atom_id"], ["set_id", "atom_id"]
     if sel is None:
         sel = cut(t["sets"].join(t["member"], "set_id").join(t["atom"], key, "left").select("set_id", *key, "kind", "target", "label"))
-    refs = sel.filter("kind IS NOT NULL").select("set_id", *key, "kind").join(t["ref"], key)
-    pooled = t["atom"].select("question_id", F.col("atom_id").alias("ref"), F.col("kind").alias("ref_kind"), "target", F.lit(True).alias("pooled"))
-    refs = cut(refs.join(pooled, ["question_id", "ref"], "left"))
-    bound = refs.filter("kind = 'binding'")
+    out: dict[str, list[DataFrame]] = {}
+    size = t["sets"].join(t["member"].groupBy("set_id").agg(F.countDistinct("atom_id").alias("n")), "set_id", "left")
+    out["H1"] = [size.filter((F.coalesce("n", F.lit(0)) == 0) | (F.col("n") > most)).select("set_id", F.lit(None).cast("string").alias("atom_id"))]
+    out["H5"] = [sel.filter("kind = 'binding'").groupBy("set_id", "label").agg(F.min("atom_id").alias("atom_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(*hit)]
     basis = sel.filter("kind IN ('node', 'edge')").select("set_id", *key, F.col("atom_id").alias("through"), "kind", "target", F.lit(False).alias("bound"))
-    basis = basis.unionByName(bound.filter("pooled").select("set_id", *key, F.col("ref").alias("through"), F.col("ref_kind").alias("kind"), "target", F.lit(True).alias("bound")))
+    if {"H3", "H4", "H8", "H9"} & {*codes}:
+        refs = sel.filter("kind IS NOT NULL").select("set_id", *key, "kind").join(t["ref"], key)
+        pooled = t["atom"].select("question_id", F.col("atom_id").alias("ref"), F.col("kind").alias("ref_kind"), "target", F.lit(True).alias("pooled"))
+        refs = cut(refs.join(pooled, ["question_id", "ref"], "left"))
+        bound = refs.filter("kind = 'binding'")
+        basis = basis.unionByName(bound.filter("pooled").select("set_id", *key, F.col("ref").alias("through"), F.col("ref_kind").alias("kind"), "target", F.lit(True).alias("bound")))
+        chosen = t["member"].select("set_id", F.col("atom_id").alias("ref"))
+        out["H3"] = [refs.join(chosen, ["set_id", "ref"], "left_anti").select(*hit)]
+        content = refs.groupBy(*hit).agg(F.array_sort(F.collect_list("ref")).alias("content"))
+        same = W.partitionBy("set_id", "kind", "target", "label", F.coalesce("content", F.array().cast("array<string>"))).orderBy("atom_id")
+        out["H4"] = [sel.filter("kind IS NOT NULL").join(content, hit, "left").withColumn("rn", F.row_number().over(same)).filter("rn > 1").select(*hit)]
+    if not {"H2", "H6", "H7", "H8", "H9"} & {*codes}:
+        return out
+
     edge = t["edge"].select(F.lit("edge").alias("kind"), F.col("edge_id").alias("target"), "etype", "src", "dst", "t_created", "t_invalid", "superseded_by", F.lit(True).alias("drawn"))
     touched = F.when(F.col("kind") == "node", F.array("target")).when(F.col("drawn"), F.array_distinct(F.array("src", "dst")))
     node = _lookup(t["node"], t["assertion"])
     place = cut(basis.join(edge, ["kind", "target"], "left").withColumn("at", F.explode_outer(touched)).join(node, "at", "left"))
-    own, hit = place.filter("NOT bound"), ["set_id", "atom_id"]
-    out: dict[str, list[DataFrame]] = {}
-
-    size = t["sets"].join(t["member"].groupBy("set_id").agg(F.countDistinct("atom_id").alias("n")), "set_id", "left")
-    out["H1"] = [size.filter((F.coalesce("n", F.lit(0)) == 0) | (F.col("n") > most)).select("set_id", F.lit(None).cast("string").alias("atom_id"))]
+    own = place.filter("NOT bound")
     lost = (F.col("kind") == "node") & F.col("ntype").isNull() | (F.col("kind") == "edge") & F.col("drawn").isNull()
     out["H2"] = [sel.filter("kind IS NULL").select(*hit), own.filter(lost).select(*hit)]
-    chosen = t["member"].select("set_id", F.col("atom_id").alias("ref"))
-    out["H3"] = [refs.join(chosen, ["set_id", "ref"], "left_anti").select(*hit)]
-    content = refs.groupBy(*hit).agg(F.array_sort(F.collect_list("ref")).alias("content"))
-    same = W.partitionBy("set_id", "kind", "target", "label", F.coalesce("content", F.array().cast("array<string>"))).orderBy("atom_id")
-    out["H4"] = [sel.filter("kind IS NOT NULL").join(content, hit, "left").withColumn("rn", F.row_number().over(same)).filter("rn > 1").select(*hit)]
-    out["H5"] = [sel.filter("kind = 'binding'").groupBy("set_id", "label").agg(F.min("atom_id").alias("atom_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(*hit)]
     out["H6"] = [own.filter("t_invalid IS NOT NULL").select(*hit)]
     out["H7"] = [own.filter("backed AND NOT sound").select(*hit)]
+    if not {"H8", "H9"} & {*codes}:
+        return out
 
     older = t["edge"].select(F.col("edge_id").alias("superseded_by"), F.col("t_created").alias("their_time"))
     out["H8"] = [own.filter("superseded_by IS NOT NULL").join(older, "superseded_by", "left").filter("their_time IS NULL OR their_time < t_created").select(*hit)]
@@ -90,11 +97,11 @@ def _findings(t: dict[str, DataFrame], most: int, sel: DataFrame | None = None)
     traced = ["set_id", "question_id", "atom_id", "span_id"]
     from_nodes = place.filter("kind = 'node' AND spoken IS NOT NULL AND backed").join(told, "spoken").filter("span_id IS NOT NULL").select(*traced)
     from_edges = place.filter("drawn").select("set_id", *key, F.col("target").alias("edge_id")).distinct().join(t["provenance"], "edge_id").select(*traced)
-    nowhere = F.lit(None).cast("string").alias("span_id")
-    broken = place.filter("kind = 'node' AND spoken IS NULL AND backed").select(*traced[:3], nowhere).unionByName(bound.filter("pooled IS NULL").select(*traced[:3], nowhere))
+    broken = place.filter("kind = 'node' AND spoken IS NULL AND backed").select(*traced[:3]).unionByName(bound.filter("pooled IS NULL").select(*traced[:3]))
     asked = t["scope"].select("question_id").distinct()
     places = t["span"].join(t["turn"], "turn_id").select("span_id", "conv_id")
-    out_of = from_nodes.unionByName(from_edges).unionByName(broken).join(asked, "question_id").join(places, "span_id", "left")
+    out_of = from_nodes.unionByName(from_edges).join(asked, "question_id").join(places, "span_id", "left").select(*traced[:3], "conv_id")
+    out_of = out_of.unionByName(broken.join(asked, "question_id"), allowMissingColumns=True)
     out["H9"] = [out_of.join(t["scope"], ["question_id", "conv_id"], "left_anti").select(*hit)]
     return out
 
@@ -138,9 +145,9 @@ def violations(tables: dict[str, DataFrame], max_atoms: int = MAX_ATOMS, codes:
     H4 no two atoms of equal content (all but the first), H5 no slot bound twice (its first binding), H6 no invalidated edge,
     H7 every claim, value or event beneath has an eligible assertion, H8 no supersession by an older or unknown edge, and no binding whose
     evidence's intervals all miss the constraint (no interval passes), H9 all provenance inside the question's scope (broken
-    chains fail, atoms without provenance pass). What is selected and what it stands on is written once and read by all checks; every join is by equal keys. Null ids match nothing; empty tables give no rows.
+    chains fail, atoms without provenance pass). What is selected and what it stands on is written once, as far as the codes ask for it, and read by all checks; every join is by equal keys. Null ids match nothing; empty tables give no rows.
     """
-    found = _findings(tables, max_atoms)
+    found = _findings(tables, max_atoms, codes=codes)
     parts = [part.select("set_id", F.lit(c).alias("code"), "atom_id") for c in codes for part in found[c]]
     return reduce(DataFrame.unionAll, parts).distinct()
 

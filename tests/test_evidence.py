@@ -199,3 +199,29 @@ def test_checks_do_not_derive_their_tables_again(spark):
 
     told = catalog.QUERIES["check_h_violations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Scan parquet" not in told and told.count("Exchange ") <= 50
+
+
+def test_nodes_without_assertion_stay_apart(spark):
+    """Nodes that name no assertion do not meet in one task."""
+    node = spark.createDataFrame([(f"n{i}", "Entity", None, None, None) for i in range(800)] + [("c", "Claim", "a", None, None)], SETS["node"]).repartition(4)
+    assertion = spark.createDataFrame([("a", "eligible")], SETS["assertion"])
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        parts = checks._lookup(node, assertion).rdd.glom().map(len).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert sum(parts) == 801 and max(parts) <= 400
+
+
+def test_single_checks_write_what_they_ask_for(spark, monkeypatch):
+    writes, real = [], checks.cut
+    monkeypatch.setattr(checks, "cut", lambda df: writes.append(df) or real(df))
+    tables = frames(spark, SETS, {})
+    for code, many in (("H2", 2), ("H4", 2), ("H5", 1), ("H9", 3)):
+        writes.clear()
+        checks.violations(tables, codes=(code,))
+        assert len(writes) == many, code
