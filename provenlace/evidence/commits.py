@@ -23,20 +23,21 @@ ENDPOINTS = {
 }
 NO_LOOPS = "('same_as', 'contradicts', 'supersedes')"
 BACKED = "('Claim', 'Value', 'Event')"
-RULES = ", ".join(f"('{e}', '{side}', '{t}')" for e, sides in ENDPOINTS.items() for side, types in zip(("src", "dst"), sides, strict=True) for t in types.split())
+RULES = ", ".join(f"'{e}/{side}/{t}'" for e, sides in ENDPOINTS.items() for side, types in zip(("src", "dst"), sides, strict=True) for t in types.split())
 TYPES = ", ".join(f"'{e}'" for e in ENDPOINTS)
 
 # A commit's own node goes before the snapshot's of the same id; its edges' ends are looked up in both.
 SHARED = f"""
-rule AS (SELECT * FROM VALUES {RULES} AS r(etype, side, ntype)),
 own AS (SELECT commit_id, node_id, max_by(struct(ntype, assertion_id, lo, hi), pos) AS n FROM {{new_node}} GROUP BY commit_id, node_id),
 stop AS (SELECT e.commit_id, e.edge_id, e.etype, x.side, x.node_id FROM {{new_edge}} e
          LATERAL VIEW inline(array(named_struct('side', 'src', 'node_id', e.src), named_struct('side', 'dst', 'node_id', e.dst))) x AS side, node_id),
 seen AS (SELECT s.*, coalesce(o.n.ntype, n.ntype) AS ntype, CASE WHEN o.node_id IS NULL THEN n.lo ELSE o.n.lo END AS lo, CASE WHEN o.node_id IS NULL THEN n.hi ELSE o.n.hi END AS hi
          FROM stop s LEFT JOIN own o ON o.commit_id = s.commit_id AND o.node_id = s.node_id LEFT JOIN {{node}} n ON n.node_id = s.node_id)"""
+# What V1 and V5 ask of the ends, of one pass over them.
+ENDS = f"""SELECT commit_id, code, edge_id AS id FROM seen LATERAL VIEW explode(array_compact(array(
+             CASE WHEN etype IN ({TYPES}) AND concat_ws('/', etype, side, ntype) NOT IN ({RULES}) THEN 'V1' END, CASE WHEN etype = 'valid_during' AND side = 'dst' AND hi <= lo THEN 'V5' END))) f AS code"""
 BY_CODE = {
-    "V1": f"""SELECT e.commit_id, e.edge_id AS id FROM {{new_edge}} e WHERE e.etype IS NULL OR e.etype NOT IN ({TYPES})
-              UNION ALL SELECT s.commit_id, s.edge_id FROM seen s LEFT ANTI JOIN rule r ON r.etype = s.etype AND r.side = s.side AND r.ntype = s.ntype WHERE s.etype IN ({TYPES})""",
+    "V1": f"""SELECT e.commit_id, e.edge_id AS id FROM {{new_edge}} e WHERE e.etype IS NULL OR e.etype NOT IN ({TYPES})""",
     "V2": f"""SELECT commit_id, node_id AS id FROM {{new_node}} GROUP BY commit_id, node_id HAVING count(DISTINCT struct(ntype, payload, array_sort(aliases))) > 1
               UNION ALL SELECT a.commit_id, a.node_id FROM {{new_node}} a JOIN {{node}} b ON b.node_id = a.node_id
               WHERE NOT (a.ntype <=> b.ntype AND a.payload <=> b.payload AND (array_sort(coalesce(a.aliases, array())) <=> array_sort(coalesce(b.aliases, array()))
@@ -53,8 +54,7 @@ BY_CODE = {
     "V4": f"""SELECT n.commit_id, n.node_id AS id FROM {{new_node}} n LEFT ANTI JOIN (SELECT assertion_id FROM {{assertion}} WHERE eligibility = 'eligible') a
               ON a.assertion_id = n.assertion_id WHERE n.ntype IN {BACKED}""",
     "V5": """SELECT commit_id, edge_id AS id FROM {new_edge} WHERE t_invalid <= t_created
-             UNION ALL SELECT g.commit_id, g.edge_id FROM {gone} g LEFT JOIN {edge} e ON e.edge_id = g.edge_id WHERE e.edge_id IS NULL OR g.t_invalid <= e.t_created
-             UNION ALL SELECT commit_id, edge_id FROM seen WHERE etype = 'valid_during' AND side = 'dst' AND hi <= lo""",
+             UNION ALL SELECT g.commit_id, g.edge_id FROM {gone} g LEFT JOIN {edge} e ON e.edge_id = g.edge_id WHERE e.edge_id IS NULL OR g.t_invalid <= e.t_created""",
     "V6": f"""SELECT commit_id, edge_id AS id FROM {{new_edge}} WHERE etype IN {NO_LOOPS} AND src = dst
               UNION ALL SELECT commit_id, edge_id FROM (
                 SELECT commit_id, edge_id, lag(edge_id) OVER (PARTITION BY commit_id, etype, src, dst ORDER BY pos) AS before FROM {{new_edge}} WHERE t_invalid IS NULL) d WHERE before <> edge_id
@@ -80,8 +80,11 @@ def violations(tables: dict[str, DataFrame], codes: tuple[str, ...] = tuple(CODE
     Each commit is judged against the snapshot alone, as if it came first: commits that build on each other go into later batches.
     """
     spark = tables["new_node"].sparkSession
-    parts = [f"SELECT DISTINCT commit_id, '{c}' AS code, id FROM ({BY_CODE[c]}) v" for c in codes]
-    sql = f"WITH {SHARED.replace('{{', '{').replace('}}', '}')} {' UNION ALL '.join(parts)}"
+    parts = [f"SELECT commit_id, '{c}' AS code, id FROM ({BY_CODE[c]}) v" for c in codes]
+    ends = ", ".join(f"'{c}'" for c in codes if c in ("V1", "V5"))
+    if ends:
+        parts.append(f"SELECT * FROM ({ENDS}) v WHERE code IN ({ends})")
+    sql = f"{'WITH ' + SHARED if ends else ''} SELECT DISTINCT * FROM ({' UNION ALL '.join(parts)}) u"
     return spark.sql(sql, **{k: v for k, v in tables.items() if "{" + k + "}" in sql})
 
 

@@ -225,3 +225,23 @@ def test_single_checks_write_what_they_ask_for(spark, monkeypatch):
         writes.clear()
         checks.violations(tables, codes=(code,))
         assert len(writes) == many, code
+
+
+def test_commits_beside_several_live_edges(spark):
+    """All live edges of the same type and ends have to be invalidated; an edge that stands twice in a commit is one."""
+    edge = lambda c, p, e: (c, p, e, "about_entity", "c1", "x1", "2024-02-01", None, None)
+    rows = {
+        "edge": [(e, "about_entity", "c1", "x1", "2024-01-01", None, None) for e in ("e1", "e2")],
+        "new_edge": [edge("one", 0, "h"), edge("both", 0, "h"), edge("none", 0, "h"), edge("own", 0, "e1"), edge("both", 1, "h"), edge("more", 0, "h"), edge("more", 1, "i")],
+        "gone": [(c, e, "2024-02-01", None) for c, e in (("one", "e1"), ("both", "e1"), ("both", "e2"), ("own", "e2"), ("more", "e1"), ("more", "e2"))],
+    }
+    got = {tuple(r) for r in commits.violations(frames(spark, COMMITS, rows), codes=("V6",)).collect()}
+    assert got == {("one", "V6", "h"), ("none", "V6", "h"), ("more", "V6", "i")}
+
+
+def test_commit_checks_shuffle_edges_few_times(spark):
+    """No table of the batch joins edges with turns again, and the ends of edges are looked up once for V1 and V5."""
+    from provenlace import catalog
+
+    told = catalog.QUERIES["commit_validate_violations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert told.count("Exchange ") <= 30
