@@ -22,6 +22,14 @@ def test_fusion(spark):
     assert retrieval.fuse(retrieval.scaled(hits.limit(0))).count() == 0
 
 
+def test_fusion_of_repeated_and_null_hits(spark):
+    hits = [("q", "b", "x", 4.0), ("q", "b", "x", 2.0), ("q", "b", "y", 2.0), ("q", "a", "x", 1.0), ("q", "a", "w", 0.0), ("q", "b", None, 3.0), (None, "b", "x", 3.0), ("q", None, "x", 9.0), ("q", "a", "y", None), ("q", "a", "z", None)]
+    fused = retrieval.fuse(retrieval.scaled(spark.createDataFrame(hits, HITS)))
+    assert {(r["question_id"], r["node_id"]): (r["score"], r["winner"], r["channels"]) for r in fused.collect()} == {
+        ("q", "x"): (1.0, "a", {"a": 1.0, "b": 1.0}), ("q", "y"): (0.0, "b", {"a": None, "b": 0.0}), ("q", "z"): (None, "a", {"a": None}), ("q", "w"): (0.0, "a", {"a": 0.0}),
+    }
+
+
 def test_temporal_filter_lets_pass_what_it_cannot_judge(spark):
     hits = spark.createDataFrame([(q, "b", n, 1.0) for q in "qr" for n in ("in", "out", "open", "both", "none")], HITS)
     held = spark.createDataFrame([("in", 4.0, 9.0), ("out", 6.0, 9.0), ("out", 0.0, 2.0), ("open", None, 3.0), ("both", 6.0, 9.0), ("both", 4.0, 5.0)], "node_id string, lo double, hi double")
@@ -67,6 +75,22 @@ def test_assembled_pools_equal_one_by_one(spark):
         assert {t: s for t, s in zip(mine["target"], mine["score"], strict=True) if s == s} == {n: s for n, s in score.items() if n in pool}
 
 
+def test_assembly_of_repeated_and_null_turns(spark, tmp_path):
+    """A turn that is there twice, without a number or without a text."""
+    row = "conv_id long, turn long, role string, text string"
+    turns = [(1, 0, "user", "something remarkable"), (1, 0, "user", "something remarkable indeed"), (1, None, "user", "numberless"), (1, 2, "user", None), (2, 0, "user", "another conversation"), (2, 2, "user", None), (2, 4, "user", None), (None, 0, "user", "nowhere")]
+    spark.createDataFrame(turns, row).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = pool_queries.retrieval_assemble(spark, str(tmp_path)).filter("kind = 'node' AND channels IS NOT NULL").collect()
+    assert {(r["question_id"], r["target"]) for r in got} == {("1", "n/conv/1/0"), ("1", "n/conv/1/2"), ("2", "n/conv/2/0"), ("2", "n/conv/2/2"), ("2", "n/conv/2/4")}
+    assert {r["channels"] for r in got if r["target"] == "n/conv/1/0"} == {3}
+
+
+def test_pools_are_made_once(spark):
+    """What the atoms are made of is written, so the plan after it has no grouped function and no fusion."""
+    plan = pool_queries.retrieval_assemble(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "map_from_entries" not in plan
+
+
 def test_derived_tables_are_not_broadcast(spark):
     made = pool_queries.retrieval_assemble(spark, SF)
     assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
