@@ -64,7 +64,8 @@ def pool(tables: dict[str, DataFrame], features: DataFrame, max_atoms: int = che
     chosen before them. told: ``checks.facts(tables)``, where it is there already."""
     told = checks.facts(tables) if told is None else told
     more = [c for c in features.columns if c not in KEY]
-    out = told.filter("NOT alone").filter(F.size("refs") < max_atoms).join(features.dropDuplicates(KEY), KEY, "left")
+    out = told.filter("NOT alone").filter(F.size("refs") < max_atoms)
+    out = out.join(features.dropDuplicates(KEY), KEY, "left") if more else out
     return out.select("question_id", F.struct("atom_id", *more, *[F.col(c).alias(f"{c}__") for c in BESIDE]).alias("atom"), "refs")
 
 
@@ -286,7 +287,7 @@ def minimise(tables: dict[str, DataFrame], max_atoms: int = checks.MAX_ATOMS, to
     of them, and its sweeps run there: a deletion changes counts of what it touches, so no set is judged whole again.
     """
     if told is None:
-        told = checks.facts(_once(tables))
+        told = checks.facts(tables)
     known = F.struct("atom_id", F.coalesce("alone", F.lit(True)).alias("alone"), F.coalesce("evidence", F.lit(False)).alias("evidence"), "same", "slot", F.coalesce("refs", F.array().cast("array<string>")).alias("refs"),
                      F.coalesce("meets", F.array().cast(told.schema["meets"].dataType.simpleString())).alias("meets"))
     member = tables["sets"].select("set_id", "question_id").distinct().join(tables["member"].select("set_id", "atom_id").na.drop().distinct(), "set_id", "left")

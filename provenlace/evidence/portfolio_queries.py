@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,12 @@ UNION ALL SELECT a.conv_id, concat('b/', a.turn_id) FROM assertion a WHERE a.eli
 SAME, SIZE = 0.2, 0.05
 
 
+def _dated(bodies: dict[str, str]) -> dict[str, str]:
+    """bodies that read edges with their validity from one view, so the edges meet it once and not for each use."""
+    dated = {n: b.replace("FROM edge e JOIN validity v ON v.turn_id = e.src", "FROM dated e WHERE e.timed").replace("v.hi", "e.hi") for n, b in bodies.items()}
+    return {n: re.sub(r"\b(FROM|JOIN) edge\b", r"\1 dated", b) for n, b in dated.items()}
+
+
 def utility(chosen: Column) -> Column:
     """Worths less 0.2 for each atom beyond the first of a speaker and 0.05 for every atom."""
     known = F.filter(F.transform(chosen, lambda x: x["speaker"]), lambda s: s.isNotNull())
@@ -59,8 +67,9 @@ def select_by_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minimise_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = portfolio._once(derived(spark, sf_dir, H_TABLES, WHOLE))
-    told = cut(checks.facts(tables))
+    tables = derived(spark, sf_dir, H_TABLES, _dated(WHOLE))
+    # what fails alone is in no set here, so only the rest is written
+    told = cut(checks.facts(tables).filter("NOT alone"))
     fit = portfolio.pool(tables, tables["atom"].select("question_id", "atom_id"), 1000, told).select(F.col("question_id").alias("set_id"), "atom.atom_id")
     tables["member"] = tables["member"].join(fit, ["set_id", "atom_id"], "left_semi")
     return portfolio.minimise(tables, 1000, told).select("set_id", _listed("atoms"), "removed", "passes", "evidence")

@@ -63,7 +63,7 @@ H_TABLES = [*TABLES]
 
 
 #: Shared views that the derived tables are made of.
-BASES = ("turn", "assertion", "edge", "early", "validity")
+BASES = ("turn", "assertion", "edge", "early", "dated", "validity")
 
 
 def derived(spark: SparkSession, sf_dir: str, names: list[str], bodies: dict[str, str] = TABLES, merged: bool = False) -> dict[str, DataFrame]:

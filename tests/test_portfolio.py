@@ -8,12 +8,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from provenlace.evidence import portfolio
+from provenlace.evidence import checks, portfolio, portfolio_queries
+from provenlace.evidence.queries import H_TABLES, TABLES, derived
 from provenlace.operators import search
 from provenlace.storage import cut
 from tests.test_evidence import GRAPH, SETS, frames
 
 MOST = 4
+SF = "/root/testdata/sf0.001"
 #: Atoms of two pools: some that no set may hold, an edge that needs its ends, and two bindings of one slot.
 ATOMS = {
     "q": [("n1", "node", "c1", None, []), ("x1", "node", "x1", None, []), ("t1", "node", "t1", None, []), ("e1", "edge", "e1", "about_entity", ["n1", "x1"]), ("n2", "node", "c2", None, []),
@@ -185,3 +187,38 @@ def test_relevance_judges_chosen_atoms_alone(spark, monkeypatch):
     monkeypatch.setattr(portfolio.checks, "violations", lambda t, *more: seen.append(t["atom"].count()) or real(t, *more))
     assert len(portfolio.by_relevance(tables, features, "worth", 1).collect()) == len(ATOMS)
     assert seen == [len(ATOMS)]
+
+
+def test_facts_write_nothing_and_shuffle_a_pool_once(spark, monkeypatch):
+    """Else disk grows with every relation of the checks that is written, and with every time that all atoms and references are dealt out."""
+    tables, _, _ = setup_tables(spark, 0)
+
+    def never(df):
+        raise AssertionError("written")
+
+    monkeypatch.setattr(checks, "cut", never)
+    made = checks.facts(tables)
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
+    assert len([line for line in dealt if "ReusedExchange" not in line]) == 2  # the pools, and what was found of them
+
+
+def test_facts_equal_the_checks_of_whole_pools(spark):
+    """Over the derived tables: an atom fails alone where a check that needs no other atom finds it in the set of its whole pool."""
+    given = derived(spark, SF, H_TABLES)
+    pools = {"sets": given["atom"].select(F.col("question_id").alias("set_id"), "question_id").distinct(), "member": given["atom"].select(F.col("question_id").alias("set_id"), "atom_id").distinct()}
+    found = checks.violations(given | pools, codes=checks.ALONE).filter("code <> 'H8' OR atom_id NOT LIKE 'b/%'")
+    want = {(r.set_id, r.atom_id) for r in found.collect()}
+    told = checks.facts(derived(spark, SF, H_TABLES, portfolio_queries._dated(TABLES))).collect()
+    assert {(r.question_id, r.atom_id) for r in told if r.alone} == want
+    assert len(told) == pools["member"].count() and 0 < len(want) < len(told)
+
+
+def test_dated_edges_make_the_same_tables(spark):
+    dated = portfolio_queries._dated(TABLES)
+    old, new = derived(spark, SF, H_TABLES), derived(spark, SF, H_TABLES, dated)
+    assert not any("edge e JOIN validity" in b for b in dated.values())
+    for n in H_TABLES:
+        assert old[n].columns == new[n].columns
+        assert sorted(map(repr, old[n].collect())) == sorted(map(repr, new[n].collect())), n
