@@ -97,7 +97,6 @@ def beam(tables: dict[str, DataFrame], features: DataFrame, score: Score, width:
     Each layer holds the best of all ways to add a legal atom to a set of the layer before, equal sets once, ties by
     their ids. The checks are asked of the pools once; what they leave to a set's atoms together is judged in the sets' own rows.
     """
-    tables = _once(tables)
     pooled = cut(pool(tables, features, max_atoms))
     layer, layers = _root(pooled), []
     best = W.partitionBy("question_id").orderBy(F.desc_nulls_last("score"), _ids("chosen"))
@@ -119,7 +118,6 @@ def greedy(tables: dict[str, DataFrame], features: DataFrame, score: Score, open
     A run adds the atom of the largest gain, the least id among equals. It ends at the first valid set that no atom
     improves; a run that meets none is a dead end: its set_id, atoms and score are null. Sets are judged as in ``beam``.
     """
-    tables = _once(tables)
     pooled = cut(pool(tables, features, max_atoms))
     first = W.partitionBy("question_id").orderBy(F.desc(F.coalesce(F.col(f"atom.{relevance}"), F.lit(0.0))), "atom.atom_id")
     root = pooled.filter(F.size("refs") == 0).withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= openers)

@@ -46,7 +46,7 @@ def utility(chosen: Column) -> Column:
 
 
 def _given(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    tables = derived(spark, sf_dir, [*H_TABLES, "worth"], GIVEN)
+    tables = derived(spark, sf_dir, [*H_TABLES, "worth"], _dated(GIVEN))
     return tables, tables.pop("worth")
 
 
